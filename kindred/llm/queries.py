@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import language, quality, shards, tokens, topk
+from kindred.llm import language, mixing, packing, quality, shards, tokens, topk
 
 
 def _vocabulary() -> str:
@@ -37,6 +37,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_documents(spark, sf_dir), _vocabulary())
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(_vocabulary(), encoding="utf-8") as f:
+        tokenizer = f.read()
+    return packing.pack(_documents(spark, sf_dir), tokenizer, 2).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return topk.top_k(vectors, F.col("vec_id") % 20 == 0, 20, 64).select("query_id", "rank", "vec_id", "score")
@@ -56,7 +62,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op5_exact_top_k, op6_quality_rules, op7_sharding)}
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_packing, op5_exact_top_k, op6_quality_rules, op7_sharding, op8_source_mixing)}
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
