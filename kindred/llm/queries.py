@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import language, mixing, packing, quality, shards, tokens, topk
+from kindred.llm import language, mixing, neardup, packing, quality, shards, suffix, tokens, topk
 
 
 def _vocabulary() -> str:
@@ -66,7 +66,15 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_packing, op5_exact_top_k, op6_quality_rules, op7_sharding, op8_source_mixing)}
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(_documents(spark, sf_dir)).select("doc_id", "class_id", "class_size", "kept")
+
+
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_packing, op5_exact_top_k, op6_quality_rules, op7_sharding, op8_source_mixing, op9_minhash_near_dedup, op10_suffix_array_dedup)}
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
