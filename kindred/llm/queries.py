@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import language, mixing, neardup, packing, quality, shards, suffix, tokens, topk
+from kindred.llm import language, linedup, mixing, neardup, packing, quality, shards, suffix, tokens, topk
 
 
 def _vocabulary() -> str:
@@ -43,6 +43,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), tokenizer, 2).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.line_report(_documents(spark, sf_dir))
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return topk.top_k(vectors, F.col("vec_id") % 20 == 0, 20, 64).select("query_id", "rank", "vec_id", "score")
@@ -74,7 +78,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_packing, op5_exact_top_k, op6_quality_rules, op7_sharding, op8_source_mixing, op9_minhash_near_dedup, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_packing, op4_line_dedup, op5_exact_top_k, op6_quality_rules, op7_sharding, op8_source_mixing, op9_minhash_near_dedup, op10_suffix_array_dedup)}
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
