@@ -32,18 +32,41 @@ from kindred.llm import _vec as V
 WINDOW = 4096
 CYCLE = 64
 #: Distinct words whose tokens a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 2_000_000
 
 
 class WordEncoder:
-    """Tokens of texts by a tokenizer that never joins what white space parts: each distinct word is encoded once."""
+    """Tokens of texts by a tokenizer that never joins what white space parts: distinct words are encoded once and found again by their hash."""
+
+    #: Parts the words of one call; words that hold it are encoded alone.
+    MARK = "\x01"
 
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.known: dict[bytes, np.ndarray] = {}
+        mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.hashes = np.zeros(0, np.uint64)
+        self.begin = self.length = np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
+
+    def words(self, words: list[str], together: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after another, and the number of ids of each."""
+        if self.mark is None or any(self.MARK in w for w in words):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
+        parts = [words[i : i + together] for i in range(0, len(words), together)]
+        ids, lengths = [], []
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            got = np.array(e.ids, np.uint32)
+            cuts = np.flatnonzero(got == self.mark)
+            if len(cuts) != len(part) - 1:
+                raise ValueError("the tokenizer joins or drops words across white space")
+            lengths.append(np.diff(np.concatenate([[-1], cuts, [len(got)]])) - 1)
+            ids.append(got[got != self.mark])
+        return np.concatenate(ids), np.concatenate(lengths)
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, one after another, and the number of ids of each row."""
@@ -51,20 +74,25 @@ class WordEncoder:
         n = len(offsets) - 1
         if not len(words.start):
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
-        _, first, which = np.unique(V.Rolling(buf).spans(words.start, words.end), return_index=True, return_inverse=True)
-        raw = buf.tobytes()
-        distinct = [raw[a:b] for a, b in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)]
-        if len(self.known) + len(distinct) > CACHE_WORDS:
-            self.known.clear()
-        new = [w for w in distinct if w not in self.known]
-        for word, got in zip(new, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            self.known[word] = np.array(got.ids, np.uint32)
-        ids = [self.known[w] for w in distinct]
-        length = np.array([len(x) for x in ids])
-        pool, at = np.concatenate(ids), np.concatenate([[0], np.cumsum(length)])
+        keys, first, which = np.unique(V.Rolling(buf).spans(words.start, words.end), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(self.hashes)
+        known[inside] = self.hashes[at[inside]] == keys[inside]
+        begin, length = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        begin[known], length[known] = self.begin[at[known]], self.length[at[known]]
+        pool, new = self.pool, np.flatnonzero(~known)
+        if len(new):
+            raw = buf.tobytes()
+            ids, size = self.words([raw[a:b].decode("utf-8", "replace") for a, b in zip(words.start[first[new]].tolist(), words.end[first[new]].tolist(), strict=True)])
+            begin[new], length[new] = len(pool) + np.cumsum(size) - size, size
+            pool = np.concatenate([pool, ids])
+            if len(self.hashes) + len(new) <= CACHE_WORDS:
+                self.pool = pool
+                self.hashes, self.begin, self.length = (np.insert(old, at[new], x[new]) for old, x in ((self.hashes, keys), (self.begin, begin), (self.length, length)))
         each = length[which]
-        begin = np.cumsum(each) - each
-        flat = pool[np.repeat(at[which] - begin, each) + np.arange(each.sum())]
+        place = np.cumsum(each) - each
+        flat = pool[np.repeat(begin[which] - place, each) + np.arange(each.sum())]
         return flat, np.bincount(words.row, each, n).astype(np.int64)
 
 
