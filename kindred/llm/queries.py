@@ -22,6 +22,15 @@ def _vocabulary() -> str:
         return "/opt/tokenizers/word_bpe_49k.json"
 
 
+#: Follows every document's own tokens.
+END_ID = 2
+
+
+def tokenizer_file() -> str:
+    with open(_vocabulary(), encoding="utf-8") as f:
+        return f.read()
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -38,9 +47,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    with open(_vocabulary(), encoding="utf-8") as f:
-        tokenizer = f.read()
-    return packing.pack(_documents(spark, sf_dir), tokenizer, 2).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return packing.pack(_documents(spark, sf_dir), tokenizer_file(), END_ID).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
