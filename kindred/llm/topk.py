@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from kindred.llm import _vec as V
 
-N_PIVOTS = 32
+N_PIVOTS = 24
 #: Rows of a block.
 BLOCK_ROWS = 4096
 #: Rows from which pivots are picked.
@@ -54,31 +54,51 @@ def pivot_table(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
-def search_block(q_id, q, x_id, x, pivots, k, step: int = 256):
-    """The k best of block x for each query of block q: query, candidate and score. Also the share of pairs that were evaluated."""
-    q_table, x_table = pivot_table(q, pivots), pivot_table(x, pivots)
-    q_square, x_square = (q**2).sum(1), (x**2).sum(1)
+def exact_kind(*arrays: np.ndarray):
+    """The narrowest float type in which all inner products of these whole numbers are exact."""
+    most = max((np.abs(a).max() for a in arrays if a.size), default=0)
+    return np.float32 if most * most * max(a.shape[1] for a in arrays) < 1 << 24 else np.float64
+
+
+def search_block(q_id, q, x_id, x, pivots, k, together: int = 64, step: int = 256):
+    """The k best of block x for each query of block q: query, candidate and score. Also the number of pairs that were evaluated."""
+    q_table, x_table = (pivot_table(m, pivots).astype(np.float32).T.copy() for m in (q, x))
+    q_square, x_square = ((m**2).sum(1) for m in (q, x))
+    q, x = (m.astype(exact_kind(q, x)) for m in (q, x))
+    # Rounding of the table in single precision, as a share of the largest distance.
+    margin = 1e-5 * (1 + max(float(q_table.max()), float(x_table.max()))) if q_table.size else 0
     out, evaluated = [], 0
-    for i in range(len(q)):
-        lower = np.abs(x_table - q_table[i]).max(1)
-        # In whole numbers the score is at most the floor of the bound; the margin covers rounding in the square roots.
-        upper = np.floor((q_square[i] + x_square - np.maximum(lower - 1e-6, 0) ** 2) / 2 + 1e-6)
-        upper[x_id == q_id[i]] = -np.inf
-        left = int((x_id != q_id[i]).sum())
-        order = np.argsort(-upper, kind="stable")[:left]
-        ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for at in range(0, left, step):
-            if len(scores) == k and upper[order[at]] < scores[-1]:
-                break
-            part = order[at : at + step]
-            if len(scores) == k:
-                part = part[upper[part] >= scores[-1]]
-            evaluated += len(part)
-            ids = np.concatenate([ids, x_id[part]])
-            scores = np.concatenate([scores, np.rint(x[part] @ q[i]).astype(np.int64)])
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[best], scores[best]
-        out.append((np.full(len(ids), q_id[i]), ids, scores))
+    for at in range(0, len(q), together):
+        lower = np.zeros((len(q_id[at : at + together]), len(x)), np.float32)
+        for mine, theirs in zip(q_table[:, at : at + together], x_table, strict=True):
+            np.maximum(lower, np.abs(mine[:, None] - theirs), out=lower)
+        # Scores are whole: the floor of the bound is a bound.
+        bounds = np.floor((q_square[at : at + together, None] + x_square - np.maximum(lower.astype(np.float64) - margin, 0) ** 2) / 2 + 1e-6)
+        bounds[q_id[at : at + together, None] == x_id] = -np.inf
+        for i, upper in enumerate(bounds, at):
+            left = int((upper > -np.inf).sum())
+            part = np.argpartition(-upper, step)[:step] if left > step else np.flatnonzero(upper > -np.inf)
+            ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            reach = float(upper[part].min()) if left > step else -np.inf
+            rest = None
+            while len(part):
+                evaluated += len(part)
+                got = np.rint(x[part] @ q[i]).astype(np.int64)
+                ids, scores = np.concatenate([ids, x_id[part]]), np.concatenate([scores, got])
+                best = np.lexsort((ids, -scores))[:k] if len(scores) <= 4 * k else None
+                if best is None:
+                    high = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+                    best = high[np.lexsort((ids[high], -scores[high]))[:k]]
+                ids, scores = ids[best], scores[best]
+                if rest is None:
+                    # What is left, in the order of the bound, as far as it can still matter.
+                    upper[part] = -np.inf
+                    rest = np.flatnonzero((upper >= scores[-1]) & (upper > -np.inf)) if len(scores) == k else np.flatnonzero(upper > -np.inf)
+                    rest = rest[np.argsort(-upper[rest])] if reach > -np.inf else rest[:0]
+                if len(scores) == k:
+                    rest = rest[: np.searchsorted(-upper[rest], -scores[-1], "right")]
+                part, rest = rest[: 4 * step], rest[4 * step :]
+            out.append((np.full(len(ids), q_id[i]), ids, scores))
     return out, evaluated
 
 
