@@ -29,6 +29,8 @@ GRAM = 50
 #: Pieces of one anchor in a shard, and bytes of a shard.
 SHARD_PIECES = 1024
 SHARD_BYTES = 1 << 20
+#: Windows of split anchors in a range of hashes.
+RANGE_WINDOWS = 100_000
 
 _U = np.uint64
 _HIGH = _U(0xFFFFFFFF00000000)
@@ -187,24 +189,36 @@ def found_elsewhere(shard: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-_FOUND = "shard long, told boolean, fp long, ph long, a long, b long, hash long, lone boolean"
+_FOUND = "range int, shard long, fp long, ph long, a long, b long, run binary"
+#: An entry of a run: hash of the window, its piece, its place there, and whether it is alone in its shard.
+_ENTRY = np.dtype([("hash", "<i8"), ("fp", "<i8"), ("ph", "<i8"), ("a", "<i4"), ("lone", "?")])
 
 
 def _search(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+    """Flagged windows as rows (range -1), and what other shards have to look at as one sorted run for each range of hashes."""
     column = lambda name: part.column(name).to_numpy()
     flagged, told = search_shard(column("fp"), column("ph"), column("own"), column("single"), column("split"), part.column("bytes").to_pylist())
-    n, m = len(flagged[0]), len(told[0])
-    cat = lambda x, y: pa.array(np.concatenate([x, y]))
-    zero = np.zeros(n, np.int64)
+    entries = np.zeros(len(told[0]), _ENTRY)
+    for name, values in zip(("fp", "ph", "a", "hash", "lone"), told, strict=True):
+        entries[name] = values
+    entries.sort(order="hash")
+    n, ranges = len(flagged[0]), int(part.column("ranges")[0].as_py())
+    of = entries["hash"].view(np.uint64) % np.uint64(ranges)
+    sent = [(r, entries[of == r].tobytes()) for r in np.unique(of).tolist()]
+    zero = np.zeros(len(sent), np.int64)
+    columns = [np.concatenate([x, zero]) for x in flagged]
     return pa.table({
-        "shard": cat(np.full(n, key[0].as_py()), np.full(m, key[0].as_py())), "told": cat(np.zeros(n, bool), np.ones(m, bool)), "fp": cat(flagged[0], told[0]), "ph": cat(flagged[1], told[1]),
-        "a": cat(flagged[2], told[2]), "b": cat(flagged[3], told[2] + 1), "hash": cat(zero, told[3]), "lone": cat(np.zeros(n, bool), told[4]),
+        "range": pa.array([-1] * n + [r for r, _ in sent], pa.int32()), "shard": pa.array(np.full(n + len(sent), key[0].as_py())),
+        **{k: pa.array(v) for k, v in zip(("fp", "ph", "a", "b"), columns, strict=True)}, "run": pa.array([None] * n + [x for _, x in sent], pa.binary()),
     })
 
 
 def _merge(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
-    hit = found_elsewhere(part.column("shard").to_numpy(), part.column("hash").to_numpy()) & part.column("lone").to_numpy(zero_copy_only=False)
-    return part.select(["fp", "ph", "a", "b"]).filter(pa.array(hit))
+    runs = [np.frombuffer(x, _ENTRY) for x in part.column("run").to_pylist()]
+    shard = np.repeat(part.column("shard").to_numpy(), [len(x) for x in runs])
+    entries = np.concatenate(runs)
+    hit = entries[found_elsewhere(shard, entries["hash"]) & entries["lone"]]
+    return pa.table({"fp": hit["fp"], "ph": hit["ph"], "a": hit["a"].astype(np.int64), "b": hit["a"].astype(np.int64) + 1})
 
 
 def repeated_spans(rows: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -225,8 +239,9 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     kinds = V.written(some.groupBy("fp", "ph").agg(F.sum("reps").alias("n"), F.first("own").alias("own"), F.min(F.struct("_k", "p")).alias("at")), "kinds")
     sizes = kinds.groupBy("fp").agg(F.count("*").alias("different")).where("different > 1").withColumn("shards", F.ceil(F.col("different") / SHARD_PIECES))
     wanted = V.written(kinds.join(sizes, "fp").select("fp", "ph", "own", (F.col("n") == 1).alias("single"), "shards", "at._k", "at.p"), "wanted")
-    n_bytes = wanted.agg(F.coalesce(F.sum(F.col("own") + width), F.lit(0))).first()[0]
-    n_shards = max(1, -(-n_bytes // SHARD_BYTES))
+    hot = F.when(F.col("shards") > 1, F.col("own")).otherwise(0)
+    n_bytes, n_hot = wanted.agg(F.coalesce(F.sum(F.col("own") + width), F.lit(0)), F.coalesce(F.sum(hot), F.lit(0))).first()
+    n_shards, n_ranges = max(1, -(-n_bytes // SHARD_BYTES)), max(1, -(-n_hot // RANGE_WINDOWS))
     asked = wanted.groupBy("_k").agg(F.collect_list(F.struct("fp", "ph", "own", "single", "shards", "p")).alias("asked"))
 
     def fetch(batches):
@@ -242,12 +257,11 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH) -> DataFrame:
 
     given = rows.join(asked, "_k").select("_text", "asked").mapInArrow(fetch, "fp long, ph long, own int, single boolean, shards long, bytes binary")
     shard = F.pmod(F.xxhash64("fp", F.pmod("ph", "shards")), F.lit(n_shards)).alias("shard")
-    dealt = given.select(shard, "fp", "ph", "own", "single", (F.col("shards") > 1).alias("split"), "bytes")
+    dealt = given.select(shard, "fp", "ph", "own", "single", (F.col("shards") > 1).alias("split"), F.lit(n_ranges).alias("ranges"), "bytes")
     found = V.written(dealt.groupBy("shard").applyInArrow(_search, _FOUND), "found")
-    n_told = found.where("told").count()
-    merged = found.where("told").withColumn("_range", F.pmod(F.col("hash"), F.lit(max(1, -(-n_told // 100_000))))).groupBy("_range").applyInArrow(_merge, "fp long, ph long, a long, b long")
+    merged = found.where("range >= 0").groupBy("range").applyInArrow(_merge, "fp long, ph long, a long, b long")
     whole = kinds.where("n > 1").select("fp", "ph", F.lit(0).cast("long").alias("a"), F.col("own").cast("long").alias("b"))
-    flags = whole.unionByName(found.where("NOT told").select("fp", "ph", "a", "b")).unionByName(merged)
+    flags = whole.unionByName(found.where("range < 0").select("fp", "ph", "a", "b")).unionByName(merged)
     placed = some.join(flags, ["fp", "ph"]).select("_k", F.struct((F.col("p") + F.col("a")).alias("s"), (F.col("p") + (F.col("reps") - 1) * F.col("own") + F.col("b") - 1 + width).alias("e")).alias("span"))
     return placed.groupBy("_k").agg(F.collect_list("span").alias("_spans"))
 
