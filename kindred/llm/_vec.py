@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from kindred.session import with_package
+from kindred.session import with_package, written  # noqa: F401
 
 #: Bytes of text that are worked on together.
 CHUNK_BYTES = 2 << 20
@@ -142,31 +142,3 @@ def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     many[order[1:][same]] = True
     many[order[:-1][same]] = True
     return many, later
-
-
-def shared_dir(spark) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one is set only where none is."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path
-    import tempfile
-
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="kindred-")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def written(df, name: str):
-    """df written once as Parquet in the shared folder and read again: it cuts lineage and survives lost executors."""
-    import uuid
-
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
