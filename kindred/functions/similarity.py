@@ -31,7 +31,8 @@ def exact(a: Column, b: Column) -> Column:
 def linear(a: Column, b: Column, scale: float = 0.1, offset: float = 0.0) -> Column:
     """1 up to the offset, one half at offset + scale, 0 from offset + 2 scale; 0 if a value is missing."""
     far = F.greatest(F.abs(a - b) - offset, F.lit(0.0))
-    return F.coalesce(F.greatest(F.lit(0.0), 1 - far / (2 * scale)), F.lit(0.0))
+    # greatest() skips nulls, so a missing value is caught first.
+    return F.when(a.isNull() | b.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), 1 - far / (2 * scale)))
 
 
 def log_distance(a: Column, b: Column) -> Column:
@@ -94,7 +95,8 @@ def by_dictionary(pairs: DataFrame, a: str, b: str, out: str, score: Callable[[s
 
     Equal texts never leave the JVM. A symmetric score is computed for one order only. Spark broadcasts the dictionary if it is small, else it shuffles."""
     with_package(pairs.sparkSession)
-    low, high = (F.least(a, b), F.greatest(a, b)) if symmetric else (F.col(a), F.col(b))
+    known = F.col(a).isNotNull() & F.col(b).isNotNull()  # least() and greatest() skip nulls
+    low, high = (F.when(known, F.least(a, b)), F.when(known, F.greatest(a, b))) if symmetric else (F.col(a), F.col(b))
 
     @F.pandas_udf("double")
     def scored(x: pd.Series, y: pd.Series) -> pd.Series:

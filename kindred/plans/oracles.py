@@ -91,7 +91,7 @@ _RULES = f"""rules AS (SELECT * FROM (SELECT id, {_STRIP.format("lower(coalesce(
 
 def _scored(name: str) -> str:
     keys = _STRATEGIES[name]
-    linear = lambda c: f"coalesce(greatest(0.0::DOUBLE, 1 - greatest(abs(x.{c} - y.{c}) - 0, 0) / 0.2::DOUBLE), 0.0::DOUBLE)"
+    linear = lambda c: f"CASE WHEN x.{c} IS NULL OR y.{c} IS NULL THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - abs(x.{c} - y.{c}) / 0.2::DOUBLE) END"
     return f"""keyed_{name} AS (SELECT split, id, {_keys(keys)}, ord, row_key FROM assigned WHERE split <> 'exclude'),
   sized_{name} AS (SELECT *, count(*) OVER (PARTITION BY split, {_names(keys)}) AS size FROM keyed_{name}),
   pairs_{name} AS (SELECT a.split, a.id AS id1, b.id AS id2 FROM sized_{name} a JOIN sized_{name} b ON {_same(keys, ("split",))} WHERE a.id < b.id AND a.size >= 2 AND a.size < 200),

@@ -306,8 +306,8 @@ def train_pairs_sampled(spark, sf_dir):
 
 def _experiments(spark, sf_dir) -> DataFrame:
     steps = Steps(spark, sf_dir)
-    typed, truth = learn.records(steps.training, order=ORDER), blocking.truth_pairs(steps.members)
     rows = steps.assigned
+    typed, truth = written(learn.records(steps.training, order=ORDER), "typed"), written(blocking.truth_pairs(steps.members), "truth")
     out = None
     for pipeline in learn.PIPELINES:
         for name, keys in STRATEGIES.items():
