@@ -46,4 +46,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that `written` made and that nothing reads any more: all that was derived from them is written itself."""
+    for df in frames:
+        if path := getattr(df, "_written", None):
+            p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
