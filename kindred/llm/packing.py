@@ -126,8 +126,13 @@ def one_window(credit: np.ndarray, share: np.ndarray, left: np.ndarray, size: in
             cut = np.cumsum(more) - room
             more = np.maximum(0, more - np.maximum(0, cut))
         if not more.sum():
-            # Nobody has a whole token's credit: those with most of it, and tokens to give, go ahead of their share.
             able = np.flatnonzero(left - take > 0)
+            if room > len(able):
+                # Sources ran dry: the others get what is open by their shares.
+                spare = share[able] if share[able].sum() > 0 else np.ones(len(able))
+                credit[able] += spare / spare.sum() * room
+                continue
+            # Nobody has a whole token's credit: those with most of it, and tokens to give, go ahead of their share.
             order = able[np.argsort(-credit[able], kind="stable")][:room]
             more[order] = 1
         take += more
