@@ -86,7 +86,36 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_packing, op4_line_dedup, op5_exact_top_k, op6_quality_rules, op7_sharding, op8_source_mixing, op9_minhash_near_dedup, op10_suffix_array_dedup)}
+def _quality_sql() -> str:
+    """The counts of repeated words and characters, spelled out n-gram by n-gram."""
+    word = r"[^\x20\x09-\x0D]+"
+    lengths = [3, *(n for n, _ in quality.NGRAM_LIMITS)]
+    gram = lambda n: " || ' ' || ".join(["w", *(f"lead(w, {k}) OVER o" for k in range(1, n))])
+    grams = " UNION ALL ".join(f"SELECT r, i, {n} AS n, {gram(n)} AS g FROM w WINDOW o AS (PARTITION BY r ORDER BY i)" for n in lengths)
+    over = " OR ".join(f"coalesce(c{n}, 0) > {limit}::DOUBLE * word_chars" for n, limit in quality.NGRAM_LIMITS)
+    pivot = ", ".join(f"sum(c) FILTER (n = {n}) AS c{n}" for n, _ in quality.NGRAM_LIMITS)
+    return f"""
+      WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
+      l AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) AS lines, regexp_extract_all(t, '{word}') AS ws FROM d),
+      w AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM l),
+      g AS (SELECT * FROM ({grams}) WHERE g IS NOT NULL),
+      many AS (SELECT r, n, g FROM g GROUP BY ALL HAVING count(*) > 1),
+      covered AS (SELECT DISTINCT r, n, unnest(range(i, i + n)) AS i FROM g SEMI JOIN many USING (r, n, g)),
+      sums AS (SELECT r, count(*) FILTER (n = 3) AS n_repeat_words, {pivot} FROM (SELECT r, n, length(w) AS c FROM covered JOIN w USING (r, i)) GROUP BY r),
+      seen AS (SELECT r, line, row_number() OVER (PARTITION BY r, line ORDER BY k) AS nth FROM (SELECT r, unnest(lines) AS line, generate_subscripts(lines, 1) AS k FROM l)),
+      dup AS (SELECT r, count(*) AS n_dup_lines, sum(length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g'))) AS dup_chars FROM seen WHERE nth > 1 GROUP BY r),
+      c AS (SELECT doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars,
+          length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(dup_chars, 0) AS dup_chars,
+          coalesce(n_repeat_words, 0) AS n_repeat_words, sums.* EXCLUDE (r, n_repeat_words)
+        FROM d JOIN l USING (r) LEFT JOIN sums USING (r) LEFT JOIN dup USING (r)),
+      b AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM c)
+      SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+        NOT base_failed AND NOT ({over} OR dup_chars > {quality.MAX_DUP_LINE_CHARS}::DOUBLE * word_chars OR n_symbols > {quality.MAX_SYMBOLS_PER_WORD}::DOUBLE * n_words) AS kept FROM b"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op6_quality_rules": _quality_sql(),
     "op5_exact_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
                    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
