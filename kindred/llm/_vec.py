@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from kindred.session import with_package, written  # noqa: F401
+from kindred.session import discard, with_package, written  # noqa: F401
 
 #: Bytes of text that are worked on together.
 CHUNK_BYTES = 2 << 20

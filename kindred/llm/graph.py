@@ -29,8 +29,13 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (u, v) but the roots: a root is the least node of its component."""
     now, state = V.written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"), None
     while True:
-        now = V.written(_small_star(_large_star(now).distinct()).distinct(), "stars")
+        wide = V.written(_large_star(now).distinct(), "stars")
+        V.discard(now)
+        now = V.written(_small_star(wide).distinct(), "stars")
+        V.discard(wide)
         counted = now.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
         if tuple(counted) == state:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out._written = now._written
+            return out
         state = tuple(counted)

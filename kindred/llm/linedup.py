@@ -227,7 +227,9 @@ def duplicate_lines(docs: DataFrame, occ: DataFrame, id_col: str, text_col: str,
     wholes = short.where("_place < 0").select("_rest", F.col("_h").alias("_a"), F.col("_first").alias("_fa"))
     grown = wholes.join(taken.select("_rest", F.col("_h").alias("_b"), F.col("_first").alias("_fb")), "_rest").select(later)
     dup = near.unionByName(swapped).unionByName(grown).distinct().withColumn("_dup", F.lit(True))
-    return lines.select("_h", "_h2", "_first").join(dup, "_h", "left").withColumn("_dup", F.coalesce("_dup", F.lit(False)))
+    out = V.written(lines.select("_h", "_h2", "_first").join(dup, "_h", "left").withColumn("_dup", F.coalesce("_dup", F.lit(False))), "judged")
+    V.discard(lines, shared, pairs, hot, texts)
+    return out
 
 
 def _judged(docs: DataFrame, id_col: str, text_col: str, max_edits: int) -> DataFrame:
@@ -252,9 +254,10 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS) -> DataFrame:
     """The documents without their duplicate lines, with all their columns; a document that loses all its lines stays, with what is left."""
     gone = _judged(docs, id_col, text_col, max_edits).where("_gone").groupBy(F.col("_k").alias("_dk")).agg(F.collect_set(F.col("_line") + 1).alias("_lines"))
-    marked = docs.withColumn("_k", F.xxhash64(F.col(id_col), F.col(text_col)))
-    joined = marked.join(gone, (F.col("_k") == F.col("_dk")) & F.col(text_col).isNotNull(), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
+    # The row travels as one value, so that no column of it can clash.
+    marked = docs.select(F.struct("*").alias("_row"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_k"), F.col(text_col).alias("_text"))
+    joined = marked.join(gone, (F.col("_k") == F.col("_dk")) & F.col("_text").isNotNull(), "left")
+    lines = F.split("_text", "\n", -1)
     kept = F.transform(F.filter(F.transform(lines, lambda x, i: F.struct((i + 1).alias("n"), x.alias("x"))), lambda p: ~F.array_contains("_lines", p["n"])), lambda p: p["x"])
-    text = F.when(F.col("_lines").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumn(text_col, text).select(docs.columns)
+    text = F.when(F.col("_lines").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
+    return joined.select(*(text.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns))

@@ -160,11 +160,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: every row of docs as often as the mix takes it, with all its columns."""
-    took = mix(docs, id_col, text_col, source_col, **options).select(F.col(id_col).alias("_mid"), F.col("text_crc32").alias("_mcrc"), F.col("mix_source").alias("_msource"), F.col("times").alias("_times"))
-    left = docs.withColumn("_crc", F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).withColumn("_source", F.col(source_col).cast("string"))
-    # Equal rows are told apart by a number on both sides.
-    left = left.withColumn("_n", F.row_number().over(Window.partitionBy(id_col, "_crc").orderBy("_source")))
-    took = took.withColumn("_mn", F.row_number().over(Window.partitionBy("_mid", "_mcrc").orderBy("_msource", "_times")))
-    same = F.col(id_col).eqNullSafe(F.col("_mid")) & (F.col("_crc") == F.col("_mcrc")) & (F.col("_n") == F.col("_mn"))
-    out = left.join(took.where("_times > 0"), same)
-    return out.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(docs.columns)
+    key = lambda i, c, s: F.struct(i.alias("i"), c.alias("c"), s.alias("s")).alias("_key")
+    took = mix(docs, id_col, text_col, source_col, **options)
+    # Rows of one id, text and source can't be told apart: what they are taken together is dealt out among them.
+    took = took.groupBy(key(F.col(id_col), F.col("text_crc32"), F.col("mix_source"))).agg(F.sum("times").alias("_all"), F.count("*").alias("_many")).where("_all > 0")
+    # The row travels as one value, so that no column of it can clash.
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    left = docs.select(F.struct("*").alias("_row"), key(F.col(id_col), F.crc32(text.cast("binary")), F.col(source_col).cast("string")))
+    # The join and the numbering share one key, and so one exchange.
+    out = left.join(took, "_key").withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("_many")))
+    times = F.floor(F.col("_all") / F.col("_many")) + (F.col("_n") <= F.col("_all") % F.col("_many")).cast("long")
+    out = out.withColumn("_times", times.cast("int")).where("_times > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_again"))
+    return out.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
