@@ -28,7 +28,7 @@ WIDTH = 200
 GRAM = 50
 #: Pieces of one anchor in a shard, and bytes of a shard.
 SHARD_PIECES = 1024
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 #: Windows of split anchors in a range of hashes.
 RANGE_WINDOWS = 100_000
 
@@ -194,10 +194,10 @@ _FOUND = "range int, shard long, fp long, ph long, a long, b long, run binary"
 _ENTRY = np.dtype([("hash", "<i8"), ("fp", "<i8"), ("ph", "<i8"), ("a", "<i4"), ("lone", "?")])
 
 
-def _search(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+def _search(shard: int, part: pa.Table, width: int) -> pa.Table:
     """Flagged windows as rows (range -1), and what other shards have to look at as one sorted run for each range of hashes."""
     column = lambda name: part.column(name).to_numpy()
-    flagged, told = search_shard(column("fp"), column("ph"), column("own"), column("single"), column("split"), part.column("bytes").to_pylist())
+    flagged, told = search_shard(column("fp"), column("ph"), column("own"), column("single"), column("split"), part.column("bytes").to_pylist(), width)
     entries = np.zeros(len(told[0]), _ENTRY)
     for name, values in zip(("fp", "ph", "a", "hash", "lone"), told, strict=True):
         entries[name] = values
@@ -208,7 +208,7 @@ def _search(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
     zero = np.zeros(len(sent), np.int64)
     columns = [np.concatenate([x, zero]) for x in flagged]
     return pa.table({
-        "range": pa.array([-1] * n + [r for r, _ in sent], pa.int32()), "shard": pa.array(np.full(n + len(sent), key[0].as_py())),
+        "range": pa.array([-1] * n + [r for r, _ in sent], pa.int32()), "shard": pa.array(np.full(n + len(sent), shard, np.int64)),
         **{k: pa.array(v) for k, v in zip(("fp", "ph", "a", "b"), columns, strict=True)}, "run": pa.array([None] * n + [x for _, x in sent], pa.binary()),
     })
 
@@ -227,7 +227,7 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def cut(batches):
         for batch in batches:
-            for part in V.chunks(batch, "_text", 1 << 20):
+            for part in V.chunks(batch, "_text", 1 << 19):
                 row, start, own, repeats, mark, whole = pieces(*V.text_buffer(part.column("_text")), width)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("_k").take(pa.array(row)), pa.array(start), pa.array(own.astype(np.int32)), pa.array(repeats), pa.array(mark), pa.array(whole)], names=["_k", "p", "own", "reps", "fp", "ph"]
@@ -236,6 +236,7 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     every = V.written(rows.mapInArrow(cut, "_k long, p long, own int, reps long, fp long, ph long"), "pieces")
     twice = every.groupBy("fp").agg(F.sum("reps").alias("n")).where("n > 1").select("fp")
     some = V.written(every.join(twice, "fp", "left_semi"), "candidates")
+    V.discard(every)
     kinds = V.written(some.groupBy("fp", "ph").agg(F.sum("reps").alias("n"), F.first("own").alias("own"), F.min(F.struct("_k", "p")).alias("at")), "kinds")
     sizes = kinds.groupBy("fp").agg(F.count("*").alias("different")).where("different > 1").withColumn("shards", F.ceil(F.col("different") / SHARD_PIECES))
     wanted = V.written(kinds.join(sizes, "fp").select("fp", "ph", "own", (F.col("n") == 1).alias("single"), "shards", "at._k", "at.p"), "wanted")
@@ -258,10 +259,15 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     given = rows.join(asked, "_k").select("_text", "asked").mapInArrow(fetch, "fp long, ph long, own int, single boolean, shards long, bytes binary")
     shard = F.pmod(F.xxhash64("fp", F.pmod("ph", "shards")), F.lit(n_shards)).alias("shard")
     dealt = given.select(shard, "fp", "ph", "own", "single", (F.col("shards") > 1).alias("split"), F.lit(n_ranges).alias("ranges"), "bytes")
-    found = V.written(dealt.groupBy("shard").applyInArrow(_search, _FOUND), "found")
+
+    def search(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        return _search(key[0].as_py(), part, width)
+
+    found = V.written(dealt.groupBy("shard").applyInArrow(search, _FOUND), "found")
     merged = found.where("range >= 0").groupBy("range").applyInArrow(_merge, "fp long, ph long, a long, b long")
     whole = kinds.where("n > 1").select("fp", "ph", F.lit(0).cast("long").alias("a"), F.col("own").cast("long").alias("b"))
-    flags = whole.unionByName(found.where("range < 0").select("fp", "ph", "a", "b")).unionByName(merged)
+    flags = V.written(whole.unionByName(found.where("range < 0").select("fp", "ph", "a", "b")).unionByName(merged), "flags")
+    V.discard(kinds, wanted, found)
     placed = some.join(flags, ["fp", "ph"]).select("_k", F.struct((F.col("p") + F.col("a")).alias("s"), (F.col("p") + (F.col("reps") - 1) * F.col("own") + F.col("b") - 1 + width).alias("e")).alias("span"))
     return placed.groupBy("_k").agg(F.collect_list("span").alias("_spans"))
 
