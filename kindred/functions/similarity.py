@@ -90,9 +90,10 @@ def affine_gap(a: str, b: str, mismatch: float = 11.0, gap: float = 10.0, space:
     return best[-1] / (len(a) + len(b))
 
 
-def by_dictionary(pairs: DataFrame, a: str, b: str, out: str, score: Callable[[str, str], float], symmetric: bool = True) -> DataFrame:
+def by_dictionary(pairs: DataFrame, a: str, b: str, out: str, score: Callable[[str, str], float], symmetric: bool = True, values: DataFrame | None = None) -> DataFrame:
     """`pairs` with the column `out`: the score of the texts in columns a and b, computed once for each different pair of them.
 
+    `values` (x, y) may name the pairs of values that can occur, where they come cheaper than from the pairs themselves, which are then read once only.
     Equal texts never leave the JVM. A symmetric score is computed for one order only. Spark broadcasts the dictionary if it is small, else it shuffles."""
     with_package(pairs.sparkSession)
     known = F.col(a).isNotNull() & F.col(b).isNotNull()  # least() and greatest() skip nulls
@@ -103,7 +104,11 @@ def by_dictionary(pairs: DataFrame, a: str, b: str, out: str, score: Callable[[s
         return pd.Series([score(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
 
     keyed = pairs.withColumn("_da", low).withColumn("_db", high)
-    found = keyed.where("_da <> _db").select("_da", "_db").distinct().select(F.col("_da").alias("_ka"), F.col("_db").alias("_kb"), scored("_da", "_db").alias(out))
+    if values is None:
+        occurring = keyed.select("_da", "_db")
+    else:
+        occurring = values.select((F.least("x", "y") if symmetric else F.col("x")).alias("_da"), (F.greatest("x", "y") if symmetric else F.col("y")).alias("_db"))
+    found = occurring.where("_da <> _db").distinct().select(F.col("_da").alias("_ka"), F.col("_db").alias("_kb"), scored("_da", "_db").alias(out))
     joined = keyed.join(found, (F.col("_da") == F.col("_ka")) & (F.col("_db") == F.col("_kb")), "left")
     same = F.when(F.col("_da") == F.col("_db"), F.when(F.col("_da") != "", F.lit(score("a", "a"))).otherwise(F.lit(score("", ""))))
     return joined.withColumn(out, F.coalesce(F.col(out), same, F.lit(score("", "")))).drop("_da", "_db", "_ka", "_kb")

@@ -65,6 +65,13 @@ def pairs_by_position(members: DataFrame, keys: tuple[str, ...], partition: tupl
     return _both(members, names, carry).where("p1 < p2").drop("p1", "p2")
 
 
+def value_pairs(members: DataFrame, column: str, keys: tuple[str, ...], partition: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (x, y) of different values of a column that meet in some block: from each block's distinct values, not from its pairs of rows."""
+    names = [*partition, *(f"k_{c}" for c in keys)]
+    distinct = members.select(*names, F.col(column).alias("x")).distinct()
+    return distinct.join(distinct.withColumnRenamed("x", "y"), names).where("x < y").select("x", "y").distinct()
+
+
 def truth_pairs(members: DataFrame) -> DataFrame:
     """All pairs (a, b) of ids of one entity, each once, in string order."""
     left = members.select("vin", F.col("pos").alias("i"), F.col("id").alias("x"))

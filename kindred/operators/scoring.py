@@ -27,9 +27,9 @@ def rule_records(df: DataFrame) -> DataFrame:
 COMPARED = ("r_make", "r_model", "r_year", "r_price", "r_mileage")
 
 
-def features(pairs: DataFrame) -> DataFrame:
-    """The five features of pairs that carry COMPARED of both sides."""
-    scored = S.by_dictionary(pairs, "r_model_1", "r_model_2", "_jw", S.jaro_winkler)
+def features(pairs: DataFrame, models: DataFrame | None = None) -> DataFrame:
+    """The five features of pairs that carry COMPARED of both sides; `models` may name the pairs (x, y) of models that can occur."""
+    scored = S.by_dictionary(pairs, "r_model_1", "r_model_2", "_jw", S.jaro_winkler, values=models)
     return scored.withColumns(
         {
             "f_make": S.at_least(S.levenshtein_similarity(F.col("r_make_1"), F.col("r_make_2"))), "f_model": S.at_least(F.col("_jw")), "f_year": S.exact(F.col("r_year_1"), F.col("r_year_2")),
@@ -38,6 +38,11 @@ def features(pairs: DataFrame) -> DataFrame:
     ).drop("_jw")
 
 
+def same_entity(a: Column, b: Column) -> Column:
+    """1 where both identifiers are known and equal, else 0."""
+    return F.coalesce(a == b, F.lit(False)).cast("int")
+
+
 def weighted(names: tuple[str, ...] = FEATURES, weights: tuple[float, ...] = WEIGHTS) -> Column:
     total = F.lit(0.0)
     for name, w in zip(names, weights, strict=True):

@@ -83,13 +83,14 @@ class Steps:
         """Candidates of a strategy in each split with features, score and truth."""
         keys = STRATEGIES[strategy]
         rows = self.assigned.where(F.col("split").isin(*which))
-        # Sizes are counted on the blocks as built; then an id's first row stands for it.
+        # Sizes are counted on the blocks as built; then an id's first row stands for it. Members carry what pairs are judged by, so pairs are never shuffled.
         members = blocking.block_members(rows, keys, ("split",), ORDER, less_than=scoring.BLOCK_LIMIT)
-        pairs = blocking.pairs_by_id(members, keys, ("split",)).select("split", "id1", "id2")
-        first = identity.deduplicated(scoring.rule_records(self.training), "id", ORDER)
-        compared = scoring.features(blocking.with_records(pairs, first, scoring.COMPARED))
-        judged = blocking.with_truth(compared, self.id_to_vin)
-        return judged.select(F.lit(strategy).alias("strategy"), "split", "id1", "id2", *scoring.FEATURES, scoring.weighted().alias("score"), "truth")
+        first = identity.deduplicated(scoring.rule_records(self.training), "id", ORDER).select("id", *scoring.COMPARED)
+        members = written(members.join(first, "id").join(self.id_to_vin, "id", "left"), "members")
+        pairs = blocking.pairs_by_id(members, keys, ("split",), (*scoring.COMPARED, "vin"))
+        compared = scoring.features(pairs, blocking.value_pairs(members, "r_model", keys, ("split",)))
+        truth = scoring.same_entity(F.col("vin_1"), F.col("vin_2")).alias("truth")
+        return compared.select(F.lit(strategy).alias("strategy"), "split", "id1", "id2", *scoring.FEATURES, scoring.weighted().alias("score"), truth)
 
 
 def profile_report(spark, sf_dir):
