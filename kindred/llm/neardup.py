@@ -6,10 +6,14 @@ catches the darts inside its weights, up to a rank that yields a few darts for e
 signatures agree in a coordinate with the probability of the texts' weighted Jaccard similarity. Work is the text's length plus a constant.
 
 Equal texts are one node from the start. Nodes that agree in a whole band are candidates: small buckets compare all their members, larger ones
-each member with the bucket's first; whoever fails there is compared with a next first, until none is left. Each candidate pair is verified by exact similarity
-over the whole texts, and classes are the connected components of the verified links.
+each member with the bucket's hub, the member that meets most others over all bands; a pair whose signatures agree in fewer than AGREE of the
+coordinates is dropped, every other one is verified by exact similarity over the whole texts. Classes are the connected components of the
+verified links, so members of a bucket that are in one component by then need no more comparing. Where large buckets still hold several components,
+the members outside the largest one meet all the others in cells of bounded size: a task holds two blocks of texts and gets all their
+similarities from products of count matrices, so no pair is a row unless it links. That last step's work is the number of such members times their cluster.
 
-Words are lower-cased and lose their punctuation. With 32 bands of 4, a pair of similarity 0.8 is no candidate once in 10 million times.
+Words are lower-cased and lose their punctuation. With 28 bands of 5, a pair of similarity 0.8 is no candidate 15 times in a million, and fails AGREE
+about once in a million.
 
 Edge cases: a null text is a class of its own; texts without a word link only to equal texts; texts of one to four words have one shingle;
 texts of any length are read whole; repeated rows and ties share the class of the least id; an empty table gives an empty result; other columns are
@@ -29,10 +33,14 @@ from kindred.llm import _vec as V
 from kindred.llm.graph import components
 
 SHINGLE = 5
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 28, 5
 THRESHOLD = 0.8
 #: Buckets with up to so many members compare all of them.
-SMALL_BUCKET = 8
+SMALL_BUCKET = 16
+#: Texts of a cell: outside the largest component, and of their cluster.
+CELL = 64, 512
+#: Share of equal coordinates below which a pair isn't verified.
+AGREE = 0.62
 PUNCTUATION = ".,;:!?\"'()[]{}"
 
 _U = np.uint64
@@ -125,7 +133,7 @@ def digest(text: Column) -> Column:
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
-    """_digest and _keys (a key for each band) of each different text with a word, written once."""
+    """_digest, _keys (a key for each band) and _sketch (a byte of each coordinate) of each different text with a word, written once."""
 
     def run(batches):
         for batch in batches:
@@ -134,67 +142,154 @@ def _nodes(rows: DataFrame) -> DataFrame:
                 signature, some = signatures(*units(buf, offsets), part.num_rows)
                 keys = band_keys(signature[some]).view(np.int64)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("_digest").filter(pa.array(some)), flat], names=["_digest", "_keys"])
+                sketch = pa.array([x.tobytes() for x in signature[some].astype(np.uint8)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("_digest").filter(pa.array(some)), flat, sketch], names=["_digest", "_keys", "_sketch"])
 
-    signed = rows.where("_digest IS NOT NULL").select("_digest", normal(F.col("_text")).alias("_words")).mapInArrow(run, "_digest binary, _keys array<long>")
-    return V.written(signed.groupBy("_digest").agg(F.first("_keys").alias("_keys")), "signatures")
+    signed = rows.where("_digest IS NOT NULL").select("_digest", normal(F.col("_text")).alias("_words")).mapInArrow(run, "_digest binary, _keys array<long>, _sketch binary")
+    return V.written(signed.groupBy("_digest").agg(F.first("_keys").alias("_keys"), F.first("_sketch").alias("_sketch")), "signatures")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """(u, v, linked) of pairs of digests, written once."""
-    wanted = pairs.select(F.col("u").alias("_digest")).unionByName(pairs.select(F.col("v").alias("_digest"))).distinct()
-    texts = rows.join(wanted, "_digest", "left_semi").groupBy("_digest").agg(F.first("_text").alias("_text"))
-    left = texts.select(F.col("_digest").alias("u"), normal(F.col("_text")).alias("_a"))
-    right = texts.select(F.col("_digest").alias("v"), normal(F.col("_text")).alias("_b"))
+def _promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of digests whose signatures agree in AGREE of the coordinates, written once."""
 
     def run(batches):
         for batch in batches:
-            for part in V.chunks(batch, "_b"):
-                linked = similarities(part.column("_a"), part.column("_b")) >= threshold
-                yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v"), pa.array(linked)], names=["u", "v", "linked"])
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("_a", "_b"))
+            near = (a == b).mean(1) >= AGREE if batch.num_rows else np.zeros(0, bool)
+            yield batch.select(["u", "v"]).filter(pa.array(near))
 
-    return V.written(pairs.join(right, "v").join(left, "u").select("u", "v", "_a", "_b").mapInArrow(run, "u binary, v binary, linked boolean"), "verified")
+    left, right = (nodes.select(F.col("_digest").alias(k), F.col("_sketch").alias(c)) for k, c in (("u", "_a"), ("v", "_b")))
+    return V.written(pairs.join(right, "v").join(left, "u").select("u", "v", "_a", "_b").mapInArrow(run, "u binary, v binary"), "pairs")
 
 
-def links(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Verified links (u, v) between digests of different texts; rows has _digest and _text."""
-    keys = _nodes(rows).select("_digest", F.explode("_keys").alias("_key"))
-    buckets = keys.groupBy("_key").agg(F.min("_digest").alias("_head"), F.count("*").alias("_size")).where("_size > 1")
-    members = V.written(keys.join(buckets, "_key"), "buckets")
-    small = members.where(F.col("_size") <= SMALL_BUCKET)
-    other = small.select("_key", F.col("_digest").alias("v"))
-    close = small.select("_key", F.col("_digest").alias("u")).join(other, "_key").where("u < v").select("u", "v")
-    large = members.where(F.col("_size") > SMALL_BUCKET).select("_key", "_digest", "_head")
-    star = large.where("_digest > _head").select(F.col("_head").alias("u"), F.col("_digest").alias("v"))
-    seen = _verified(V.written(close.unionByName(star).distinct(), "pairs"), rows, threshold)
-    found = seen.where("linked").select("u", "v")
-    # Members of a large bucket that aren't linked to its head, until there are none: the least of them is the next head and meets all the others.
-    open_ = large.where("_digest > _head").join(seen.where("NOT linked").select("u", "v"), (F.col("_head") == F.col("u")) & (F.col("_digest") == F.col("v"))).select("_key", "_digest")
-    open_ = V.written(open_, "open")
-    while not open_.isEmpty():
-        heads = open_.groupBy("_key").agg(F.min("_digest").alias("_next"))
-        asked = large.select("_key", "_digest").join(heads, "_key").where("_digest <> _next")
-        pairs = asked.select(F.least("_digest", "_next").alias("u"), F.greatest("_digest", "_next").alias("v")).distinct()
-        fresh = V.written(pairs.join(seen, ["u", "v"], "left_anti"), "pairs")
-        more = _verified(fresh, rows, threshold)
-        seen = V.written(seen.unionByName(more), "seen")
-        found = seen.where("linked").select("u", "v")
-        joined = open_.join(heads, "_key").where("_digest <> _next").withColumn("u", F.least("_digest", "_next")).withColumn("v", F.greatest("_digest", "_next"))
-        open_ = V.written(joined.join(seen.where("linked"), ["u", "v"], "left_anti").select("_key", "_digest"), "open")
-    return found
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (u, v) of digests whose texts are similar enough, written once; texts has _digest and _words."""
+    left, right = (texts.select(F.col("_digest").alias(k), F.col("_words").alias(c)) for k, c in (("u", "_a"), ("v", "_b")))
 
-
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row a row: id, _digest of the text, class_id (the least id of its class), class_size (rows) and kept (the class's first row)."""
-    V.tune(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("_id"), digest(F.col(text_col)).alias("_digest"), F.col(text_col).alias("_text"))
-    roots = components(links(rows.select("_digest", "_text"), threshold))
+    def run(batches):
+        for batch in batches:
+            for part in V.chunks(batch, "_b"):
+                linked = similarities(part.column("_a"), part.column("_b")) >= threshold
+                yield part.select(["u", "v"]).filter(pa.array(linked))
+
+    return V.written(pairs.join(right, "v").join(left, "u").select("u", "v", "_a", "_b").mapInArrow(run, "u binary, v binary"), "verified")
+
+
+def cell_links(words, minor: np.ndarray, root: np.ndarray, threshold: float, together: int = 4096) -> list[tuple[int, int]]:
+    """Places (i, j) of similar texts in an Arrow column, i among the minor ones and j not, of different roots; one for each i and root."""
+    unit, row = units(*V.text_buffer(words))
+    total = np.bincount(row, minlength=len(words)).astype(np.float32)
+    left, right = np.flatnonzero(minor), np.flatnonzero(~minor)
+    place = np.empty(len(words), np.int64)
+    place[left], place[right] = np.arange(len(left)), np.arange(len(right))
+    # Units of the minor texts are the columns; others can't be shared.
+    columns = np.unique(unit[minor[row]])
+    at = np.minimum(np.searchsorted(columns, unit), max(len(columns) - 1, 0))
+    known = columns[at] == unit if len(columns) else np.zeros(len(unit), bool)
+    row, at = row[known], at[known]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, len(columns), together):
+        a, b = np.searchsorted(at, [low, low + together])
+        r, c = row[a:b], at[a:b] - low
+        x, y = np.zeros((len(left), together), np.float32), np.zeros((len(right), together), np.float32)
+        mine = minor[r]
+        x[place[r[mine]], c[mine]] = 1
+        y[place[r[~mine]], c[~mine]] = 1
+        shared += x @ y.T
+    near = shared / np.maximum(total[left][:, None] + total[right] - shared, 1) >= threshold - 1e-6
+    near &= (root[left][:, None] != root[right]) & (shared > 0)
+    out = []
+    for i in range(len(left)):
+        hits = np.flatnonzero(near[i])
+        _, first = np.unique(root[right][hits], return_index=True)
+        out += [(int(left[i]), int(right[j])) for j in hits[first]]
+    return out
+
+
+def _across(large: DataFrame, found: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links between the components that large buckets (_key, _digest, _hub) still hold; texts has _digest and _words."""
+    roots = components(found)
+    placed = large.join(roots, F.col("_digest") == F.col("node"), "left").select("_key", "_hub", "_digest", F.coalesce("root", "_digest").alias("_root"))
+    mixed = placed.groupBy("_key").agg(F.min("_root").alias("_a"), F.max("_root").alias("_b")).where("_a <> _b").select("_key")
+    placed = V.written(placed.join(mixed, "_key"), "mixed")
+    stars = placed.where("_digest <> _hub").select(F.col("_hub").alias("u"), F.col("_digest").alias("v")).distinct()
+    clusters = components(stars)
+    named = clusters.select("node", F.col("root").alias("_cluster"))
+    nodes = placed.select("_digest", "_root").distinct().join(named, F.col("_digest") == F.col("node"), "left").select("_digest", "_root", F.coalesce("_cluster", "_digest").alias("_cluster"))
+    sizes = nodes.groupBy("_cluster", "_root").agg(F.count("*").alias("_n"))
+    sizes = sizes.groupBy("_cluster").agg(F.max(F.struct("_n", "_root")).alias("_top"), F.sum("_n").alias("_all"))
+    few, many = CELL
+    sizes = sizes.select("_cluster", F.col("_top._root").alias("_major"), F.ceil((F.col("_all") - F.col("_top._n")) / few).cast("int").alias("_mb"), F.ceil(F.col("_all") / many).cast("int").alias("_ab")).where("_mb > 0")
+    nodes = V.written(nodes.join(sizes, "_cluster").join(texts, "_digest"), "clusters")
+    block = lambda seed, n: F.pmod(F.xxhash64("_digest", F.lit(seed)), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    names = ["_cluster", "_digest", "_root", "_words"]
+    minor = nodes.where("_root <> _major").select(*names, F.lit(True).alias("_minor"), block(1, "_mb").alias("_i"), spread("_ab").alias("_j"))
+    every = nodes.select(*names, F.lit(False).alias("_minor"), block(2, "_ab").alias("_j"), spread("_mb").alias("_i"))
+
+    def cell(part: pa.Table) -> pa.Table:
+        digests = part.column("_digest").to_pylist()
+        number: dict[bytes, int] = {}
+        root = np.array([number.setdefault(x, len(number)) for x in part.column("_root").to_pylist()])
+        got = cell_links(part.column("_words"), part.column("_minor").to_numpy(), root, threshold)
+        return pa.table({"u": pa.array([min(digests[i], digests[j]) for i, j in got], pa.binary()), "v": pa.array([max(digests[i], digests[j]) for i, j in got], pa.binary())})
+
+    out = V.written(minor.unionByName(every).groupBy("_cluster", "_i", "_j").applyInArrow(cell, "u binary, v binary"), "across")
+    V.discard(roots, placed, clusters, nodes)
+    return out
+
+
+def links(rows: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Verified links (u, v) between digests of different texts in two written tables, enough of them for the components; rows has _digest and _text."""
+    nodes = _nodes(rows)
+    keys = nodes.select("_digest", F.explode("_keys").alias("_key"))
+    buckets = keys.groupBy("_key").agg(F.count("*").alias("_size")).where("_size > 1")
+    members = V.written(keys.join(buckets, "_key"), "buckets")
+    small, large = members.where(F.col("_size") <= SMALL_BUCKET), members.where(F.col("_size") > SMALL_BUCKET)
+    close = small.select("_key", F.col("_digest").alias("u")).join(small.select("_key", F.col("_digest").alias("v")), "_key").where("u < v").select("u", "v")
+    weight = large.groupBy("_digest").agg(F.sum("_size").alias("_met"))
+    hubs = large.join(weight, "_digest").groupBy("_key").agg(F.max(F.struct("_met", "_digest"))["_digest"].alias("_hub"))
+    large = V.written(large.select("_key", "_digest").join(hubs, "_key"), "large")
+    star = large.where("_digest <> _hub").select(F.least("_digest", "_hub").alias("u"), F.greatest("_digest", "_hub").alias("v"))
+    tried = V.written(close.unionByName(star).distinct(), "tried")
+    # The texts of all candidates, fetched once.
+    wanted = tried.select(F.col("u").alias("_digest")).unionByName(tried.select(F.col("v").alias("_digest"))).distinct()
+    # Copies are put together before the shuffle. Candidates grow with the table: texts go to them by a sort-merge join at every size.
+    texts = rows.where("_digest IS NOT NULL").groupBy("_digest").agg(F.first("_text").alias("_text")).join(wanted.hint("merge"), "_digest", "left_semi")
+    texts = V.written(texts.select("_digest", normal(F.col("_text")).alias("_words")), "texts")
+    promising = _promising(tried, nodes)
+    V.discard(nodes, members)
+    found = _verified(promising, texts, threshold)
+    across = _across(large, found, texts, threshold)
+    V.discard(tried, promising, large, texts)
+    return found, across
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("_id"), digest(F.col(text_col)).alias("_digest"), F.col(text_col).alias("_text"))
+
+
+def _classed(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(_digest, _root) of each different text, and _first (id and digest of the first row) and class_size of each _root."""
+    found, across = links(rows.select("_digest", "_text"), threshold)
+    roots = components(found.unionByName(across))
+    V.discard(found, across)
     # Least id and number of rows of each different text, then of each class.
     texts = rows.where("_digest IS NOT NULL").groupBy("_digest").agg(F.min("_id").alias("_low"), F.count("*").alias("_n"))
     texts = texts.join(roots, F.col("_digest") == F.col("node"), "left").select("_digest", F.coalesce("root", "_digest").alias("_root"), "_low", "_n")
     texts = V.written(texts, "texts")
+    V.discard(roots)
     least = F.min(F.struct(F.col("_low").isNull().alias("none"), F.col("_low").alias("id"), F.col("_digest").alias("digest"))).alias("_first")
-    first = texts.groupBy("_root").agg(least, F.sum("_n").alias("class_size"))
+    return texts.select("_digest", "_root"), texts.groupBy("_root").agg(least, F.sum("_n").alias("class_size"))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row a row: id, _digest of the text, class_id (the least id of its class), class_size (rows) and kept (the class's first row)."""
+    V.tune(docs.sparkSession)
+    rows = _rows(docs, id_col, text_col)
+    texts, first = _classed(rows, threshold)
     named = texts.join(first, "_root").select(F.col("_digest").alias("_d"), F.col("_first.id").alias("class_id"), F.col("_first.digest").alias("_kept"), "class_size")
     out = rows.select("_id", "_digest").join(named, F.col("_digest") == F.col("_d"), "left")
     return out.select(
@@ -205,10 +300,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The first document of each class, with all its columns; rows with a null text all stay."""
-    keep = classes(docs, id_col, text_col, threshold).where("kept AND _digest IS NOT NULL").select(F.col(id_col).alias("_kid"), F.col("_digest").alias("_kdigest")).distinct()
-    marked = docs.withColumn("_digest", digest(F.col(text_col)))
-    same = F.col("_digest").eqNullSafe(F.col("_kdigest")) & F.col(id_col).eqNullSafe(F.col("_kid"))
-    stay = marked.where("_digest IS NOT NULL").join(keep, same, "left_semi")
-    # Equal rows: the first one stays.
-    stay = stay.withColumn("_n", F.row_number().over(Window.partitionBy("_digest", id_col).orderBy(id_col))).where("_n = 1")
-    return stay.select(docs.columns).unionByName(docs.where(F.col(text_col).isNull()))
+    V.tune(docs.sparkSession)
+    _, first = _classed(_rows(docs, id_col, text_col), threshold)
+    key = lambda d, i: F.struct(d.alias("d"), i.alias("i"))
+    keep = first.select(key(F.col("_first.digest"), F.col("_first.id")).alias("_key"))
+    marked = docs.select(F.struct("*").alias("_row"), digest(F.col(text_col)).alias("_digest"), key(digest(F.col(text_col)), F.col(id_col)).alias("_key"))
+    # Equal rows: the first one stays. The join and the numbering share one key, and so one exchange.
+    stay = marked.where("_digest IS NOT NULL").join(keep, "_key", "left_semi")
+    stay = stay.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("_digest"))).where("_n = 1").select("_row")
+    every = stay.unionByName(marked.where("_digest IS NULL").select("_row"))
+    return every.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
