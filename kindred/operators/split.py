@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.operators.ranking import hash_bucket, ranked, seeded, uniform
+from kindred.session import written
 
 SEED = 42
 PAIRS_PER_ENTITY = 10
@@ -34,14 +35,18 @@ def positive_pairs(members: DataFrame, most: int = PAIRS_PER_ENTITY) -> DataFram
     return pairs.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= most).select("vin", "id1", "id2")
 
 
-def negative_pairs(ids: DataFrame, id_to_key: DataFrame, wanted: int, seed: int, attempts: int = 5, id_col: str = "id", order: tuple[str, ...] = ("ord",)) -> DataFrame:
-    """(attempt, id1, id2): hash-picked pairs of rows whose entities differ; the first `wanted` of `attempts` x wanted tries. Two rows without an entity never differ."""
-    spark = ids.sparkSession
-    n = ids.count()
+def numbered_rows(ids: DataFrame, id_to_key: DataFrame, id_col: str = "id", order: tuple[str, ...] = ("ord",)) -> DataFrame:
+    """(row, id, vin): every row under a number from 1, in hash order, with its entity if it has one."""
+    keyed = ids.select(F.col(id_col).alias("id"), *order).withColumn("_h", F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in order))))
+    return ranked(keyed, ["_h", *order], hash_bucket(F.col("_h")), "row").join(id_to_key, "id", "left").select("row", "id", "vin")
+
+
+def negative_pairs(numbered: DataFrame, wanted: int, seed: int, attempts: int = 5, n: int | None = None) -> DataFrame:
+    """(attempt, id1, id2): hash-picked pairs of numbered rows whose entities differ; the first `wanted` of `attempts` x wanted tries. Two rows without an entity never differ."""
+    spark = numbered.sparkSession
+    n = numbered.count() if n is None else n
     if not n or not wanted:
         return spark.createDataFrame([], "attempt long, id1 string, id2 string")
-    keyed = ids.select(F.col(id_col).alias("id"), *order).withColumn("_h", F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in order))))
-    numbered = ranked(keyed, ["_h", *order], hash_bucket(F.col("_h")), "row").join(id_to_key, "id", "left").select("row", "id", "vin")
     tries = spark.range(1, wanted * attempts + 1).withColumnRenamed("id", "attempt")
     pick = lambda side: (uniform(seeded(seed, F.col("attempt"), F.lit(side)), F.lit(n)) + 1)
     tries = tries.withColumn("r1", pick("a")).withColumn("r2", pick("b")).where("r1 <> r2")
@@ -55,9 +60,10 @@ def labelled_pairs(members: DataFrame, splits: DataFrame, ids: DataFrame, id_to_
     """(split, id1, id2, label): an entity's positives in its split, and as many negatives from all rows for each split."""
     positive = positive_pairs(members).join(splits, "vin").select("split", "id1", "id2", F.lit(1).alias("label"))
     counts = {r["split"]: r["n"] for r in positive.groupBy("split").agg(F.count("*").alias("n")).collect()}
-    out = positive
+    out, numbered = positive, written(numbered_rows(ids, id_to_key, order=order), "numbered")
+    n = numbered.count()
     for i, split in enumerate(SPLITS):
-        negative = negative_pairs(ids, id_to_key, counts.get(split, 0), seed + i, order=order)
+        negative = negative_pairs(numbered, counts.get(split, 0), seed + i, n=n)
         out = out.unionByName(negative.select(F.lit(split).alias("split"), "id1", "id2", F.lit(0).alias("label")))
     return out
 

@@ -37,10 +37,11 @@ def test_entity_split_is_disjoint_seeded_and_proportional(spark):
 def test_negatives_differ_and_two_unknown_never_pair(spark):
     ids = spark.createDataFrame([(str(i), i) for i in range(40)], "id string, ord long")
     known = spark.createDataFrame([(str(i), f"v{i % 3}") for i in range(30)], "id string, vin string")
-    rows = split.negative_pairs(ids, known, 25, 7).collect()
+    numbered = split.numbered_rows(ids, known)
+    rows = split.negative_pairs(numbered, 25, 7).collect()
     owner = {r["id"]: r["vin"] for r in known.collect()}
     assert len(rows) == 25 and all(owner.get(r["id1"]) != owner.get(r["id2"]) for r in rows)
-    assert split.negative_pairs(ids, known.where("false"), 5, 7).count() == 0
+    assert split.negative_pairs(split.numbered_rows(ids, known.where("false")), 5, 7).count() == 0
 
 
 def test_split_assignment_last_wins(spark):
