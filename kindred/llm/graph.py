@@ -12,27 +12,34 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = _both(edges)
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-    return both.join(low, F.col("u") == F.col("c")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _least(edges: DataFrame) -> DataFrame:
+    """The least neighbour v of each node u, as (c, m). It is written, so that the join with it has an exchange of its own on both sides and Spark can split a hub's rows."""
+    return V.written(edges.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c"), "least")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
-    joined = down.join(low, F.col("u") == F.col("c"))
-    return joined.select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("c").alias("u"), F.col("m").alias("v")))
+def _large_star(edges: DataFrame, low: DataFrame) -> DataFrame:
+    return _both(edges).join(low, F.col("u") == F.col("c")).where("v > u").select(F.col("v").alias("u"), F.least("c", "m").alias("v"))
+
+
+def _small_star(edges: DataFrame, low: DataFrame) -> DataFrame:
+    joined = _down(edges).join(low, F.col("u") == F.col("c")).where("v <> m")
+    return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("c").alias("u"), F.col("m").alias("v")))
+
+
+def _down(edges: DataFrame) -> DataFrame:
+    return edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (u, v) but the roots: a root is the least node of its component."""
     now, state = V.written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"), None
     while True:
-        wide = V.written(_large_star(now).distinct(), "stars")
-        V.discard(now)
-        now = V.written(_small_star(wide).distinct(), "stars")
-        V.discard(wide)
+        low = _least(_both(now))
+        wide = V.written(_large_star(now, low).distinct(), "stars")
+        V.discard(now, low)
+        low = _least(_down(wide))
+        now = V.written(_small_star(wide, low).distinct(), "stars")
+        V.discard(wide, low)
         counted = now.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
         if tuple(counted) == state:
             out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
