@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier line equals, or is one edit away from, go; every document stays, with its other lines."""
-    return _counted(linedup.without_duplicates(docs))
+    """Lines that an earlier line equals, or is one edit or a tenth of its words away from, go; every document stays, with its other lines."""
+    return _counted(linedup.without_duplicates(docs, words_an_edit=linedup.WORDS_AN_EDIT))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,12 @@ Equal lines are one from the start. A key that more than BUCKET lines share is n
 compared by what is left of them when one character is taken out, at the same place or from the longer line, which finds the same links with rows in proportion to the
 lines' lengths. With more edits allowed, all keys are joined pair by pair.
 
-A line is a duplicate if an equal line comes earlier, or if one within `max_edits` edits has its first occurrence earlier; order is by document id, text and line
+With `words_an_edit`, lines are near as well if they are as few word edits apart as the longer one has that many words, rounded down. Such lines share a run of
+words that no edit touched, so they share the least of its hashed GRAM-word runs: a line's keys are the least ones of all its windows of that size, at places that differ by the edits at most.
+A key that more than BUCKET lines share compares each with the key's earliest line; those still open then meet the key's lines in cells of bounded size, so no pair is a row.
+That last step's work is the number of such lines times the key's lines.
+
+A line is a duplicate if an equal line comes earlier, or if a near one has its first occurrence earlier; order is by document id, text and line
 number. Lines of fewer than MIN_CHARS characters are only compared for equality, and lines without a word are left alone.
 
 Edge cases: a null text has no lines; texts and lines of any length are read whole; rows equal in id and text are judged alike; ties in the id are
@@ -17,9 +22,11 @@ broken by the text's hash; an empty table gives an empty result; other columns a
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.llm import _vec as V
@@ -29,6 +36,12 @@ MAX_EDITS = 1
 MIN_CHARS = 20
 #: Lines that a key may have to be joined pair by pair.
 BUCKET = 64
+#: The queries' `words_an_edit`.
+WORDS_AN_EDIT = 10
+#: Words of a key of the word edits.
+GRAM = 4
+#: Lines of a key on one side of a cell.
+CELL = 2048
 
 _U = np.uint64
 
@@ -127,7 +140,171 @@ def removals(points: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple
     return line, at - first, V.mix(rest + size(length[line] - 1)), V.mix(whole + size(length))
 
 
-def occurrences(docs: DataFrame, id_col: str, text_col: str, max_edits: int) -> DataFrame:
+def untouched(words_an_edit: int) -> list[tuple[int, int, int]]:
+    """(least words, most words, words of a run that no edit touches) of the lines that can be in a pair, by classes of the longer one's words."""
+    out = []
+    for low, high in ((1, 2), (2, 4), (4, 400)):
+        sizes = [(n, n // words_an_edit) for n in range(low * words_an_edit, high * words_an_edit)]
+        run = min(-(-(n - k) // (k + 1)) for n, k in sizes)
+        out.append((min(n - k for n, k in sizes), 1 << 62 if high == 400 else sizes[-1][0], max(run, 1)))
+    return out
+
+
+def line_seeds(words: np.ndarray, first: np.ndarray, last: np.ndarray, words_an_edit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line, key and place (in words; -1 if the line has the key repeatedly) of the keys of lines words[first:last] of hashed words."""
+    rolling = V.Rolling(words)
+    count = last - first
+    grams: dict[int, np.ndarray] = {}
+    found = []
+    for c, (low, high, run) in enumerate(untouched(words_an_edit)):
+        gram = min(GRAM, run)
+        fits = (count >= max(low, run)) & (count <= high)
+        line = np.repeat(np.flatnonzero(fits), count[fits] - run + 1)
+        window = ragged(first[fits], count[fits] - run + 1)
+        if not len(window):
+            continue
+        if gram not in grams:
+            at = np.arange(len(words) - gram + 1)
+            grams[gram] = rolling.spans(at, at + gram)
+        least, place = grams[gram][window], window.copy()
+        for j in range(1, run - gram + 1):
+            other = grams[gram][window + j]
+            less = other < least
+            least[less], place[less] = other[less], window[less] + j
+        # Neighbouring windows mostly have the same place.
+        new = np.ones(len(window), bool)
+        new[1:] = (place[1:] != place[:-1]) | (line[1:] != line[:-1])
+        line, place = line[new], place[new]
+        found.append((line, V.mix(least[new] ^ V.mix(np.full(1, c + 1, _U))), place - first[line]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64)
+    line, key, place = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((place, key, line))
+    line, key, place = line[order], key[order], place[order]
+    new = np.ones(len(line), bool)
+    new[1:] = (line[1:] != line[:-1]) | (key[1:] != key[:-1])
+    starts = np.flatnonzero(new)
+    same = np.minimum.reduceat(place, starts) == np.maximum.reduceat(place, starts)
+    return line[starts], key[starts], np.where(same, place[starts], -1)
+
+
+def hashed_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and how many come before each offset."""
+    words = V.Words(buf, offsets)
+    return V.Rolling(buf).spans(words.start, words.end), np.searchsorted(words.start, offsets)
+
+
+def words_within(a: list, b: list, most: int) -> bool:
+    """Whether two lists are within `most` edits, by the furthest places that each number of edits reaches on each diagonal."""
+    m, n = len(a), len(b)
+    # A word that the other list lacks takes an edit of its own.
+    if abs(m - n) > most or len(set(b).difference(a)) > most:
+        return False
+    reached: dict[int, int] = {}
+    for d in range(most + 1):
+        now = {}
+        for g in range(-min(d, m), min(d, n) + 1):
+            x = max(reached.get(g + 1, -2) + 1, reached.get(g, -2) + 1, reached.get(g - 1, -2)) if d else 0
+            x = min(x, m, n - g)
+            if x < 0 or x + g < 0:
+                continue
+            while x < m and x + g < n and a[x] == b[x + g]:
+                x += 1
+            now[g] = x
+        if now.get(n - m, -1) >= m:
+            return True
+        reached = now
+    return False
+
+
+def seeds(docs: DataFrame, text_col: str, words_an_edit: int) -> DataFrame:
+    """_key, _h, _n (words) and _at of the lines' keys for word edits."""
+
+    def run(batches):
+        for batch in batches:
+            for part in V.chunks(batch, "_text"):
+                buf, offsets = V.text_buffer(part.column("_text"))
+                start, end, _ = V.lines_of(buf, offsets)
+                before = V.code_points(buf)
+                words = V.Words(buf, offsets)
+                first, last = np.searchsorted(words.start, start), np.searchsorted(words.start, end)
+                begin, stop = before[start], before[end]
+                last = np.where(stop - begin < MIN_CHARS, first, last)
+                line, key, at = line_seeds(V.Rolling(buf).spans(words.start, words.end), first, last, words_an_edit)
+                h = V.Rolling(points_of(buf)).spans(begin, stop)[line]
+                columns = [pa.array(key.view(np.int64)), pa.array(h.view(np.int64)), pa.array((last - first)[line].astype(np.int32)), pa.array(at.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["_key", "_h", "_n", "_at"])
+
+    return docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("_text")).mapInArrow(run, "_key long, _h long, _n int, _at int")
+
+
+def word_keys(docs: DataFrame, lines: DataFrame, text_col: str, words_an_edit: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs _a, _b to compare, and the members of the keys that more than BUCKET lines share: _key, _h, _first, _n, _at, _size and _lead, the key's earliest line."""
+    key = Window.partitionBy("_key")
+    every = seeds(docs, text_col, words_an_edit).withColumn("_a", F.min("_h").over(key)).withColumn("_b", F.max("_h").over(key))
+    shared = V.written(every.where("_a <> _b").drop("_a", "_b").distinct(), "wshared")
+    sizes = shared.groupBy("_key").agg(F.count("*").alias("_size"))
+    small = shared.join(sizes.where(F.col("_size") <= BUCKET), "_key")
+    a = small.select("_key", F.col("_h").alias("_a"), F.col("_n").alias("_na"), F.col("_at").alias("_pa"))
+    b = small.select("_key", F.col("_h").alias("_b"), F.col("_n").alias("_nb"), F.col("_at").alias("_pb"))
+    most = F.floor(F.greatest("_na", "_nb") / words_an_edit)
+    aligned = (F.abs(F.col("_na") - F.col("_nb")) <= most) & ((F.col("_pa") < 0) | (F.col("_pb") < 0) | (F.abs(F.col("_pa") - F.col("_pb")) <= most))
+    pairs = a.join(b, "_key").where((F.col("_a") < F.col("_b")) & aligned).select("_a", "_b")
+    hot = shared.join(sizes.where(F.col("_size") > BUCKET), "_key").join(lines.select("_h", "_first"), "_h")
+    lead = hot.groupBy("_key").agg(F.min(F.struct("_first", "_h")).getField("_h").alias("_lead"))
+    hot = V.written(hot.join(lead, "_key"), "whot")
+    stars = hot.where("_h <> _lead").select(F.least("_h", "_lead").alias("_a"), F.greatest("_h", "_lead").alias("_b"))
+    out = V.written(pairs.unionByName(stars).distinct(), "wpairs")
+    V.discard(shared)
+    return out, hot
+
+
+def in_cells(hot: DataFrame, texts: DataFrame, settled: DataFrame, words_an_edit: int) -> DataFrame:
+    """_h of the lines of large keys that aren't settled and that an earlier line of the key is near: blocks of open lines meet blocks of all lines."""
+    open_ = hot.where("_h <> _lead").join(settled, "_h", "left_anti").select("_key", "_h", F.lit(True).alias("_open"))
+    members = hot.join(open_.select("_key").distinct(), "_key", "left_semi").join(open_, ["_key", "_h"], "left").join(texts.select("_h", "_text"), "_h")
+    blocks = F.ceil(F.col("_size") / CELL).cast("int")
+    members = members.withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.col("_h"), F.col("_blocks")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    columns = ["_key", "_h", "_first", "_n", "_at", "_text"]
+    asking = members.where("_open").select(*columns, F.lit(True).alias("_asks"), F.col("_block").alias("_i"), others.alias("_j"))
+    wanted = asking.select("_key", "_i").distinct()
+    asked = members.select(*columns, F.lit(False).alias("_asks"), F.col("_block").alias("_j")).join(wanted, "_key")
+
+    def compare(table: pa.Table) -> pa.Table:
+        asks = table.column("_asks").to_numpy()
+        n, at = table.column("_n").to_numpy().astype(np.int64), table.column("_at").to_numpy().astype(np.int64)
+        buf, offsets = V.text_buffer(table.column("_text"))
+        words, before = hashed_words(buf, offsets)
+        vocabulary, words = np.unique(words, return_inverse=True)
+        inside = np.zeros(len(vocabulary), bool)
+        bounds = before.tolist()
+        of_line = lambda i: words[bounds[i] : bounds[i + 1]]
+        place = [tuple((v is not None, v) for v in f.values()) for f in table.column("_first").to_pylist()]
+        side = np.array(sorted(np.flatnonzero(~asks).tolist(), key=place.__getitem__), np.int64)
+        ordered = [place[i] for i in side]
+        out = []
+        for i in np.flatnonzero(asks):
+            earlier = side[: bisect.bisect_left(ordered, place[i])]
+            most = np.maximum(n[earlier], n[i]) // words_an_edit
+            fits = np.abs(n[earlier] - n[i]) <= most
+            if at[i] >= 0:
+                fits &= (at[earlier] < 0) | (np.abs(at[earlier] - at[i]) <= most)
+            earlier, most = earlier[fits], most[fits]
+            if len(earlier):
+                # Every word that the open line lacks takes an edit of its own.
+                inside[of_line(i)] = True
+                lacking = np.add.reduceat(~inside[words[ragged(before[earlier], n[earlier])]], np.cumsum(n[earlier]) - n[earlier], dtype=np.int64)
+                inside[of_line(i)] = False
+                earlier, most = earlier[lacking <= most], most[lacking <= most]
+            mine = of_line(i).tolist()
+            out.append(any(words_within(of_line(j).tolist(), mine, k) for j, k in zip(earlier.tolist(), most.tolist(), strict=True)))
+        return table.filter(pa.array(asks)).filter(pa.array(out, pa.bool_())).select(["_h"])
+
+    return asking.unionByName(asked).groupBy("_key", "_i", "_j").applyInArrow(compare, "_h long").distinct()
+
+
+def occurrences(docs: DataFrame, id_col: str, text_col: str, max_edits: int, words_an_edit: int | None = None) -> DataFrame:
     """id, _k (hash of id and text), line number, characters, two hashes and the join keys of every line with a word, written once."""
     V.tune(docs.sparkSession)
     src = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_k"), F.col(text_col).alias("_text"))
@@ -140,8 +317,9 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, max_edits: int) ->
                 start, end, row = V.lines_of(buf, offsets)
                 number = np.arange(len(row)) - np.searchsorted(row, row, "left")
                 words = V.Words(buf, offsets).start
-                full = np.searchsorted(words, end) > np.searchsorted(words, start)
-                start, end, row, number = start[full], end[full], row[full], number[full]
+                n_words = np.searchsorted(words, end) - np.searchsorted(words, start)
+                full = n_words > 0
+                start, end, row, number, n_words = start[full], end[full], row[full], number[full], n_words[full]
                 before = V.code_points(buf)
                 begin, length = before[start], before[end] - before[start]
                 rolling = V.Rolling(points_of(buf))
@@ -149,6 +327,9 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, max_edits: int) ->
                 h = rolling.spans(begin, begin + length)
                 second = V.mix(V.Rolling(buf ^ np.uint8(0x5A)).spans(start, end) + _U(1))
                 short = length < MIN_CHARS
+                if words_an_edit:
+                    # An edit of one character changes two words at most, so word edits include it here.
+                    short |= n_words // words_an_edit >= 2 * max_edits
                 lists = []
                 for keys in (index, probe):
                     n = np.where(short, 0, keys.shape[1])
@@ -170,8 +351,8 @@ def _line_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
     return lines.select("_a._h", "_a._first", F.element_at("_lines", F.col("_a._first._line") + 1).alias("_text")).dropDuplicates(["_h"])
 
 
-def duplicate_lines(docs: DataFrame, occ: DataFrame, id_col: str, text_col: str, max_edits: int) -> DataFrame:
-    """_h, _h2, _first (the first occurrence) and _dup (an earlier line is within max_edits edits) of every different line."""
+def duplicate_lines(docs: DataFrame, occ: DataFrame, id_col: str, text_col: str, max_edits: int, words_an_edit: int | None = None) -> DataFrame:
+    """_h, _h2, _first (the first occurrence) and _dup (an earlier line is near) of every different line."""
     first = F.min(F.struct("_id", "_k", "_line")).alias("_first")
     lines = V.written(occ.groupBy("_h", "_h2").agg(first, F.first("_index").alias("_index"), F.first("_probe").alias("_probe")), "distinct")
     index = lines.select(F.explode("_index").alias("_key"), "_h", F.lit(True).alias("_own"))
@@ -186,9 +367,16 @@ def duplicate_lines(docs: DataFrame, occ: DataFrame, id_col: str, text_col: str,
     pairs = V.written(pairs, "pairs")
     hot = shared.where(F.col("_n") > limit).select("_h").distinct()
     hot = V.written(hot, "hot")
+    # Only lines of the one-edit keys are taken apart.
+    asked = hot
+    if words_an_edit:
+        by_words, crowded = word_keys(docs, lines, text_col, words_an_edit)
+        old, pairs = pairs, V.written(pairs.unionByName(by_words).distinct(), "allpairs")
+        V.discard(old, by_words)
+        asked = hot.unionByName(crowded.select("_h"))
 
     places = lines.select("_h", "_first")
-    wanted = pairs.select(F.col("_a").alias("_h")).unionByName(pairs.select(F.col("_b").alias("_h"))).unionByName(hot).distinct()
+    wanted = pairs.select(F.col("_a").alias("_h")).unionByName(pairs.select(F.col("_b").alias("_h"))).unionByName(asked).distinct()
     texts = V.written(_line_texts(docs, places.join(wanted, "_h"), id_col, text_col), "texts")
     a = texts.select(F.col("_h").alias("_a"), F.col("_first").alias("_fa"), F.col("_text").alias("_ta"))
     b = texts.select(F.col("_h").alias("_b"), F.col("_first").alias("_fb"), F.col("_text").alias("_tb"))
@@ -200,10 +388,20 @@ def duplicate_lines(docs: DataFrame, occ: DataFrame, id_col: str, text_col: str,
                 (x, xo), (y, yo) = V.text_buffer(part.column("_ta")), V.text_buffer(part.column("_tb"))
                 px, py = points_of(x), points_of(y)
                 bx, by = V.code_points(x)[xo], V.code_points(y)[yo]
-                near = within(np.concatenate([px, py]), bx[:-1], np.diff(bx), len(px) + by[:-1], np.diff(by), max_edits)
+                near, by_chars = np.zeros(part.num_rows, bool), np.arange(part.num_rows)
+                if words_an_edit:
+                    (wx, cx), (wy, cy) = hashed_words(x, xo), hashed_words(y, yo)
+                    most = np.maximum(np.diff(cx), np.diff(cy)) // words_an_edit
+                    for i in np.flatnonzero(most):
+                        near[i] = words_within(wx[cx[i] : cx[i + 1]].tolist(), wy[cy[i] : cy[i + 1]].tolist(), int(most[i]))
+                    by_chars = np.flatnonzero(~near & (most < 2 * max_edits))
+                near[by_chars] |= within(np.concatenate([px, py]), bx[by_chars], np.diff(bx)[by_chars], len(px) + by[by_chars], np.diff(by)[by_chars], max_edits)
                 yield pa.RecordBatch.from_arrays([part.column("_h")], names=["_h"]).filter(pa.array(near))
 
     near = pairs.join(a, "_a").join(b, "_b").select(later, "_ta", "_tb").mapInArrow(verify, "_h long")
+    if words_an_edit:
+        near = V.written(near.distinct(), "near")
+        near = near.unionByName(in_cells(crowded, texts, near, words_an_edit))
 
     def take_out(batches):
         for batch in batches:
@@ -228,21 +426,21 @@ def duplicate_lines(docs: DataFrame, occ: DataFrame, id_col: str, text_col: str,
     grown = wholes.join(taken.select("_rest", F.col("_h").alias("_b"), F.col("_first").alias("_fb")), "_rest").select(later)
     dup = near.unionByName(swapped).unionByName(grown).distinct().withColumn("_dup", F.lit(True))
     out = V.written(lines.select("_h", "_h2", "_first").join(dup, "_h", "left").withColumn("_dup", F.coalesce("_dup", F.lit(False))), "judged")
-    V.discard(lines, shared, pairs, hot, texts)
+    V.discard(lines, shared, pairs, hot, texts, *([crowded] if words_an_edit else []))
     return out
 
 
-def _judged(docs: DataFrame, id_col: str, text_col: str, max_edits: int) -> DataFrame:
+def _judged(docs: DataFrame, id_col: str, text_col: str, max_edits: int, words_an_edit: int | None) -> DataFrame:
     """_id, _k, _line, _chars and _gone of every line with a word."""
-    occ = occurrences(docs, id_col, text_col, max_edits)
-    lines = duplicate_lines(docs, occ, id_col, text_col, max_edits)
+    occ = occurrences(docs, id_col, text_col, max_edits, words_an_edit)
+    lines = duplicate_lines(docs, occ, id_col, text_col, max_edits, words_an_edit)
     place = F.struct("_id", "_k", "_line")
     return occ.select("_id", "_k", "_line", "_chars", "_h", "_h2").join(lines, ["_h", "_h2"]).withColumn("_near", F.col("_dup")).withColumn("_gone", F.col("_dup") | ~place.eqNullSafe(F.col("_first")))
 
 
-def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS) -> DataFrame:
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, words_an_edit: int | None = None) -> DataFrame:
     """One row a document: id, n_lines (with a word), n_dup_lines (that go), n_near_lines (of these, near another line) and removed_chars."""
-    judged = _judged(docs, id_col, text_col, max_edits)
+    judged = _judged(docs, id_col, text_col, max_edits, words_an_edit)
     gone = F.col("_gone").cast("long")
     per = judged.groupBy(F.col("_k").alias("_dk"), F.col("_line").alias("_dl")).agg(F.first("_gone").alias("_gone"), F.first("_near").alias("_near"), F.first("_chars").alias("_chars"))
     per = per.groupBy("_dk").agg(F.count("*").alias("n_lines"), F.sum(gone).alias("n_dup_lines"), F.sum(F.col("_near").cast("long")).alias("n_near_lines"), F.sum(gone * F.col("_chars")).alias("removed_chars"))
@@ -251,9 +449,9 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("_id").alias(id_col), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_lines", "n_dup_lines", "n_near_lines", "removed_chars")))
 
 
-def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS) -> DataFrame:
+def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, words_an_edit: int | None = None) -> DataFrame:
     """The documents without their duplicate lines, with all their columns; a document that loses all its lines stays, with what is left."""
-    gone = _judged(docs, id_col, text_col, max_edits).where("_gone").groupBy(F.col("_k").alias("_dk")).agg(F.collect_set(F.col("_line") + 1).alias("_lines"))
+    gone = _judged(docs, id_col, text_col, max_edits, words_an_edit).where("_gone").groupBy(F.col("_k").alias("_dk")).agg(F.collect_set(F.col("_line") + 1).alias("_lines"))
     # The row travels as one value, so that no column of it can clash.
     marked = docs.select(F.struct("*").alias("_row"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_k"), F.col(text_col).alias("_text"))
     joined = marked.join(gone, (F.col("_k") == F.col("_dk")) & F.col("_text").isNotNull(), "left")

@@ -51,7 +51,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linedup.line_report(_documents(spark, sf_dir))
+    return linedup.line_report(_documents(spark, sf_dir), words_an_edit=linedup.WORDS_AN_EDIT)
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

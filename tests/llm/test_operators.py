@@ -318,6 +318,62 @@ def test_line_report(docs, none, rows):
     assert linedup.line_report(none).count() == 0 and linedup.without_duplicates(none).count() == 0
 
 
+def plain_word_lines(rows, most):
+    """plain_lines with the lines that are a tenth of their words apart."""
+    gone = plain_lines(rows, most)
+    key = lambda o: (o[0] is not None, o[0] if o[0] is not None else 0, o[2])
+    first = {}
+    for i, t, n in sorted(gone, key=key):
+        first.setdefault(t.split("\n")[n], key((i, t, n)))
+    lines = [(x, WORD.findall(x)) for x in sorted((x for x in first if len(x) >= linedup.MIN_CHARS), key=first.__getitem__)]
+    allowed = lambda v, w: max(len(v), len(w)) // 10
+    near = {y for k, (y, w) in enumerate(lines) for _, v in lines[:k] if abs(len(v) - len(w)) <= allowed(v, w) and len(set(w) - set(v)) <= allowed(v, w) and edits(v, w) <= allowed(v, w)}
+    return {(i, t, n): g or t.split("\n")[n] in near for (i, t, n), g in gone.items()}
+
+
+@pytest.fixture(scope="module")
+def word_rows(rows):
+    rng = random.Random(8)
+    some = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    lines = []
+    for size in (9, 10, 12, 19, 20, 21, 35, 39, 40, 41, 60, 95):
+        line = some(size)
+        for times in range(size // 10 + 2):
+            other = list(line)
+            for at in sorted(rng.sample(range(size), times + 1)):
+                other[at : at + rng.randrange(2)] = some(rng.randrange(2))
+            lines += [line, other]
+    # Near copies of one line, and one passage in lines that have nothing else in common.
+    line, passage = some(45), some(12)
+    for _ in range(30):
+        other = list(line)
+        for at in rng.sample(range(45), rng.randrange(1, 5)):
+            other[at] = f"w{rng.randrange(5000)}"
+        lines += [other, some(rng.randrange(2, 30)) + passage + some(rng.randrange(2, 30)), ["the"] * rng.randrange(10, 80)]
+    rng.shuffle(lines)
+    return rows + [(1000 + i, " ".join(x), "en", "s1", 0) for i, x in enumerate(lines)]
+
+
+@pytest.mark.parametrize(("bucket", "cell"), [(64, 2048), (4, 5)])
+def test_line_dedup_by_words(spark, word_rows, monkeypatch, bucket, cell):
+    monkeypatch.setattr(linedup, "BUCKET", bucket)
+    monkeypatch.setattr(linedup, "CELL", cell)
+    gone = plain_word_lines(word_rows, 1)
+    assert sum(gone.values()) > sum(plain_lines(word_rows, 1).values()) + 50
+    want = [(str(i), None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if not gone.get((i, t, n)))) for i, t, *_ in word_rows]
+    out = linedup.without_duplicates(spark.createDataFrame(word_rows, SCHEMA).repartition(5), words_an_edit=10)
+    key = lambda p: (p[0], p[1] or "")
+    assert sorted(((str(r["doc_id"]), r["text"]) for r in out.collect()), key=key) == sorted(want, key=key)
+
+
+def test_op4_query_takes_changed_words(spark, tmp_path):
+    from kindred.llm import queries
+
+    line = [f"word{i}" for i in range(12)]
+    spark.createDataFrame([(1, " ".join(line)), (2, " ".join([*line[:5], "another", *line[6:]]))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["n_near_lines"] for r in queries.op4_line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 1}
+
+
 # ---- 5 top-k
 
 
