@@ -9,15 +9,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from kindred.session import discard, with_package, written  # noqa: F401
 
 #: Bytes of text that are worked on together.
 CHUNK_BYTES = 2 << 20
 
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = {_BASE: np.ones(1, np.uint64), _BASE_INVERSE: np.ones(1, np.uint64)}
+#: Hashes are polynomials modulo this prime, at two bases that have nothing to do with each other. Modulo a power of two, texts of a thousand bytes
+#: are known that differ and collide at every base; here a pair of texts collides at one base with a chance of their length in 2**61, at both in 2**122.
+PRIME = (1 << 61) - 1
+_BASES = (0x1B873593CC9E2D51 % PRIME, 0x0F3A6D4E85EBCA6B % PRIME)
+_powers = {x: np.ones(1, np.uint64) for base in _BASES for x in (base, pow(base, -1, PRIME))}
+
+_P, _LOW30, _LOW31 = np.uint64(PRIME), np.uint64((1 << 30) - 1), np.uint64((1 << 31) - 1)
+_30, _31, _61 = np.uint64(30), np.uint64(31), np.uint64(61)
 
 #: Word separators: the space and the characters from tab to carriage return.
 IS_SPACE = np.zeros(256, bool)
@@ -31,13 +38,39 @@ def tune(spark) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def row_key(row_id: Column, text: Column) -> Column:
+    """128 bits that stand for a row's id and text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.concat(row_id.cast("string"), F.lit("=")), F.lit("-")), F.coalesce(text, F.lit(""))).cast("binary")))
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME."""
+    x = (x & _P) + (x >> _61)
+    np.subtract(x, _P, out=x, where=x >= _P)
+    return x
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, of numbers under it, from products of halves."""
+    ah, al, bh, bl = a >> _31, a & _LOW31, b >> _31, b & _LOW31
+    cross = ah * bl
+    cross += al * bh
+    ah = ah * bh
+    ah <<= np.uint64(1)  # 2**62 is 2
+    ah += cross >> _30  # and 2**61 is 1
+    cross &= _LOW30
+    cross <<= _31
+    ah += cross
+    ah += al * bl
+    return reduced(ah)
+
+
 def power_table(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; one table per base is kept for the life of the worker."""
+    """base**0 .. base**(n-1) modulo PRIME; one table per base is kept for the life of the worker."""
     have = _powers[base]
-    if len(have) < n:
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
-        steps[0] = 1
-        _powers[base] = have = np.multiply.accumulate(steps)
+    while len(have) < n:
+        have = np.concatenate([have, times(have, np.uint64(pow(base, len(have), PRIME)))])
+    _powers[base] = have
     return have[:n]
 
 
@@ -52,20 +85,37 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Polynomial prefix hashes modulo 2**64, so that any span's hash costs two look-ups."""
+    """Polynomial prefix hashes modulo PRIME at one of the two bases, so that any span's hash costs two look-ups."""
 
-    def __init__(self, values: np.ndarray):
+    def __init__(self, values: np.ndarray, which: int = 0):
         n = len(values)
-        self.prefix = np.zeros(n + 1, np.uint64)
-        terms = values.astype(np.uint64)
-        terms += np.uint64(1)
-        terms *= power_table(_BASE, n)
-        np.cumsum(terms, out=self.prefix[1:])
+        self.base = _BASES[which]
+        power = power_table(self.base, n)
+        if values.dtype.itemsize < 8:
+            v = values.astype(np.uint64)
+            v += np.uint64(1)
+            high, low = v * (power >> _31), v * (power & _LOW31)
+            low += high >> _30
+            high &= _LOW30
+            high <<= _31
+            low += high
+            term = reduced(low)
+        else:
+            term = times(reduced(values), power)
+        high = np.cumsum(term >> _31)
+        term &= _LOW31
+        low = np.cumsum(term)
+        low += high >> _30
+        high &= _LOW30
+        high <<= _31
+        low += high
+        self.prefix = np.concatenate([np.zeros(1, np.uint64), reduced(low)])
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Well-mixed 64-bit hashes of values[start:end]."""
-        inverse = power_table(_BASE_INVERSE, len(self.prefix))
-        return mix((self.prefix[end] - self.prefix[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+        inverse = power_table(pow(self.base, -1, PRIME), len(self.prefix))
+        whole = times(reduced(self.prefix[end] + (_P - self.prefix[start])), inverse[start])
+        return mix(whole + np.asarray(end - start).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
@@ -133,12 +183,21 @@ def code_points(buf: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Masks over keys: it occurs at least twice; an equal one comes earlier."""
+def repeated(keys: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Masks over hashes at both bases: the pair occurs at least twice; an equal one comes earlier."""
     order = np.argsort(keys, kind="stable")
     same = keys[order][1:] == keys[order][:-1]
+    if (check[order][1:] != check[order][:-1])[same].any():
+        order = np.lexsort((check, keys))
+        same = (keys[order][1:] == keys[order][:-1]) & (check[order][1:] == check[order][:-1])
     many, later = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
     later[order[1:][same]] = True
     many[order[1:][same]] = True
     many[order[:-1][same]] = True
     return many, later
+
+
+def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start[0] .. start[0] + length[0] - 1, start[1] .. and so on."""
+    begin = np.cumsum(length) - length
+    return np.repeat(start - begin, length) + np.arange(length.sum())

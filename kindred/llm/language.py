@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.llm import _vec as V
@@ -139,8 +139,9 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     if not languages:
         return LanguageModel([], idf, np.zeros((0, _N)))
     each = max(1, sample_rows // len(languages))
-    # A share of the hash range for each language that holds about `each` of its rows.
-    bounds = {k: min(2**63 - 1, int(1.2 * each / n * 2**64) - 2**63) for k, n in sizes.items()}
+    # A share of the hash range for each language that holds `each` of its rows, but for a chance of less than one in a billion.
+    room = each + 7 * each**0.5 + 30
+    bounds = {k: min(2**63 - 1, int(room / n * 2**64) - 2**63) for k, n in sizes.items()}
     bound = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])
 
     def features(batches):
@@ -155,12 +156,11 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
             )
 
     picked = src.where(F.col("_h") <= F.element_at(bound, F.col("_lang"))).mapInArrow(features, "h long, lang string, at binary, n binary")
-    taken: dict[str, int] = {}
+    # `each` rows of each language, by hash; tasks pass on no more than that.
+    picked = picked.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "at", "n"))).where(F.col("k") <= each)
     learn, held = [], []
-    for row in picked.orderBy("h", "lang", "at", "n").limit(2 * sample_rows + len(languages)).collect():
-        k = taken[row["lang"]] = taken.get(row["lang"], 0) + 1
-        if k > each:
-            continue
+    for row in picked.orderBy("h", "lang", "at", "n").collect():
+        k = row["k"]
         counts = np.zeros(_N, np.int64)
         counts[np.frombuffer(row["at"], np.int32)] = np.frombuffer(row["n"], np.int32)
         example = (*weights_of(counts, idf), languages.index(row["lang"]))

@@ -1,20 +1,21 @@
 """Line deduplication by a segment-partition edit join.
 
-Two lines within `max_edits` edits share one of the `max_edits + 1` segments that one of them is cut into: so every line indexes its segments under its
-length, and probes the segments of the lengths it could match with those of its substrings that a match could align (the length-aware selection from both ends).
-Lines that meet under a key are verified by banded edit distance, `2 * max_edits + 1` diagonals in a machine word, all pairs of a batch side by side.
+Two lines are near if they are `max_edits` characters apart or, with `words_an_edit`, as few words as the longer line has that many words, rounded down.
 
-Equal lines are one from the start. A key that more than BUCKET lines share is not joined pair by pair: with one edit allowed, its lines are
-compared by what is left of them when one character is taken out, at the same place or from the longer line, which finds the same links with rows in proportion to the
-lines' lengths. With more edits allowed, all keys are joined pair by pair.
+Allowed edits leave one of threshold-plus-one disjoint segments of a line untouched, so near lines share one. For characters, a line is cut into
+`max_edits + 1` segments, indexed under its length, and it probes the segments of the lengths it could match with those of its substrings that a match could
+align (the length-aware selection from both ends). For words, a line indexes its runs of GRAM words from the rarest one on, until threshold-plus-one of them are
+disjoint, and probes with the disjoint ones. Whichever of two near lines stops first has an untouched run among its disjoint ones, and the other one, which went
+on at least as far in the same order, indexes it. How rare a run is is read from a table of fixed size, counted over all lines; any table gives the same links.
 
-With `words_an_edit`, lines are near as well if they are as few word edits apart as the longer one has that many words, rounded down. Such lines share a run of
-words that no edit touched, so they share the least of its hashed GRAM-word runs: a line's keys are the least ones of all its windows of that size, at places that differ by the edits at most.
-A key that more than BUCKET lines share compares each with the key's earliest line; those still open then meet the key's lines in cells of bounded size, so no pair is a row.
-That last step's work is the number of such lines times the key's lines.
+Lines under one key are compared if lengths and places allow it: pair by pair up to BUCKET lines. Above that, each line is compared with the key's earliest one;
+the lines still open meet the key's lines in cells of bounded size, where bit sketches of the lines rule out nearly all pairs, so no pair is a row.
+That last step's work is the number of open lines times the key's lines, and a line's text is sent once for every CELL lines of the key. All that remains is
+verified by banded edit distance, `2 * threshold + 1` diagonals in a machine word, all pairs of a batch side by side; thresholds over 31 are
+verified by the furthest places that each number of edits reaches.
 
 A line is a duplicate if an equal line comes earlier, or if a near one has its first occurrence earlier; order is by document id, text and line
-number. Lines of fewer than MIN_CHARS characters are only compared for equality, and lines without a word are left alone.
+number. Lines of fewer than MIN_CHARS characters are compared for equality only, since one character is too much of them; lines without a word are left alone.
 
 Edge cases: a null text has no lines; texts and lines of any length are read whole; rows equal in id and text are judged alike; ties in the id are
 broken by the text's hash; an empty table gives an empty result; other columns are ignored by `line_report` and passed through by `without_duplicates`.
@@ -22,15 +23,12 @@ broken by the text's hash; an empty table gives an empty result; other columns a
 
 from __future__ import annotations
 
-import bisect
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm import _vec as V
-from kindred.llm.suffix import ragged
 
 MAX_EDITS = 1
 MIN_CHARS = 20
@@ -38,12 +36,16 @@ MIN_CHARS = 20
 BUCKET = 64
 #: The queries' `words_an_edit`.
 WORDS_AN_EDIT = 10
-#: Words of a key of the word edits.
-GRAM = 4
+#: Words of a run.
+GRAM = 3
 #: Lines of a key on one side of a cell.
-CELL = 2048
+CELL = 8192
+#: Thresholds up to which a band of diagonals fits into a machine word.
+BANDED = 31
 
 _U = np.uint64
+_MAX = _U(2**64 - 1)
+_BUCKETS = 1 << 16
 
 
 def segment(length: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,74 +128,6 @@ def points_of(buf: np.ndarray) -> np.ndarray:
     return np.frombuffer(buf.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
 
 
-def removals(points: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Line, place and hash of each line without the character at that place, and the hash of each whole line."""
-    rolling = V.Rolling(points)
-    inverse = V.power_table(V._BASE_INVERSE, len(points) + 1)
-    line = np.repeat(np.arange(len(start)), length)
-    at = ragged(start, length)
-    first, end = start[line], (start + length)[line]
-    prefix = rolling.prefix
-    rest = ((prefix[at] - prefix[first]) + (prefix[end] - prefix[at + 1]) * inverse[1]) * inverse[first]
-    whole = (prefix[start + length] - prefix[start]) * inverse[start]
-    size = lambda n: n.astype(_U) * _U(0xD1342543DE82EF95)
-    return line, at - first, V.mix(rest + size(length[line] - 1)), V.mix(whole + size(length))
-
-
-def untouched(words_an_edit: int) -> list[tuple[int, int, int]]:
-    """(least words, most words, words of a run that no edit touches) of the lines that can be in a pair, by classes of the longer one's words."""
-    out = []
-    for low, high in ((1, 2), (2, 4), (4, 400)):
-        sizes = [(n, n // words_an_edit) for n in range(low * words_an_edit, high * words_an_edit)]
-        run = min(-(-(n - k) // (k + 1)) for n, k in sizes)
-        out.append((min(n - k for n, k in sizes), 1 << 62 if high == 400 else sizes[-1][0], max(run, 1)))
-    return out
-
-
-def line_seeds(words: np.ndarray, first: np.ndarray, last: np.ndarray, words_an_edit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Line, key and place (in words; -1 if the line has the key repeatedly) of the keys of lines words[first:last] of hashed words."""
-    rolling = V.Rolling(words)
-    count = last - first
-    grams: dict[int, np.ndarray] = {}
-    found = []
-    for c, (low, high, run) in enumerate(untouched(words_an_edit)):
-        gram = min(GRAM, run)
-        fits = (count >= max(low, run)) & (count <= high)
-        line = np.repeat(np.flatnonzero(fits), count[fits] - run + 1)
-        window = ragged(first[fits], count[fits] - run + 1)
-        if not len(window):
-            continue
-        if gram not in grams:
-            at = np.arange(len(words) - gram + 1)
-            grams[gram] = rolling.spans(at, at + gram)
-        least, place = grams[gram][window], window.copy()
-        for j in range(1, run - gram + 1):
-            other = grams[gram][window + j]
-            less = other < least
-            least[less], place[less] = other[less], window[less] + j
-        # Neighbouring windows mostly have the same place.
-        new = np.ones(len(window), bool)
-        new[1:] = (place[1:] != place[:-1]) | (line[1:] != line[:-1])
-        line, place = line[new], place[new]
-        found.append((line, V.mix(least[new] ^ V.mix(np.full(1, c + 1, _U))), place - first[line]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64)
-    line, key, place = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((place, key, line))
-    line, key, place = line[order], key[order], place[order]
-    new = np.ones(len(line), bool)
-    new[1:] = (line[1:] != line[:-1]) | (key[1:] != key[:-1])
-    starts = np.flatnonzero(new)
-    same = np.minimum.reduceat(place, starts) == np.maximum.reduceat(place, starts)
-    return line[starts], key[starts], np.where(same, place[starts], -1)
-
-
-def hashed_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and how many come before each offset."""
-    words = V.Words(buf, offsets)
-    return V.Rolling(buf).spans(words.start, words.end), np.searchsorted(words.start, offsets)
-
-
 def words_within(a: list, b: list, most: int) -> bool:
     """Whether two lists are within `most` edits, by the furthest places that each number of edits reaches on each diagonal."""
     m, n = len(a), len(b)
@@ -217,243 +151,370 @@ def words_within(a: list, b: list, most: int) -> bool:
     return False
 
 
-def seeds(docs: DataFrame, text_col: str, words_an_edit: int) -> DataFrame:
-    """_key, _h, _n (words) and _at of the lines' keys for word edits."""
+def near_words(words: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether words[a:a+m] and words[b:b+n], of numbered words, are within `most` edits, for each pair."""
+    out = np.zeros(len(a), bool)
+    for k in np.unique(most):
+        mine = np.flatnonzero(most == k)
+        if k <= BANDED:
+            out[mine] = within(words, a[mine], m[mine], b[mine], n[mine], int(k))
+        else:
+            out[mine] = [words_within(words[a[i] : a[i] + m[i]].tolist(), words[b[i] : b[i] + n[i]].tolist(), int(k)) for i in mine]
+    return out
+
+
+def sketches(symbols: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """256 bits of each stretch of symbols: which hashed symbols it has an odd number of times. An edit changes two bits at most."""
+    h = V.mix(symbols.astype(_U) + _U(1))
+    out = np.zeros((len(first), 4), _U)
+    some = np.flatnonzero(count)
+    order = V.ragged(first[some], count[some])
+    starts = np.cumsum(count[some]) - count[some]
+    bit, lane = _U(1) << (h & _U(63)), (h >> _U(6)) & _U(3)
+    for k in range(4):
+        if len(some):
+            out[some, k] = np.bitwise_xor.reduceat(np.where(lane == k, bit, _U(0))[order], starts)
+    return out
+
+
+def disjoint_runs(order: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """Which runs (by first word) are picked where the least in order goes first and rules out those that overlap it; _MAX is no run."""
+    now, picked = order.copy(), np.zeros(len(order), bool)
+    live = np.flatnonzero(now < _MAX)
+    steps = np.array([d for d in range(1 - gram, gram) if d])
+    while len(live):
+        # All that are least among the runs they overlap, at once.
+        least = np.ones(len(live), bool)
+        for d in steps:
+            other = now[np.clip(live + d, 0, len(now) - 1)]
+            inside = (live + d >= 0) & (live + d < len(now))
+            least &= ~inside | ((now[live] < other) if d < 0 else (now[live] <= other))
+        chosen = live[least]
+        picked[chosen] = True
+        around = (chosen[:, None] + np.arange(1 - gram, gram)).ravel()
+        now[around[(around >= 0) & (around < len(now))]] = _MAX
+        live = live[now[live] < _MAX]
+    return picked
+
+
+def _gram(words_an_edit: int) -> int:
+    """Words of a run, so that a line has threshold-plus-one disjoint ones."""
+    if words_an_edit < 3:
+        raise ValueError("words_an_edit must be 3 at least")
+    return min(GRAM, max(1, (words_an_edit - 1) // 2))
+
+
+def runs_of(words: np.ndarray, first: np.ndarray, last: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line, first word and hash of all runs of lines words[first:last] of hashed words."""
+    each = np.maximum(last - first - gram + 1, 0)
+    at = V.ragged(first, each)
+    return np.repeat(np.arange(len(first)), each), at, V.Rolling(words).spans(at, at + gram)
+
+
+def word_keys(words: np.ndarray, first: np.ndarray, last: np.ndarray, words_an_edit: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Line, key, place and whether it is one of the disjoint ones, of the runs that lines words[first:last] index. `common` has a class for each bucket of hashes."""
+    gram, count = _gram(words_an_edit), last - first
+    # The threshold of a line and the longest one it can be near.
+    most = count // (words_an_edit - 1)
+    first, last = np.where(most > 0, first, 0), np.where(most > 0, last, 0)
+    line, at, h = runs_of(words, first, last, gram)
+    content = (common[h >> _U(48)].astype(_U) << _U(44)) | (h >> _U(20))
+    # Equal runs of a line go in the order of their hashed places.
+    order = np.full(len(words), _MAX, _U)
+    order[at] = (content << _U(16)) | (V.mix(at.astype(_U) + _U(1)) >> _U(48))
+    picked = disjoint_runs(order, gram)[at]
+    mine = np.flatnonzero(picked)
+    mine = mine[np.lexsort((content[mine], line[mine]))]
+    n = np.bincount(line[mine], minlength=len(first))
+    enough = n > most
+    limit = np.full(len(first), _MAX, _U)
+    limit[enough] = content[mine[(np.cumsum(n) - n + most)[enough]]]
+    inside = content <= limit[line]
+    line, at, h, picked = line[inside], at[inside], h[inside], picked[inside]
+    return line, V.mix(h ^ _U(0x5851F42D4C957F2D)), at - first[line], picked | ~enough[line]
+
+
+class _Lines:
+    """The lines of a chunk of texts that have a word, with their hashes."""
+
+    def __init__(self, column):
+        buf, offsets = V.text_buffer(column)
+        start, end, row = V.lines_of(buf, offsets)
+        number = np.arange(len(row)) - np.searchsorted(row, row, "left")
+        words = V.Words(buf, offsets)
+        first, last = np.searchsorted(words.start, start), np.searchsorted(words.start, end)
+        full = last > first
+        self.row, self.number, self.first, self.last = row[full], number[full], first[full], last[full]
+        self.buf, self.words = buf, words
+        before = V.code_points(buf)
+        self.begin = before[start[full]]
+        self.length = before[end[full]] - self.begin
+        self.points = points_of(buf)
+        self.hashes = [V.Rolling(self.points, k) for k in (0, 1)]
+
+    def hash(self, which: int = 0) -> np.ndarray:
+        return self.hashes[which].spans(self.begin, self.begin + self.length)
+
+    def hashed_words(self) -> np.ndarray:
+        return V.Rolling(self.buf).spans(self.words.start, self.words.end)
+
+
+def _chunks(batches):
+    for batch in batches:
+        for part in V.chunks(batch, "_text"):
+            yield part, _Lines(part.column("_text"))
+
+
+def common_runs(texts: DataFrame, words_an_edit: int) -> np.ndarray:
+    """A class for each bucket of hashed runs of words: 0, or more the more often its runs occur. One row a bucket comes to the driver."""
+    gram = _gram(words_an_edit)
 
     def run(batches):
-        for batch in batches:
-            for part in V.chunks(batch, "_text"):
-                buf, offsets = V.text_buffer(part.column("_text"))
-                start, end, _ = V.lines_of(buf, offsets)
-                before = V.code_points(buf)
-                words = V.Words(buf, offsets)
-                first, last = np.searchsorted(words.start, start), np.searchsorted(words.start, end)
-                begin, stop = before[start], before[end]
-                last = np.where(stop - begin < MIN_CHARS, first, last)
-                line, key, at = line_seeds(V.Rolling(buf).spans(words.start, words.end), first, last, words_an_edit)
-                h = V.Rolling(points_of(buf)).spans(begin, stop)[line]
-                columns = [pa.array(key.view(np.int64)), pa.array(h.view(np.int64)), pa.array((last - first)[line].astype(np.int32)), pa.array(at.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["_key", "_h", "_n", "_at"])
-
-    return docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("_text")).mapInArrow(run, "_key long, _h long, _n int, _at int")
-
-
-def word_keys(docs: DataFrame, lines: DataFrame, text_col: str, words_an_edit: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs _a, _b to compare, and the members of the keys that more than BUCKET lines share: _key, _h, _first, _n, _at, _size and _lead, the key's earliest line."""
-    key = Window.partitionBy("_key")
-    every = seeds(docs, text_col, words_an_edit).withColumn("_a", F.min("_h").over(key)).withColumn("_b", F.max("_h").over(key))
-    shared = V.written(every.where("_a <> _b").drop("_a", "_b").distinct(), "wshared")
-    sizes = shared.groupBy("_key").agg(F.count("*").alias("_size"))
-    small = shared.join(sizes.where(F.col("_size") <= BUCKET), "_key")
-    a = small.select("_key", F.col("_h").alias("_a"), F.col("_n").alias("_na"), F.col("_at").alias("_pa"))
-    b = small.select("_key", F.col("_h").alias("_b"), F.col("_n").alias("_nb"), F.col("_at").alias("_pb"))
-    most = F.floor(F.greatest("_na", "_nb") / words_an_edit)
-    aligned = (F.abs(F.col("_na") - F.col("_nb")) <= most) & ((F.col("_pa") < 0) | (F.col("_pb") < 0) | (F.abs(F.col("_pa") - F.col("_pb")) <= most))
-    pairs = a.join(b, "_key").where((F.col("_a") < F.col("_b")) & aligned).select("_a", "_b")
-    hot = shared.join(sizes.where(F.col("_size") > BUCKET), "_key").join(lines.select("_h", "_first"), "_h")
-    lead = hot.groupBy("_key").agg(F.min(F.struct("_first", "_h")).getField("_h").alias("_lead"))
-    hot = V.written(hot.join(lead, "_key"), "whot")
+        n = np.zeros(_BUCKETS, np.int64)
+        for _, lines in _chunks(batches):
+            fits = lines.last - lines.first >= words_an_edit - 1
+            _, _, h = runs_of(lines.hashed_words(), lines.first[fits], lines.last[fits], gram)
+            n += np.bincount((h >> _U(48)).astype(np.int64), minlength=_BUCKETS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["bucket", "n"])
+
+    counts = np.zeros(_BUCKETS, np.int64)
+    for row in texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        counts[row["bucket"]] = row["n"]
+    often = max(64.0, 4 * counts.mean())
+    return np.where(counts > often, np.clip(np.floor(np.log2(np.maximum(counts, 1) / often)) + 1, 1, 15), 0).astype(np.uint8)
+
+
+def seeds(texts: DataFrame, max_edits: int, words_an_edit: int | None, common: np.ndarray | None) -> DataFrame:
+    """_key, _h, _n (words; characters below 0), _at and _asks of what all lines index and probe; texts has _text."""
+    shared = None if common is None else texts.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches):
+        for _, lines in _chunks(batches):
+            h, count = lines.hash(), lines.last - lines.first
+            # Lines that the chunk has repeatedly are told once.
+            once = np.zeros(len(h), bool)
+            once[np.unique(h, return_index=True)[1]] = True
+            once &= lines.length >= MIN_CHARS
+            # An edit of one character changes two words at most, so word edits include it where two are allowed.
+            chars = np.flatnonzero(once & (count // words_an_edit < 2 * max_edits) if words_an_edit else once)
+            index, probes = join_keys(lines.hashes[0], lines.begin[chars], lines.length[chars], max_edits)
+            found = []
+            for keys, own in ((index, True), (probes, False)):
+                who, which = np.nonzero(keys)
+                found.append((chars[who], keys[who, which], np.zeros(len(who), np.int64), np.full(len(who), own), -lines.length[chars[who]]))
+            if words_an_edit:
+                by_words = np.flatnonzero(once)
+                line, key, at, asks = word_keys(lines.hashed_words(), lines.first[by_words], lines.last[by_words], words_an_edit, shared.value)
+                found.append((by_words[line], key, at, asks, count[by_words[line]]))
+            line, key, at, asks, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            columns = [pa.array(key.view(np.int64)), pa.array(h[line].view(np.int64)), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(asks)]
+            yield pa.RecordBatch.from_arrays(columns, names=["_key", "_h", "_n", "_at", "_asks"])
+
+    return texts.mapInArrow(run, "_key long, _h long, _n int, _at int, _asks boolean")
+
+
+def _threshold(a: str, b: str, max_edits: int, words_an_edit: int | None):
+    by_words = F.floor(F.greatest(a, b) / words_an_edit) if words_an_edit else F.lit(0)
+    return F.when(F.col(a) < 0, F.lit(max_edits)).otherwise(by_words)
+
+
+def candidates(texts: DataFrame, lines: DataFrame, max_edits: int, words_an_edit: int | None) -> tuple[DataFrame, DataFrame]:
+    """Pairs _a, _b to compare, and the lines of the keys that more than BUCKET share: _key, _h, _first, _n, _at, _size and _lead, the key's earliest line."""
+    every = seeds(texts, max_edits, words_an_edit, common_runs(texts, words_an_edit) if words_an_edit else None)
+    # Most keys have one line. Counting is narrow and put together before the exchange, and the join with the rest can be split where a key is hot.
+    twice = V.written(every.groupBy("_key").agg(F.count("*").alias("_k")).where("_k > 1").select("_key"), "twice")
+    some = V.written(every.join(twice.hint("merge"), "_key", "left_semi").distinct(), "some")
+    V.discard(twice)
+    sizes = some.groupBy("_key").agg(F.count("*").alias("_size"), F.min("_h").alias("_a"), F.max("_h").alias("_b"), F.max("_asks").alias("_any")).where("_a <> _b AND _any")
+    sizes = V.written(sizes.select("_key", "_size"), "sizes")
+    small = some.join(sizes.where(F.col("_size") <= BUCKET).select("_key"), "_key")
+    side = lambda x: small.select("_key", F.col("_h").alias(f"_{x}"), F.col("_n").alias(f"_n{x}"), F.col("_at").alias(f"_p{x}"), F.col("_asks").alias(f"_q{x}"))
+    most = _threshold("_na", "_nb", max_edits, words_an_edit)
+    # The places of character segments are in their keys.
+    fits = (F.col("_qa") | F.col("_qb")) & (F.abs(F.col("_na") - F.col("_nb")) <= most) & ((F.col("_na") < 0) | (F.abs(F.col("_pa") - F.col("_pb")) <= most))
+    pairs = side("a").join(side("b"), "_key").where((F.col("_a") < F.col("_b")) & fits).select("_a", "_b")
+    hot = some.join(sizes.where(F.col("_size") > BUCKET), "_key").join(lines.select("_h", "_first"), "_h")
+    lead = V.written(hot.groupBy("_key").agg(F.min(F.struct("_first", "_h")).getField("_h").alias("_lead")), "lead")
+    hot = V.written(hot.join(lead, "_key"), "hot")
     stars = hot.where("_h <> _lead").select(F.least("_h", "_lead").alias("_a"), F.greatest("_h", "_lead").alias("_b"))
-    out = V.written(pairs.unionByName(stars).distinct(), "wpairs")
-    V.discard(shared)
+    out = V.written(pairs.unionByName(stars).distinct(), "pairs")
+    V.discard(some, sizes, lead)
     return out, hot
 
 
-def in_cells(hot: DataFrame, texts: DataFrame, settled: DataFrame, words_an_edit: int) -> DataFrame:
-    """_h of the lines of large keys that aren't settled and that an earlier line of the key is near: blocks of open lines meet blocks of all lines."""
-    open_ = hot.where("_h <> _lead").join(settled, "_h", "left_anti").select("_key", "_h", F.lit(True).alias("_open"))
-    members = hot.join(open_.select("_key").distinct(), "_key", "left_semi").join(open_, ["_key", "_h"], "left").join(texts.select("_h", "_text"), "_h")
-    blocks = F.ceil(F.col("_size") / CELL).cast("int")
-    members = members.withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.col("_h"), F.col("_blocks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    columns = ["_key", "_h", "_first", "_n", "_at", "_text"]
-    asking = members.where("_open").select(*columns, F.lit(True).alias("_asks"), F.col("_block").alias("_i"), others.alias("_j"))
-    wanted = asking.select("_key", "_i").distinct()
-    asked = members.select(*columns, F.lit(False).alias("_asks"), F.col("_block").alias("_j")).join(wanted, "_key")
+class _Stretches:
+    """Texts of a column as stretches of symbols: numbered words, or characters."""
+
+    def __init__(self, columns, by_words: bool):
+        found = [V.text_buffer(c) for c in columns]
+        buf = np.concatenate([b for b, _ in found])
+        offsets = np.concatenate([[0], *(o[1:] + sum(len(b) for b, _ in found[:k]) for k, (_, o) in enumerate(found))])
+        if by_words:
+            words = V.Words(buf, offsets)
+            h = np.stack([V.Rolling(buf, k).spans(words.start, words.end) for k in (0, 1)], 1)
+            _, self.symbols = np.unique(h, axis=0, return_inverse=True) if len(h) else (None, np.zeros(0, np.int64))
+            bounds = np.searchsorted(words.start, offsets)
+        else:
+            self.symbols = points_of(buf)
+            bounds = V.code_points(buf)[offsets]
+        self.first, self.count = bounds[:-1], np.diff(bounds)
+
+
+def near_pairs(a, b, max_edits: int, words_an_edit: int | None) -> np.ndarray:
+    """Whether the texts in each place of two columns are near."""
+    n = len(a)
+    out, left = np.zeros(n, bool), np.arange(n)
+    if words_an_edit:
+        words = _Stretches([a, b], True)
+        most = np.maximum(words.count[:n], words.count[n:]) // words_an_edit
+        some = np.flatnonzero(most)
+        out[some] = near_words(words.symbols, words.first[some], words.count[some], words.first[n + some], words.count[n + some], most[some])
+        left = np.flatnonzero(~out & (most < 2 * max_edits))
+    points = _Stretches([a, b], False)
+    out[left] |= within(points.symbols, points.first[left], points.count[left], points.first[n + left], points.count[n + left], max_edits)
+    return out
+
+
+def near_earlier(table: pa.Table, max_edits: int, words_an_edit: int | None, together: int = 1 << 22) -> np.ndarray:
+    """For each asking line of a cell (_asks, _place, _n, _at, _text; all of one key), whether one of the others with an earlier place is near."""
+    column = lambda name: table.column(name).to_numpy(zero_copy_only=False)
+    asks, place, n, at = column("_asks").astype(bool), column("_place"), column("_n").astype(np.int64), column("_at").astype(np.int64)
+    by_words = bool(len(n) and n[0] > 0)
+    x = _Stretches([table.column("_text")], by_words)
+    sketch = sketches(x.symbols, x.first, x.count)
+    side = np.flatnonzero(~asks)
+    side = side[np.argsort(place[side], kind="stable")]
+    mine = np.flatnonzero(asks)
+    out = np.zeros(len(mine), bool)
+    step = max(1, together // max(1, len(side)))
+    for low in range(0, len(mine), step):
+        i = mine[low : low + step]
+        most = np.maximum(np.abs(n[i])[:, None], np.abs(n[side])) // words_an_edit if by_words else np.full((len(i), len(side)), max_edits)
+        fits = (place[side] < place[i][:, None]) & (np.abs(n[i][:, None] - n[side]) <= most)
+        if by_words:
+            fits &= np.abs(at[i][:, None] - at[side]) <= most
+        who, whom = np.nonzero(fits)
+        changed = np.bitwise_count(sketch[i[who]] ^ sketch[side[whom]]).sum(1)
+        good = changed <= 2 * most[who, whom]
+        who, whom, most = who[good], whom[good], most[who, whom][good]
+        # Of each line the earliest open candidates first; who has a near one needs no more.
+        done, start = np.zeros(len(i), bool), 0
+        turn = np.arange(len(who)) - np.searchsorted(who, who, "left")
+        while len(who):
+            now = turn < start + 4
+            a, b = i[who[now]], side[whom[now]]
+            if by_words:
+                near = near_words(x.symbols, x.first[a], x.count[a], x.first[b], x.count[b], most[now])
+            else:
+                near = within(x.symbols, x.first[a], x.count[a], x.first[b], x.count[b], max_edits)
+            done[who[now][near]] = True
+            rest = ~now & ~done[who]
+            who, whom, most, turn = who[rest], whom[rest], most[rest], turn[rest]
+            start += 4
+        out[low : low + len(i)] = done
+    return out
+
+
+def in_cells(hot: DataFrame, texts: DataFrame, settled: DataFrame, max_edits: int, words_an_edit: int | None) -> DataFrame:
+    """_h, _h2 of the lines of hot keys that aren't settled and that an earlier line of the key is near: blocks of open lines meet blocks of all lines."""
+    known = texts.join(settled.withColumn("_known", F.lit(True)), ["_h", "_h2"], "left").select("_h", "_h2", "_first", "_text", F.coalesce("_known", F.lit(False)).alias("_known"))
+    members = hot.drop("_first").join(known, "_h").withColumn("_open", ~F.col("_known") & (F.col("_h") != F.col("_lead"))).drop("_known", "_lead")
+    open_ = V.written(members.where("_open").groupBy("_key").agg(F.count("*").alias("_many")), "open")
+    members = members.join(open_, "_key")
+    block = lambda n: F.pmod(F.xxhash64("_h", "_at"), n).cast("int")
+    members = members.withColumn("_is", F.ceil(F.col("_many") / CELL).cast("int")).withColumn("_js", F.ceil(F.col("_size") / CELL).cast("int"))
+    columns = ["_key", "_h", "_h2", "_first", "_n", "_at", "_text"]
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = members.where("_open").select(*columns, F.lit(True).alias("_asks"), block(F.col("_is")).alias("_i"), others("_js").alias("_j"))
+    asked = members.select(*columns, F.lit(False).alias("_asks"), block(F.col("_js")).alias("_j"), others("_is").alias("_i"))
 
     def compare(table: pa.Table) -> pa.Table:
-        asks = table.column("_asks").to_numpy()
-        n, at = table.column("_n").to_numpy().astype(np.int64), table.column("_at").to_numpy().astype(np.int64)
-        buf, offsets = V.text_buffer(table.column("_text"))
-        words, before = hashed_words(buf, offsets)
-        vocabulary, words = np.unique(words, return_inverse=True)
-        inside = np.zeros(len(vocabulary), bool)
-        bounds = before.tolist()
-        of_line = lambda i: words[bounds[i] : bounds[i + 1]]
-        place = [tuple((v is not None, v) for v in f.values()) for f in table.column("_first").to_pylist()]
-        side = np.array(sorted(np.flatnonzero(~asks).tolist(), key=place.__getitem__), np.int64)
-        ordered = [place[i] for i in side]
-        out = []
-        for i in np.flatnonzero(asks):
-            earlier = side[: bisect.bisect_left(ordered, place[i])]
-            most = np.maximum(n[earlier], n[i]) // words_an_edit
-            fits = np.abs(n[earlier] - n[i]) <= most
-            if at[i] >= 0:
-                fits &= (at[earlier] < 0) | (np.abs(at[earlier] - at[i]) <= most)
-            earlier, most = earlier[fits], most[fits]
-            if len(earlier):
-                # Every word that the open line lacks takes an edit of its own.
-                inside[of_line(i)] = True
-                lacking = np.add.reduceat(~inside[words[ragged(before[earlier], n[earlier])]], np.cumsum(n[earlier]) - n[earlier], dtype=np.int64)
-                inside[of_line(i)] = False
-                earlier, most = earlier[lacking <= most], most[lacking <= most]
-            mine = of_line(i).tolist()
-            out.append(any(words_within(of_line(j).tolist(), mine, k) for j, k in zip(earlier.tolist(), most.tolist(), strict=True)))
-        return table.filter(pa.array(asks)).filter(pa.array(out, pa.bool_())).select(["_h"])
-
-    return asking.unionByName(asked).groupBy("_key", "_i", "_j").applyInArrow(compare, "_h long").distinct()
-
-
-def occurrences(docs: DataFrame, id_col: str, text_col: str, max_edits: int, words_an_edit: int | None = None) -> DataFrame:
-    """id, _k (hash of id and text), line number, characters, two hashes and the join keys of every line with a word, written once."""
-    V.tune(docs.sparkSession)
-    src = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_k"), F.col(text_col).alias("_text"))
+        order = {v: k for k, v in enumerate(sorted({tuple((v is not None, v) for v in f.values()) for f in table.column("_first").to_pylist()}))}
+        place = [order[tuple((v is not None, v) for v in f.values())] for f in table.column("_first").to_pylist()]
+        near = near_earlier(table.append_column("_place", pa.array(place, pa.int64())), max_edits, words_an_edit)
+        return table.filter(table.column("_asks")).select(["_h", "_h2"]).filter(pa.array(near, pa.bool_()))
+
+    return asking.unionByName(asked).groupBy("_key", "_i", "_j").applyInArrow(compare, "_h long, _h2 long")
+
+
+def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, _k (128 bits of id and text), line number, whether it is the text's first, characters and two hashes of every line with a word, written once."""
+    src = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), V.row_key(F.col(id_col), F.col(text_col)).alias("_k"), F.col(text_col).alias("_text"))
     kind = src.schema["_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
-            for part in V.chunks(batch, "_text"):
-                buf, offsets = V.text_buffer(part.column("_text"))
-                start, end, row = V.lines_of(buf, offsets)
-                number = np.arange(len(row)) - np.searchsorted(row, row, "left")
-                words = V.Words(buf, offsets).start
-                n_words = np.searchsorted(words, end) - np.searchsorted(words, start)
-                full = n_words > 0
-                start, end, row, number, n_words = start[full], end[full], row[full], number[full], n_words[full]
-                before = V.code_points(buf)
-                begin, length = before[start], before[end] - before[start]
-                rolling = V.Rolling(points_of(buf))
-                index, probe = join_keys(rolling, begin, length, max_edits)
-                h = rolling.spans(begin, begin + length)
-                second = V.mix(V.Rolling(buf ^ np.uint8(0x5A)).spans(start, end) + _U(1))
-                short = length < MIN_CHARS
-                if words_an_edit:
-                    # An edit of one character changes two words at most, so word edits include it here.
-                    short |= n_words // words_an_edit >= 2 * max_edits
-                lists = []
-                for keys in (index, probe):
-                    n = np.where(short, 0, keys.shape[1])
-                    lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(keys[~short].ravel().view(np.int64))))
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("_id").take(at), part.column("_k").take(at), pa.array(number.astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(second.view(np.int64)), *lists],
-                    names=["_id", "_k", "_line", "_chars", "_h", "_h2", "_index", "_probe"],
-                )
-
-    return V.written(src.mapInArrow(run, f"_id {kind}, _k long, _line int, _chars int, _h long, _h2 long, _index array<long>, _probe array<long>"), "lines")
+        for part, lines in _chunks(batches):
+            at = pa.array(lines.row)
+            head = np.ones(len(lines.row), bool)
+            head[1:] = lines.row[1:] != lines.row[:-1]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("_id").take(at), part.column("_k").take(at), pa.array(lines.number.astype(np.int32)), pa.array(head), pa.array(lines.length.astype(np.int32)), *(pa.array(lines.hash(k).view(np.int64)) for k in (0, 1))],
+                names=["_id", "_k", "_line", "_head", "_chars", "_h", "_h2"],
+            )
+
+    return V.written(src.mapInArrow(run, f"_id {kind}, _k binary, _line int, _head boolean, _chars int, _h long, _h2 long"), "lines")
 
 
 def _line_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_h, _first and the text of the wanted lines (_h, _first), each cut out of its first occurrence's document."""
-    asked = wanted.groupBy(F.col("_first._k").alias("_k")).agg(F.collect_list(F.struct("_h", "_first")).alias("_asked"))
-    src = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("_k"), F.col(text_col).alias("_text")).join(asked, "_k")
+    """_h, _h2, _first and the text of the wanted lines, each cut out of its first occurrence's document."""
+    asked = wanted.groupBy(F.col("_first._k").alias("_k")).agg(F.collect_list(F.struct("_h", "_h2", "_first")).alias("_asked"))
+    src = docs.where(F.col(text_col).isNotNull()).select(V.row_key(F.col(id_col), F.col(text_col)).alias("_k"), F.col(text_col).alias("_text")).join(asked, "_k")
     lines = src.select(F.split("_text", "\n", -1).alias("_lines"), F.explode("_asked").alias("_a"))
-    return lines.select("_a._h", "_a._first", F.element_at("_lines", F.col("_a._first._line") + 1).alias("_text")).dropDuplicates(["_h"])
+    return lines.select("_a.*", F.element_at("_lines", F.col("_a._first._line") + 1).alias("_text")).dropDuplicates(["_h", "_h2"])
 
 
 def duplicate_lines(docs: DataFrame, occ: DataFrame, id_col: str, text_col: str, max_edits: int, words_an_edit: int | None = None) -> DataFrame:
     """_h, _h2, _first (the first occurrence) and _dup (an earlier line is near) of every different line."""
     first = F.min(F.struct("_id", "_k", "_line")).alias("_first")
-    lines = V.written(occ.groupBy("_h", "_h2").agg(first, F.first("_index").alias("_index"), F.first("_probe").alias("_probe")), "distinct")
-    index = lines.select(F.explode("_index").alias("_key"), "_h", F.lit(True).alias("_own"))
-    probe = lines.select(F.explode("_probe").alias("_key"), "_h", F.lit(False).alias("_own")).where("_key <> 0")
-    members = index.unionByName(probe)
-    keys = members.groupBy("_key").agg(F.count("*").alias("_n"), F.min("_h").alias("_a"), F.max("_h").alias("_b"), F.max("_own").alias("_any")).where("_a <> _b AND _any")
-    shared = V.written(members.join(keys.select("_key", "_n"), "_key"), "shared")
-    limit = BUCKET if max_edits == 1 else 1 << 62
-    small = shared.where(F.col("_n") <= limit)
-    left, right = small.where("_own").select("_key", F.col("_h").alias("_a")), small.select("_key", F.col("_h").alias("_b"))
-    pairs = left.join(right, "_key").where("_a <> _b").select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct()
-    pairs = V.written(pairs, "pairs")
-    hot = shared.where(F.col("_n") > limit).select("_h").distinct()
-    hot = V.written(hot, "hot")
-    # Only lines of the one-edit keys are taken apart.
-    asked = hot
-    if words_an_edit:
-        by_words, crowded = word_keys(docs, lines, text_col, words_an_edit)
-        old, pairs = pairs, V.written(pairs.unionByName(by_words).distinct(), "allpairs")
-        V.discard(old, by_words)
-        asked = hot.unionByName(crowded.select("_h"))
-
-    places = lines.select("_h", "_first")
-    wanted = pairs.select(F.col("_a").alias("_h")).unionByName(pairs.select(F.col("_b").alias("_h"))).unionByName(asked).distinct()
-    texts = V.written(_line_texts(docs, places.join(wanted, "_h"), id_col, text_col), "texts")
-    a = texts.select(F.col("_h").alias("_a"), F.col("_first").alias("_fa"), F.col("_text").alias("_ta"))
-    b = texts.select(F.col("_h").alias("_b"), F.col("_first").alias("_fb"), F.col("_text").alias("_tb"))
-    later = F.when(F.col("_fa") < F.col("_fb"), F.col("_b")).otherwise(F.col("_a")).alias("_h")
+    lines = V.written(occ.groupBy("_h", "_h2").agg(first), "distinct")
+    pairs, hot = candidates(docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("_text")), lines, max_edits, words_an_edit)
+    wanted = pairs.select(F.col("_a").alias("_h")).unionByName(pairs.select(F.col("_b").alias("_h"))).unionByName(hot.select("_h")).distinct()
+    # Two lines with one _h are told apart by _h2 and are both compared.
+    texts = V.written(_line_texts(docs, lines.join(wanted, "_h"), id_col, text_col), "texts")
+    side = lambda x: texts.select(F.col("_h").alias(f"_{x}"), F.col("_h2").alias(f"_{x}2"), F.col("_first").alias(f"_f{x}"), F.col("_text").alias(f"_t{x}"))
+    later = F.when(F.col("_fa") < F.col("_fb"), F.struct(F.col("_b").alias("h"), F.col("_b2").alias("h2"))).otherwise(F.struct(F.col("_a").alias("h"), F.col("_a2").alias("h2")))
 
     def verify(batches):
         for batch in batches:
             for part in V.chunks(batch, "_ta"):
-                (x, xo), (y, yo) = V.text_buffer(part.column("_ta")), V.text_buffer(part.column("_tb"))
-                px, py = points_of(x), points_of(y)
-                bx, by = V.code_points(x)[xo], V.code_points(y)[yo]
-                near, by_chars = np.zeros(part.num_rows, bool), np.arange(part.num_rows)
-                if words_an_edit:
-                    (wx, cx), (wy, cy) = hashed_words(x, xo), hashed_words(y, yo)
-                    most = np.maximum(np.diff(cx), np.diff(cy)) // words_an_edit
-                    for i in np.flatnonzero(most):
-                        near[i] = words_within(wx[cx[i] : cx[i + 1]].tolist(), wy[cy[i] : cy[i + 1]].tolist(), int(most[i]))
-                    by_chars = np.flatnonzero(~near & (most < 2 * max_edits))
-                near[by_chars] |= within(np.concatenate([px, py]), bx[by_chars], np.diff(bx)[by_chars], len(px) + by[by_chars], np.diff(by)[by_chars], max_edits)
-                yield pa.RecordBatch.from_arrays([part.column("_h")], names=["_h"]).filter(pa.array(near))
-
-    near = pairs.join(a, "_a").join(b, "_b").select(later, "_ta", "_tb").mapInArrow(verify, "_h long")
-    if words_an_edit:
-        near = V.written(near.distinct(), "near")
-        near = near.unionByName(in_cells(crowded, texts, near, words_an_edit))
-
-    def take_out(batches):
-        for batch in batches:
-            for part in V.chunks(batch, "_text", 1 << 17):
-                buf, offsets = V.text_buffer(part.column("_text"))
-                before = V.code_points(buf)[offsets]
-                line, place, rest, whole = removals(points_of(buf), before[:-1], np.diff(before))
-                at = pa.array(np.concatenate([line, np.arange(len(whole))]))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("_h").take(at), part.column("_first").take(at), pa.array(np.concatenate([place, np.full(len(whole), -1)]).astype(np.int32)), pa.array(np.concatenate([rest, whole]).view(np.int64))],
-                    names=["_h", "_first", "_place", "_rest"],
-                )
-
-    kind = texts.schema["_first"].dataType.simpleString()
-    short = texts.join(hot, "_h", "left_semi").mapInArrow(take_out, f"_h long, _first {kind}, _place int, _rest long")
-    taken = short.where("_place >= 0")
-    # The same character's place: all lines of a group are one substitution apart.
-    groups = taken.groupBy("_rest", "_place").agg(F.count("*").alias("_n"), F.min(F.struct("_first", "_h")).alias("_least")).where("_n > 1")
-    swapped = taken.join(groups.select("_rest", "_place", F.col("_least._h").alias("_lh")), ["_rest", "_place"]).where("_h <> _lh").select("_h")
-    # A character more: the shorter line as a whole.
-    wholes = short.where("_place < 0").select("_rest", F.col("_h").alias("_a"), F.col("_first").alias("_fa"))
-    grown = wholes.join(taken.select("_rest", F.col("_h").alias("_b"), F.col("_first").alias("_fb")), "_rest").select(later)
-    dup = near.unionByName(swapped).unionByName(grown).distinct().withColumn("_dup", F.lit(True))
-    out = V.written(lines.select("_h", "_h2", "_first").join(dup, "_h", "left").withColumn("_dup", F.coalesce("_dup", F.lit(False))), "judged")
-    V.discard(lines, shared, pairs, hot, texts, *([crowded] if words_an_edit else []))
+                near = near_pairs(part.column("_ta"), part.column("_tb"), max_edits, words_an_edit)
+                yield part.select(["_h", "_h2"]).filter(pa.array(near))
+
+    met = pairs.join(side("a"), "_a").join(side("b"), "_b").select("_ta", "_tb", later.alias("_l")).select(F.col("_l.h").alias("_h"), F.col("_l.h2").alias("_h2"), "_ta", "_tb")
+    near = V.written(met.mapInArrow(verify, "_h long, _h2 long").distinct(), "near")
+    dup = near.unionByName(in_cells(hot, texts, near, max_edits, words_an_edit)).distinct().withColumn("_dup", F.lit(True))
+    out = V.written(lines.join(dup, ["_h", "_h2"], "left").withColumn("_dup", F.coalesce("_dup", F.lit(False))), "judged")
+    V.discard(lines, pairs, hot, texts, near)
     return out
 
 
 def _judged(docs: DataFrame, id_col: str, text_col: str, max_edits: int, words_an_edit: int | None) -> DataFrame:
-    """_id, _k, _line, _chars and _gone of every line with a word."""
-    occ = occurrences(docs, id_col, text_col, max_edits, words_an_edit)
+    """_k, _line, _head, _chars, _near and _gone of every line with a word."""
+    V.tune(docs.sparkSession)
+    occ = occurrences(docs, id_col, text_col)
     lines = duplicate_lines(docs, occ, id_col, text_col, max_edits, words_an_edit)
-    place = F.struct("_id", "_k", "_line")
-    return occ.select("_id", "_k", "_line", "_chars", "_h", "_h2").join(lines, ["_h", "_h2"]).withColumn("_near", F.col("_dup")).withColumn("_gone", F.col("_dup") | ~place.eqNullSafe(F.col("_first")))
+    gone = F.col("_dup") | ~F.struct("_id", "_k", "_line").eqNullSafe(F.col("_first"))
+    return occ.join(lines, ["_h", "_h2"]).select("_k", "_line", "_head", "_chars", F.col("_dup").alias("_near"), gone.alias("_gone"))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, words_an_edit: int | None = None) -> DataFrame:
     """One row a document: id, n_lines (with a word), n_dup_lines (that go), n_near_lines (of these, near another line) and removed_chars."""
     judged = _judged(docs, id_col, text_col, max_edits, words_an_edit)
-    gone = F.col("_gone").cast("long")
-    per = judged.groupBy(F.col("_k").alias("_dk"), F.col("_line").alias("_dl")).agg(F.first("_gone").alias("_gone"), F.first("_near").alias("_near"), F.first("_chars").alias("_chars"))
-    per = per.groupBy("_dk").agg(F.count("*").alias("n_lines"), F.sum(gone).alias("n_dup_lines"), F.sum(F.col("_near").cast("long")).alias("n_near_lines"), F.sum(gone * F.col("_chars")).alias("removed_chars"))
-    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_k"), F.col(text_col).isNull().alias("_none"))
+    # Rows equal in id and text are judged alike: the sums are theirs together, and there are as many of them as first lines.
+    count = lambda c: F.sum(F.col(c).cast("long"))
+    sums = {"n_lines": F.count("*"), "n_dup_lines": count("_gone"), "n_near_lines": count("_near"), "removed_chars": F.sum(F.col("_gone").cast("long") * F.col("_chars"))}
+    per = judged.groupBy(F.col("_k").alias("_dk")).agg(count("_head").alias("_rows"), *(c.alias(name) for name, c in sums.items()))
+    rows = docs.select(F.col(id_col).alias("_id"), V.row_key(F.col(id_col), F.col(text_col)).alias("_k"), F.col(text_col).isNull().alias("_none"))
     out = rows.join(per, (F.col("_k") == F.col("_dk")) & ~F.col("_none"), "left")
-    return out.select(F.col("_id").alias(id_col), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_lines", "n_dup_lines", "n_near_lines", "removed_chars")))
+    return out.select(F.col("_id").alias(id_col), *(F.coalesce(F.col(c) / F.col("_rows"), F.lit(0)).cast("long").alias(c) for c in sums))
 
 
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, words_an_edit: int | None = None) -> DataFrame:
     """The documents without their duplicate lines, with all their columns; a document that loses all its lines stays, with what is left."""
     gone = _judged(docs, id_col, text_col, max_edits, words_an_edit).where("_gone").groupBy(F.col("_k").alias("_dk")).agg(F.collect_set(F.col("_line") + 1).alias("_lines"))
     # The row travels as one value, so that no column of it can clash.
-    marked = docs.select(F.struct("*").alias("_row"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_k"), F.col(text_col).alias("_text"))
+    marked = docs.select(F.struct("*").alias("_row"), V.row_key(F.col(id_col), F.col(text_col)).alias("_k"), F.col(text_col).alias("_text"))
     joined = marked.join(gone, (F.col("_k") == F.col("_dk")) & F.col("_text").isNotNull(), "left")
     lines = F.split("_text", "\n", -1)
     kept = F.transform(F.filter(F.transform(lines, lambda x, i: F.struct((i + 1).alias("n"), x.alias("x"))), lambda p: ~F.array_contains("_lines", p["n"])), lambda p: p["x"])

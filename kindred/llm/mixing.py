@@ -18,7 +18,7 @@ import random
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm import _vec as V
@@ -109,7 +109,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     V.tune(spark)
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), n_words(text).alias("_size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("_crc"))
-    found = rows.groupBy("_source").agg(F.sum("_size").alias("size"), F.count("*").alias("n")).collect()
+    # The texts are read once. Equal rows are put together before they meet, and parted again by number.
+    rows = V.written(rows.groupBy("_id", "_source", "_size", "_crc").agg(F.count("*").alias("_equal")), "sizes")
+    found = rows.groupBy("_source").agg(F.sum(F.col("_size") * F.col("_equal")).alias("size"), F.sum("_equal").alias("n")).collect()
     sizes = {r["_source"]: r["size"] for r in found}
     targets = source_targets(sizes, weights, most)
     blocks = {r["_source"]: -(-r["n"] // block_rows) for r in found}
@@ -122,7 +124,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sources = spark.createDataFrame(table, kinds)
     # one row a source; Spark's own size limit decides on broadcasting
     rows = rows.join(sources, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
-    rows = rows.withColumn("_block", F.pmod(F.xxhash64("_id", "_crc"), F.col("_blocks")).cast("int"))
+    # A row that is there very often is parted in two steps, block_rows at a time in each, so that no task deals out all of them.
+    numbers = lambda low, high: F.explode(F.sequence(low, high))
+    rows = rows.withColumn("_part", numbers(F.lit(0), F.floor((F.col("_equal") - 1) / block_rows).cast("int")))
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64("_id", "_crc", "_part"), F.col("_blocks")).cast("int")).repartition("_source", "_block")
+    most_here = F.least(F.lit(block_rows).cast("long"), F.col("_equal") - F.col("_part") * block_rows)
+    rows = rows.withColumn("_n", numbers(F.lit(1), most_here.cast("int")))
+    rows = rows.withColumn("_block", F.when(F.col("_equal") > 1, F.pmod(F.xxhash64("_id", "_crc", "_part", "_n"), F.col("_blocks")).cast("int")).otherwise(F.col("_block"))).drop("_equal", "_part", "_n")
     schema = rows.schema
 
     def flight(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
@@ -162,13 +170,16 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """The mix itself: every row of docs as often as the mix takes it, with all its columns."""
     key = lambda i, c, s: F.struct(i.alias("i"), c.alias("c"), s.alias("s")).alias("_key")
     took = mix(docs, id_col, text_col, source_col, **options)
-    # Rows of one id, text and source can't be told apart: what they are taken together is dealt out among them.
+    # Rows of one id, text and source can't be told apart: each is taken as often as all of them evenly are, and one of them makes up the rest.
     took = took.groupBy(key(F.col(id_col), F.col("text_crc32"), F.col("mix_source"))).agg(F.sum("times").alias("_all"), F.count("*").alias("_many")).where("_all > 0")
+    took = V.written(took, "taken")
     # The row travels as one value, so that no column of it can clash.
     text = F.coalesce(F.col(text_col), F.lit(""))
     left = docs.select(F.struct("*").alias("_row"), key(F.col(id_col), F.crc32(text.cast("binary")), F.col(source_col).cast("string")))
-    # The join and the numbering share one key, and so one exchange.
-    out = left.join(took, "_key").withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("_many")))
-    times = F.floor(F.col("_all") / F.col("_many")) + (F.col("_n") <= F.col("_all") % F.col("_many")).cast("long")
-    out = out.withColumn("_times", times.cast("int")).where("_times > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_again"))
+    joined = left.join(took, "_key")
+    again = lambda times: F.explode(F.sequence(F.lit(1), times.cast("int")))
+    each = F.floor(F.col("_all") / F.col("_many"))
+    out = joined.where(each > 0).select("_row", again(each).alias("_again"))
+    rest = joined.where(F.col("_all") % F.col("_many") > 0).groupBy("_key").agg(F.first("_row").alias("_row"), F.max(F.col("_all") % F.col("_many")).alias("_more"))
+    out = out.unionByName(rest.select("_row", again(F.col("_more")).alias("_again")))
     return out.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))

@@ -16,7 +16,7 @@ Words are lower-cased and lose their punctuation. With 28 bands of 5, a pair of
 about once in a million.
 
 Edge cases: a null text is a class of its own; texts without a word link only to equal texts; texts of one to four words have one shingle;
-texts of any length are read whole; repeated rows and ties share the class of the least id; an empty table gives an empty result; other columns are
+texts of any length are read whole; repeated rows and ties share the class of the least id, and one row of the class is kept; an empty table gives an empty result; other columns are
 ignored by `classes` and passed through by `deduplicated`.
 """
 
@@ -26,7 +26,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm import _vec as V
@@ -35,10 +35,10 @@ from kindred.llm.graph import components
 SHINGLE = 5
 BANDS, ROWS = 28, 5
 THRESHOLD = 0.8
-#: Buckets with up to so many members compare all of them.
+#: Buckets with up to so many members compare all of them; larger ones go by hubs and cells, which finds the same classes at another cost.
 SMALL_BUCKET = 16
 #: Texts of a cell: outside the largest component, and of their cluster.
-CELL = 64, 512
+CELL = 256, 2048
 #: Share of equal coordinates below which a pair isn't verified.
 AGREE = 0.62
 PUNCTUATION = ".,;:!?\"'()[]{}"
@@ -122,7 +122,8 @@ def similarities(a, b) -> np.ndarray:
     n = len(a)
     (ua, ra), (ub, rb) = units(*V.text_buffer(a)), units(*V.text_buffer(b))
     salt = V.mix(np.arange(1, n + 1, dtype=_U))
-    _, later = V.repeated(np.concatenate([ua ^ salt[ra], ub ^ salt[rb]]))
+    keys = np.concatenate([ua ^ salt[ra], ub ^ salt[rb]])
+    _, later = V.repeated(keys, keys)
     both = np.bincount(rb[later[len(ua) :]], minlength=n)
     total = np.bincount(ra, minlength=n) + np.bincount(rb, minlength=n) - both
     return np.where(total > 0, both / np.maximum(total, 1), 0.0)
@@ -212,7 +213,7 @@ def _across(large: DataFrame, found: DataFrame, texts: DataFrame, threshold: flo
     """Links between the components that large buckets (_key, _digest, _hub) still hold; texts has _digest and _words."""
     roots = components(found)
     placed = large.join(roots, F.col("_digest") == F.col("node"), "left").select("_key", "_hub", "_digest", F.coalesce("root", "_digest").alias("_root"))
-    mixed = placed.groupBy("_key").agg(F.min("_root").alias("_a"), F.max("_root").alias("_b")).where("_a <> _b").select("_key")
+    mixed = V.written(placed.groupBy("_key").agg(F.min("_root").alias("_a"), F.max("_root").alias("_b")).where("_a <> _b").select("_key"), "several")
     placed = V.written(placed.join(mixed, "_key"), "mixed")
     stars = placed.where("_digest <> _hub").select(F.col("_hub").alias("u"), F.col("_digest").alias("v")).distinct()
     clusters = components(stars)
@@ -237,7 +238,7 @@ def _across(large: DataFrame, found: DataFrame, texts: DataFrame, threshold: flo
         return pa.table({"u": pa.array([min(digests[i], digests[j]) for i, j in got], pa.binary()), "v": pa.array([max(digests[i], digests[j]) for i, j in got], pa.binary())})
 
     out = V.written(minor.unionByName(every).groupBy("_cluster", "_i", "_j").applyInArrow(cell, "u binary, v binary"), "across")
-    V.discard(roots, placed, clusters, nodes)
+    V.discard(roots, mixed, placed, clusters, nodes)
     return out
 
 
@@ -245,12 +246,13 @@ def links(rows: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Dat
     """Verified links (u, v) between digests of different texts in two written tables, enough of them for the components; rows has _digest and _text."""
     nodes = _nodes(rows)
     keys = nodes.select("_digest", F.explode("_keys").alias("_key"))
-    buckets = keys.groupBy("_key").agg(F.count("*").alias("_size")).where("_size > 1")
+    buckets = V.written(keys.groupBy("_key").agg(F.count("*").alias("_size")).where("_size > 1"), "sizes")
     members = V.written(keys.join(buckets, "_key"), "buckets")
     small, large = members.where(F.col("_size") <= SMALL_BUCKET), members.where(F.col("_size") > SMALL_BUCKET)
     close = small.select("_key", F.col("_digest").alias("u")).join(small.select("_key", F.col("_digest").alias("v")), "_key").where("u < v").select("u", "v")
     weight = large.groupBy("_digest").agg(F.sum("_size").alias("_met"))
-    hubs = large.join(weight, "_digest").groupBy("_key").agg(F.max(F.struct("_met", "_digest"))["_digest"].alias("_hub"))
+    # Written, so that the join has an exchange of its own on both sides and Spark can split a hot bucket's rows.
+    hubs = V.written(large.join(weight, "_digest").groupBy("_key").agg(F.max(F.struct("_met", "_digest"))["_digest"].alias("_hub")), "hubs")
     large = V.written(large.select("_key", "_digest").join(hubs, "_key"), "large")
     star = large.where("_digest <> _hub").select(F.least("_digest", "_hub").alias("u"), F.greatest("_digest", "_hub").alias("v"))
     tried = V.written(close.unionByName(star).distinct(), "tried")
@@ -260,7 +262,7 @@ def links(rows: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Dat
     texts = rows.where("_digest IS NOT NULL").groupBy("_digest").agg(F.first("_text").alias("_text")).join(wanted.hint("merge"), "_digest", "left_semi")
     texts = V.written(texts.select("_digest", normal(F.col("_text")).alias("_words")), "texts")
     promising = _promising(tried, nodes)
-    V.discard(nodes, members)
+    V.discard(nodes, members, hubs, buckets)
     found = _verified(promising, texts, threshold)
     across = _across(large, found, texts, threshold)
     V.discard(tried, promising, large, texts)
@@ -271,42 +273,47 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("_id"), digest(F.col(text_col)).alias("_digest"), F.col(text_col).alias("_text"))
 
 
-def _classed(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(_digest, _root) of each different text, and _first (id and digest of the first row) and class_size of each _root."""
-    found, across = links(rows.select("_digest", "_text"), threshold)
-    roots = components(found.unionByName(across))
-    V.discard(found, across)
-    # Least id and number of rows of each different text, then of each class.
-    texts = rows.where("_digest IS NOT NULL").groupBy("_digest").agg(F.min("_id").alias("_low"), F.count("*").alias("_n"))
+def _classed(texts: DataFrame, found: tuple[DataFrame, DataFrame], order: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(_digest, _root) of each different text, and _first (`order` of the first row) and class_size of each _root; `texts` has _digest, `order` of its first row as _low, and _n."""
+    roots = components(found[0].unionByName(found[1]))
+    V.discard(*found)
     texts = texts.join(roots, F.col("_digest") == F.col("node"), "left").select("_digest", F.coalesce("root", "_digest").alias("_root"), "_low", "_n")
-    texts = V.written(texts, "texts")
+    texts = V.written(texts, "classes")
     V.discard(roots)
-    least = F.min(F.struct(F.col("_low").isNull().alias("none"), F.col("_low").alias("id"), F.col("_digest").alias("digest"))).alias("_first")
-    return texts.select("_digest", "_root"), texts.groupBy("_root").agg(least, F.sum("_n").alias("class_size"))
+    least = F.min(F.struct(F.col("_low._id").isNull().alias("none"), *(F.col(f"_low.{c}").alias(c) for c in order), F.col("_digest").alias("_digest"))).alias("_first")
+    return texts, texts.groupBy("_root").agg(least, F.sum("_n").alias("class_size"))
+
+
+def _first_rows(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """_digest, the least `order` of its rows (rows with an id before those without) and their number."""
+    least = F.min(F.struct(F.col("_id").isNull().alias("none"), *order)).alias("_low")
+    return rows.where("_digest IS NOT NULL").groupBy("_digest").agg(least, F.count("*").alias("_n"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row a row: id, _digest of the text, class_id (the least id of its class), class_size (rows) and kept (the class's first row)."""
+    """One row a row: id, _digest of the text, class_id (the least id of its class), class_size (rows) and kept (the class's first row: one of its rows, also where rows repeat)."""
     V.tune(docs.sparkSession)
-    rows = _rows(docs, id_col, text_col)
-    texts, first = _classed(rows, threshold)
-    named = texts.join(first, "_root").select(F.col("_digest").alias("_d"), F.col("_first.id").alias("class_id"), F.col("_first.digest").alias("_kept"), "class_size")
-    out = rows.select("_id", "_digest").join(named, F.col("_digest") == F.col("_d"), "left")
+    # Written once, so that rows equal in id and text have a number that tells them apart.
+    rows = V.written(_rows(docs, id_col, text_col).select("_id", "_digest", F.monotonically_increasing_id().alias("_row")), "rows")
+    found = links(_rows(docs, id_col, text_col).select("_digest", "_text"), threshold)
+    texts, first = _classed(_first_rows(rows, ("_id", "_row")), found, ("_id", "_row"))
+    named = texts.join(first, "_root").select(F.col("_digest").alias("_d"), F.col("_first._id").alias("class_id"), F.col("_first._row").alias("_kept"), "class_size")
+    out = rows.join(named, F.col("_digest") == F.col("_d"), "left")
     return out.select(
         F.col("_id").alias(id_col), "_digest", F.when(F.col("_d").isNull(), F.col("_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-        (F.col("_d").isNull() | (F.col("_digest") == F.col("_kept")) & F.col("_id").eqNullSafe(F.col("class_id"))).alias("kept"),
+        (F.col("_d").isNull() | (F.col("_row") == F.col("_kept"))).alias("kept"),
     )
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The first document of each class, with all its columns; rows with a null text all stay."""
     V.tune(docs.sparkSession)
-    _, first = _classed(_rows(docs, id_col, text_col), threshold)
+    rows = _rows(docs, id_col, text_col)
+    _, first = _classed(_first_rows(rows, ("_id",)), links(rows.select("_digest", "_text"), threshold), ("_id",))
     key = lambda d, i: F.struct(d.alias("d"), i.alias("i"))
-    keep = first.select(key(F.col("_first.digest"), F.col("_first.id")).alias("_key"))
+    keep = first.select(key(F.col("_first._digest"), F.col("_first._id")).alias("_key"))
     marked = docs.select(F.struct("*").alias("_row"), digest(F.col(text_col)).alias("_digest"), key(digest(F.col(text_col)), F.col(id_col)).alias("_key"))
-    # Equal rows: the first one stays. The join and the numbering share one key, and so one exchange.
-    stay = marked.where("_digest IS NOT NULL").join(keep, "_key", "left_semi")
-    stay = stay.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("_digest"))).where("_n = 1").select("_row")
+    # Of rows equal in id and text one stays; they are put together before they meet. Both steps share one exchange.
+    stay = marked.where("_digest IS NOT NULL").join(keep, "_key", "left_semi").groupBy("_key").agg(F.first("_row").alias("_row")).select("_row")
     every = stay.unionByName(marked.where("_digest IS NULL").select("_row"))
     return every.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))

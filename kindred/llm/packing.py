@@ -1,7 +1,7 @@
 """Packing documents into token windows with a controlled mixture.
 
 Every source is a queue of tokens. Each window is filled by deficit round-robin: a source's credit grows by its share of the window, it gives as many
-whole tokens as its credit allows, and what is left of the credit goes on to the next window. A source that runs dry leaves its share to the others.
+whole tokens as its credit allows, and what is left of the credit goes on to the next window. A source that runs dry leaves its share and credit to the others.
 The schedule depends only on the sources' totals and targets and repeats itself after a cycle of windows, so it is a small table; any task
 finds the windows of any stretch of a queue by arithmetic, and so deficits carry over partitions without tasks talking to each other.
 
@@ -36,7 +36,8 @@ CACHE_WORDS = 2_000_000
 
 
 class WordEncoder:
-    """Tokens of texts by a tokenizer that never joins what white space parts: distinct words are encoded once and found again by their hash."""
+    """Tokens of texts by a tokenizer that never joins what white space parts: distinct words are encoded once and found again by hashes
+    of 122 bits, never by one of 61 alone."""
 
     #: Parts the words of one call; words that hold it are encoded alone.
     MARK = "\x01"
@@ -48,7 +49,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
-        self.hashes = np.zeros(0, np.uint64)
+        self.hashes = self.checks = np.zeros(0, np.uint64)
         self.begin = self.length = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
 
@@ -74,36 +75,55 @@ class WordEncoder:
         n = len(offsets) - 1
         if not len(words.start):
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
-        keys, first, which = np.unique(V.Rolling(buf).spans(words.start, words.end), return_index=True, return_inverse=True)
+        keys, check = (V.Rolling(buf, k).spans(words.start, words.end) for k in (0, 1))
+        keys, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        if (check != check[first][which]).any():
+            # Different words with one hash: nothing is looked up in this chunk.
+            which = np.arange(len(which))
+            return self._placed(words, n, *self.words(self._texts(buf, words, which)), which)
+        check = check[first]
         at = np.searchsorted(self.hashes, keys)
-        known = np.zeros(len(keys), bool)
         inside = at < len(self.hashes)
-        known[inside] = self.hashes[at[inside]] == keys[inside]
+        taken, known = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+        taken[inside] = self.hashes[at[inside]] == keys[inside]
+        known[inside] = taken[inside] & (self.checks[at[inside]] == check[inside])
         begin, length = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         begin[known], length[known] = self.begin[at[known]], self.length[at[known]]
         pool, new = self.pool, np.flatnonzero(~known)
         if len(new):
-            raw = buf.tobytes()
-            ids, size = self.words([raw[a:b].decode("utf-8", "replace") for a, b in zip(words.start[first[new]].tolist(), words.end[first[new]].tolist(), strict=True)])
+            ids, size = self.words(self._texts(buf, words, first[new]))
             begin[new], length[new] = len(pool) + np.cumsum(size) - size, size
             pool = np.concatenate([pool, ids])
             if len(self.hashes) + len(new) <= CACHE_WORDS:
                 self.pool = pool
-                self.hashes, self.begin, self.length = (np.insert(old, at[new], x[new]) for old, x in ((self.hashes, keys), (self.begin, begin), (self.length, length)))
+                kept = np.flatnonzero(~taken)
+                self.hashes, self.checks, self.begin, self.length = (
+                    np.insert(old, at[kept], x[kept]) for old, x in ((self.hashes, keys), (self.checks, check), (self.begin, begin), (self.length, length))
+                )
+        return self._placed(words, n, pool, length, which, begin)
+
+    @staticmethod
+    def _texts(buf: np.ndarray, words: V.Words, which: np.ndarray) -> list[str]:
+        raw = buf.tobytes()
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.start[which].tolist(), words.end[which].tolist(), strict=True)]
+
+    @staticmethod
+    def _placed(words: V.Words, n: int, pool: np.ndarray, length: np.ndarray, which: np.ndarray, begin: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in their order; `pool` has a word's ids from `begin` on."""
+        begin = np.cumsum(length) - length if begin is None else begin
         each = length[which]
-        place = np.cumsum(each) - each
-        flat = pool[np.repeat(begin[which] - place, each) + np.arange(each.sum())]
+        flat = pool[V.ragged(begin[which], each)]
         return flat, np.bincount(words.row, each, n).astype(np.int64)
 
 
-_encoders: dict[int, WordEncoder] = {}
+_encoders: dict[str, WordEncoder] = {}
 
 
 def encoder(tokenizer_json: str) -> WordEncoder:
-    key = zlib.crc32(tokenizer_json.encode())
-    if key not in _encoders:
-        _encoders[key] = WordEncoder(tokenizer_json)
-    return _encoders[key]
+    """Built once in each worker."""
+    if tokenizer_json not in _encoders:
+        _encoders[tokenizer_json] = WordEncoder(tokenizer_json)
+    return _encoders[tokenizer_json]
 
 
 @dataclass
@@ -143,7 +163,7 @@ def one_window(credit: np.ndarray, share: np.ndarray, left: np.ndarray, size: in
 def schedule(totals: np.ndarray, weights: np.ndarray | None = None, window: int = WINDOW, cycle: int = CYCLE) -> list[Phase]:
     """Deficit round-robin over queues of the given lengths. Without weights, targets are the queues' shares of all tokens."""
     totals = np.asarray(totals, np.int64)
-    left, phases, at = totals.copy(), [], 0
+    left, phases, at, credit = totals.copy(), [], 0, np.zeros(len(totals))
     while left.sum() > 0:
         live = left > 0
         w = np.where(live, totals if weights is None else weights, 0).astype(np.float64)
@@ -152,6 +172,9 @@ def schedule(totals: np.ndarray, weights: np.ndarray | None = None, window: int
         if not w.sum():
             w = live.astype(np.float64)
         share = w / w.sum()
+        # Credit goes on to the next phase; the others take over that of a source that ran dry.
+        gone = credit[~live].sum()
+        credit = np.where(live, credit + share * gone, 0.0)
         # Whole tokens for a cycle, at least one of each source, by largest remainders.
         quota = np.where(live, np.maximum(1, np.floor(share * window * cycle)), 0).astype(np.int64)
         spare = window * cycle - int(quota.sum())
@@ -164,7 +187,7 @@ def schedule(totals: np.ndarray, weights: np.ndarray | None = None, window: int
         if spare:
             quota[int(quota.argmax())] += spare
         repeats = int((left[live] // np.maximum(quota[live], 1)).min()) if quota.min() >= 0 else 0
-        start, rows, credit = totals - left, [np.zeros(len(left), np.int64)], np.zeros(len(left))
+        start, rows = totals - left, [np.zeros(len(left), np.int64)]
         if repeats:
             rest = quota.copy()
             for _ in range(cycle):

@@ -45,7 +45,8 @@ def measure(text, ngram_limits=NGRAM_LIMITS, max_dup_line_chars=MAX_DUP_LINE_CHA
     """The profile of each text of an Arrow string column."""
     buf, offsets = V.text_buffer(text)
     n = len(offsets) - 1
-    words, rolling, points = V.Words(buf, offsets), V.Rolling(buf), V.code_points(buf)
+    words, points = V.Words(buf, offsets), V.code_points(buf)
+    rolling = [V.Rolling(buf, k) for k in (0, 1)]
     row, n_all = words.row, len(words.start)
     per_row = lambda rows, weights=None: np.bincount(rows, weights, n).astype(np.int64)
     length = points[words.end] - points[words.start]
@@ -57,24 +58,29 @@ def measure(text, ngram_limits=NGRAM_LIMITS, max_dup_line_chars=MAX_DUP_LINE_CHA
     past_word = np.searchsorted(words.start, end)
     full = past_word > first_word
     start, end, line_row, first_word, past_word = (x[full] for x in (start, end, line_row, first_word, past_word))
-    _, later = V.repeated(rolling.spans(start, end) ^ salt[line_row])
+    _, later = V.repeated(rolling[0].spans(start, end) ^ salt[line_row], rolling[1].spans(start, end))
     chars_before = np.concatenate([[0], np.cumsum(length)])
     line_chars = chars_before[past_word] - chars_before[first_word]
     out["n_dup_lines"] = per_row(line_row[later])
     out["dup_line_chars"] = per_row(line_row[later], line_chars[later])
 
-    grams = V.Rolling(rolling.spans(words.start, words.end))
+    # Both hashes of a word go into both hashes of an n-gram.
+    each = [r.spans(words.start, words.end) for r in rolling]
+    each[1] = V.mix(each[0] + each[1])
+    grams = [V.Rolling(h, k) for k, h in enumerate(each)]
+
+    def repeats(at, size):
+        return V.repeated(grams[0].spans(at, at + size) ^ salt[row[at]], grams[1].spans(at, at + size))[0]
+
     at = np.flatnonzero(row[2:] == row[:-2]) if n_all > 2 else np.zeros(0, np.int64)
-    many, _ = V.repeated(grams.spans(at, at + 3) ^ salt[row[at]])
-    at = at[many]
+    at = at[repeats(at, 3)]
     covered = _marked_words(n_all, at, 3)
     out["n_repeat_words"] = per_row(row[covered])
     shares = []
     for size, _ in ngram_limits:
         at = at[at + size <= n_all]
         at = at[row[at + size - 1] == row[at]]
-        many, _ = V.repeated(grams.spans(at, at + size) ^ salt[row[at]])
-        at = at[many]
+        at = at[repeats(at, size)]
         covered = _marked_words(n_all, at, size)
         shares.append(per_row(row[covered], length[covered]))
     out["ngram_chars"] = np.stack(shares, 1) if shares else np.zeros((n, 0), np.int64)

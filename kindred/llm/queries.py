@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm import language, linedup, mixing, neardup, packing, quality, shards, suffix, tokens, topk
+from kindred.session import shared_dir
 
 
 def _vocabulary() -> str:
@@ -66,7 +68,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = shards.shard(_documents(spark, sf_dir), 16)
+    # The versions of the map are the operator's second result and stay.
+    rows, _ = shards.shard(_documents(spark, sf_dir), 16, store=f"{shared_dir(spark).rstrip('/')}/slot-map-{uuid.uuid4().hex}")
     return rows.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
         F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"),

@@ -4,8 +4,11 @@ Every record hashes into one of a fixed number of virtual slots and stays there
 says which shard holds a slot. Rebalancing and growing edit that map and leave the hashing alone, so only the records of the moved slots move.
 The map and the sums have one row a slot: their size is `n_slots`, whatever the table's size.
 
-Edge cases: a null text has no bytes and still counts as one (its end mark); a null id hashes like any other value; repeated rows share a slot
-and are numbered apart; an empty table gives an empty result; very large slots are split by raising `n_slots`; other columns are ignored.
+The law is that of bytes. Equal texts are one slot only if their ids are equal too: a group of copies may hold more bytes than a shard should, so copies
+are dealt out by id, and no group of them weighs on one shard. A single text is never split, so shards are even up to the size of the longest one.
+
+Edge cases: a null text has no bytes and still counts as one (its end mark); a text of any length is measured whole; a null id hashes like any other value; rows equal in id and text
+share a slot and are numbered apart; an empty table gives an empty result; very large slots are split by raising `n_slots`; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -152,8 +155,8 @@ def slot_sizes(rows: DataFrame, n_slots: int = N_SLOTS) -> tuple[list[int], list
 
 
 def shard(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS, at: SlotMap | None = None, store: str | None = None) -> tuple[DataFrame, SlotMap]:
-    """Every record's shard and its place there, and the map. Starts from the map `at` or an even one, evens the shards out by bytes,
-    and stores the versions in the folder `store`."""
+    """Every record's shard and its place there, and the map. Starts from the map `at` or an even one and evens the shards out by bytes.
+    With `store`, both versions are stored in that folder, and records are placed by the latest one as read from there."""
     spark = docs.sparkSession
     rows = slotted(docs, id_col, text_col, n_slots)
     sizes, counts = slot_sizes(rows, n_slots)
@@ -162,6 +165,7 @@ def shard(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str
     if store:
         for version in (first, final):
             version.save(spark, store)
+        final = SlotMap.load(spark, store)
     before, base = [0] * n_shards, []
     for slot, to in enumerate(final.shards):
         base.append((slot, to, before[to]))

@@ -6,7 +6,8 @@ taken off its left) and the number of pieces taken on the way, so a word's count
 a batch walk side by side, one byte of each at a time. A byte that starts no piece is a piece of its own.
 
 Edge cases: a null or empty text has 0 tokens; texts of any length are read whole; repeated rows are counted alike; an empty table gives an empty
-result; other columns are ignored. Texts are lower-cased first unless `lower` is False.
+result; other columns are ignored. Texts are lower-cased first unless `lower` is False. A vocabulary whose trie has 262,144 nodes or more is refused: a step is one
+32-bit number with 18 bits for the state. The step table takes 1 KB a node in every Python worker.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from kindred.llm import _vec as V
 
 _POPS = 18
-_automata: dict[int, Automaton] = {}
+_automata: dict[tuple, Automaton] = {}
 
 
 def byte_symbols() -> dict[str, int]:
@@ -119,7 +120,7 @@ class Automaton:
         return out
 
 
-def automaton(key: int, inner: list[bytes], final: list[bytes]) -> Automaton:
+def automaton(key: tuple, inner: list[bytes], final: list[bytes]) -> Automaton:
     """Built once in each worker."""
     if key not in _automata:
         _automata.clear()
@@ -132,7 +133,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     V.tune(docs.sparkSession)
     inner, final = read_vocabulary(vocabulary, word_end)
     pieces = docs.sparkSession.sparkContext.broadcast((inner, final))
-    key = hash((vocabulary, word_end, len(inner), len(final)))
+    key = (vocabulary, word_end, len(inner), len(final))
 
     def run(batches):
         walk = automaton(key, *pieces.value)
