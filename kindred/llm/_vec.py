@@ -91,6 +91,17 @@ class Rolling:
         n = len(values)
         self.base = _BASES[which]
         power = power_table(self.base, n)
+        if values.dtype == np.uint8 and n < 1 << 23:
+            # The sums of products fit as they are.
+            v = values.astype(np.uint64)
+            v += np.uint64(1)
+            high, low = np.cumsum(v * (power >> _31)), np.cumsum(v * (power & _LOW31))
+            low += high >> _30
+            high &= _LOW30
+            high <<= _31
+            low += high
+            self.prefix = np.concatenate([np.zeros(1, np.uint64), reduced(low)])
+            return
         if values.dtype.itemsize < 8:
             v = values.astype(np.uint64)
             v += np.uint64(1)
@@ -167,13 +178,16 @@ class Words:
 def lines_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of every line; rows are split at line feeds, and an empty row has one empty line."""
     cuts = np.flatnonzero(buf == 10)
-    start = np.concatenate([offsets[:-1], cuts + 1])
-    row = np.concatenate([np.arange(len(offsets) - 1), rows_of(offsets, cuts)])
-    end = np.concatenate([offsets[1:], cuts])
-    order = np.lexsort((start, row))
-    start, row = start[order], row[order]
-    end = end[np.lexsort((end, np.concatenate([np.arange(len(offsets) - 1), rows_of(offsets, cuts)])))]
-    return start, end, row
+    each = np.bincount(rows_of(offsets, cuts), minlength=len(offsets) - 1) + 1
+    after = np.cumsum(each)
+    start, end = np.empty(int(each.sum()), np.int64), np.empty(int(each.sum()), np.int64)
+    inner = np.ones(len(start), bool)
+    inner[after - each] = False
+    start[~inner], start[inner] = offsets[:-1], cuts + 1
+    inner[:] = True
+    inner[after - 1] = False
+    end[~inner], end[inner] = offsets[1:], cuts
+    return start, end, np.repeat(np.arange(len(each)), each)
 
 
 def code_points(buf: np.ndarray) -> np.ndarray:

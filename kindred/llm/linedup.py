@@ -9,9 +9,9 @@ disjoint, and probes with the disjoint ones. Whichever of two near lines stops f
 on at least as far in the same order, indexes it. How rare a run is is read from a table of fixed size, counted over all lines; any table gives the same links.
 
 Lines under one key are compared if lengths and places allow it: pair by pair up to BUCKET lines. Above that, each line is compared with the key's earliest one;
-the lines still open meet the key's lines in cells of bounded size, where bit sketches of the lines rule out nearly all pairs, so no pair is a row.
-That last step's work is the number of open lines times the key's lines, and a line's text is sent once for every CELL lines of the key. All that remains is
-verified by banded edit distance, `2 * threshold + 1` diagonals in a machine word, all pairs of a batch side by side; thresholds over 31 are
+the lines still open meet the key's lines in cells of bounded size, where bit sketches of the lines rule out nearly all pairs, so only those that may be near are rows:
+of each open line the FEW earliest ones first, then the others of the lines still open. The work of the sketches is the number of open lines times the key's lines, and
+a line's sketch is sent once for every CELL lines of the key. All that remains is verified by banded edit distance, `2 * threshold + 1` diagonals in a machine word, all pairs of a batch side by side; thresholds over 31 are
 verified by the furthest places that each number of edits reaches.
 
 A line is a duplicate if an equal line comes earlier, or if a near one has its first occurrence earlier; order is by document id, text and line
@@ -40,8 +40,10 @@ WORDS_AN_EDIT = 10
 GRAM = 3
 #: Lines of a key on one side of a cell.
 CELL = 8192
-#: Thresholds up to which a band of diagonals fits into a machine word.
-BANDED = 31
+#: Earlier lines that an open line of a cell is compared with before all the others.
+FEW = 4
+#: Edits that a band of diagonals holds, from band to band; a machine word holds no more.
+BANDS = (1, 2, 4, 8, 15, 31)
 
 _U = np.uint64
 _MAX = _U(2**64 - 1)
@@ -85,8 +87,8 @@ def join_keys(rolling: V.Rolling, start: np.ndarray, length: np.ndarray, max_edi
     return index, np.stack(probes, 1)
 
 
-def within(points: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray, most: int) -> np.ndarray:
-    """Whether points[a:a+m] and points[b:b+n] are within `most` edits: bit-parallel in a band of diagonals, all pairs at once."""
+def within(points: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray, most: int, limit: np.ndarray | None = None) -> np.ndarray:
+    """Whether points[a:a+m] and points[b:b+n] are within `limit` (or `most`) edits: bit-parallel in a band of diagonals that holds `most` edits, all pairs at once."""
     out = np.zeros(len(a), bool)
     close = np.flatnonzero(np.abs(m - n) <= most)
     # The longest first, so that the pairs still running are a prefix.
@@ -96,19 +98,25 @@ def within(points: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray, n: n
     mask, top = _U((1 << wide) - 1), _U(1 << (wide - 1))
     up = np.full(len(close), ((1 << (most + 1)) - 1) << most, _U)
     down = np.zeros(len(close), _U)
-    distance = np.full(len(close), most, np.int64)
     # D[most][0] of a line shorter than the band starts from its own last row.
-    distance = np.minimum(distance, m)
+    distance = np.minimum(np.full(len(close), most, np.int64), m)
     longest = int(n.max()) if len(n) else 0
     active = np.searchsorted(-n, -np.arange(1, longest + 1), "right")
+    long = np.searchsorted(-n, -(np.arange(1, longest + 1) + 2 * most), "right")
+    bits = np.zeros((len(close), 8 * -(-wide // 8)), bool)
+    word = np.zeros((len(close), 8), np.uint8)
     for j in range(1, longest + 1):
         k = active[j - 1]
-        letter = points[b[:k] + j - 1]
-        equal = np.zeros(k, _U)
-        for bit in range(wide):
-            row = j - most + bit
-            fits = (row >= 1) & (row <= m[:k])
-            equal |= np.where(fits & (points[np.where(fits, a[:k] + row - 1, 0)] == letter), _U(1 << bit), _U(0))
+        row = np.arange(j - most, j + most + 1)
+        at = a[:k, None] + (row - 1)
+        # Only near the ends does the band leave the first line.
+        edge = 0 if j <= most else long[j - 1]
+        outside = (row < 1) | (row > m[edge:k, None])
+        at[edge:][outside] = 0
+        np.equal(points[at], points[b[:k] + j - 1][:, None], out=bits[:k, :wide])
+        bits[edge:k, :wide][outside] = False
+        word[:k, : bits.shape[1] // 8] = np.packbits(bits[:k], axis=1, bitorder="little")
+        equal = word[:k].view("<u8")[:, 0]
         p, q = up[:k], down[:k]
         d0 = ((((equal & p) + p) ^ p) | equal | q) & mask
         right = (q | ~(d0 | p)) & mask
@@ -120,7 +128,7 @@ def within(points: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray, n: n
         distance[:k] += np.where(inner, (d0 & top) == 0, edge & ((right & at) != 0)).astype(np.int64) - (edge & ((left & at) != 0))
         up[:k] = (left | ~((d0 >> _U(1)) | right)) & mask
         down[:k] = (d0 >> _U(1)) & right
-    out[close] = distance <= most
+    out[close] = distance <= (most if limit is None else limit[close])
     return out
 
 
@@ -151,29 +159,33 @@ def words_within(a: list, b: list, most: int) -> bool:
     return False
 
 
-def near_words(words: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Whether words[a:a+m] and words[b:b+n], of numbered words, are within `most` edits, for each pair."""
+def near_words(words: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray, most: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Whether words[a:a+m] and words[b:b+n], of hashed words, are within `most` edits, for each pair, where `least` are certain.
+    A pair is tried in the narrowest band that may hold it and then in wider ones."""
     out = np.zeros(len(a), bool)
-    for k in np.unique(most):
-        mine = np.flatnonzero(most == k)
-        if k <= BANDED:
-            out[mine] = within(words, a[mine], m[mine], b[mine], n[mine], int(k))
-        else:
-            out[mine] = [words_within(words[a[i] : a[i] + m[i]].tolist(), words[b[i] : b[i] + n[i]].tolist(), int(k)) for i in mine]
+    least = np.maximum(least, np.abs(m - n))
+    open_ = least <= most
+    for band in BANDS:
+        mine = np.flatnonzero(open_ & (least <= band))
+        for part in np.array_split(mine, -(-len(mine) // 4096)) if len(mine) else ():
+            out[part] = within(words, a[part], m[part], b[part], n[part], band, most[part])
+        open_[mine] = ~out[mine] & (most[mine] > band)
+    for i in np.flatnonzero(open_):
+        out[i] = words_within(words[a[i] : a[i] + m[i]].tolist(), words[b[i] : b[i] + n[i]].tolist(), int(most[i]))
     return out
 
 
 def sketches(symbols: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """256 bits of each stretch of symbols: which hashed symbols it has an odd number of times. An edit changes two bits at most."""
-    h = V.mix(symbols.astype(_U) + _U(1))
-    out = np.zeros((len(first), 4), _U)
+    """128 bits of each stretch of hashed words: which of them it has an odd number of times. A word's edit changes two bits at most."""
+    out = np.zeros((len(first), 2), _U)
     some = np.flatnonzero(count)
-    order = V.ragged(first[some], count[some])
-    starts = np.cumsum(count[some]) - count[some]
-    bit, lane = _U(1) << (h & _U(63)), (h >> _U(6)) & _U(3)
-    for k in range(4):
-        if len(some):
-            out[some, k] = np.bitwise_xor.reduceat(np.where(lane == k, bit, _U(0))[order], starts)
+    if len(some):
+        order = V.ragged(first[some], count[some])
+        h = V.mix(symbols[order] + _U(1))
+        starts = np.cumsum(count[some]) - count[some]
+        bit, lane = _U(1) << (h & _U(63)), (h >> _U(6)) & _U(1)
+        for k in range(2):
+            out[some, k] = np.bitwise_xor.reduceat(np.where(lane == k, bit, _U(0)), starts)
     return out
 
 
@@ -239,24 +251,27 @@ class _Lines:
 
     def __init__(self, column):
         buf, offsets = V.text_buffer(column)
-        start, end, row = V.lines_of(buf, offsets)
+        self.start, self.end, row = V.lines_of(buf, offsets)
         number = np.arange(len(row)) - np.searchsorted(row, row, "left")
         words = V.Words(buf, offsets)
-        first, last = np.searchsorted(words.start, start), np.searchsorted(words.start, end)
+        first, last = np.searchsorted(words.start, self.start), np.searchsorted(words.start, self.end)
         full = last > first
-        self.row, self.number, self.first, self.last = row[full], number[full], first[full], last[full]
-        self.buf, self.words = buf, words
+        self.start, self.end, self.row, self.number, self.first, self.last = (x[full] for x in (self.start, self.end, row, number, first, last))
+        self.buf, self.words, self.rolling = buf, words, V.Rolling(buf)
         before = V.code_points(buf)
-        self.begin = before[start[full]]
-        self.length = before[end[full]] - self.begin
-        self.points = points_of(buf)
-        self.hashes = [V.Rolling(self.points, k) for k in (0, 1)]
+        self.length = before[self.end] - before[self.start]
 
     def hash(self, which: int = 0) -> np.ndarray:
-        return self.hashes[which].spans(self.begin, self.begin + self.length)
+        return (V.Rolling(self.buf, which) if which else self.rolling).spans(self.start, self.end)
 
     def hashed_words(self) -> np.ndarray:
-        return V.Rolling(self.buf).spans(self.words.start, self.words.end)
+        return self.rolling.spans(self.words.start, self.words.end)
+
+    def characters(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The code points of some lines, and where each begins."""
+        size = (self.end - self.start)[some]
+        length = self.length[some]
+        return points_of(self.buf[V.ragged(self.start[some], size)]), np.cumsum(length) - length
 
 
 def _chunks(batches):
@@ -298,7 +313,8 @@ def seeds(texts: DataFrame, max_edits: int, words_an_edit: int | None, common: n
             once &= lines.length >= MIN_CHARS
             # An edit of one character changes two words at most, so word edits include it where two are allowed.
             chars = np.flatnonzero(once & (count // words_an_edit < 2 * max_edits) if words_an_edit else once)
-            index, probes = join_keys(lines.hashes[0], lines.begin[chars], lines.length[chars], max_edits)
+            points, begin = lines.characters(chars)
+            index, probes = join_keys(V.Rolling(points), begin, lines.length[chars], max_edits)
             found = []
             for keys, own in ((index, True), (probes, False)):
                 who, which = np.nonzero(keys)
@@ -314,37 +330,46 @@ def seeds(texts: DataFrame, max_edits: int, words_an_edit: int | None, common: n
     return texts.mapInArrow(run, "_key long, _h long, _n int, _at int, _asks boolean")
 
 
-def _threshold(a: str, b: str, max_edits: int, words_an_edit: int | None):
-    by_words = F.floor(F.greatest(a, b) / words_an_edit) if words_an_edit else F.lit(0)
-    return F.when(F.col(a) < 0, F.lit(max_edits)).otherwise(by_words)
+def _fits(max_edits: int, words_an_edit: int | None):
+    """Whether lines a and b under one key may be near by their lengths and places; those of character segments are in their keys."""
+    by_words = F.floor(F.greatest("_na", "_nb") / words_an_edit) if words_an_edit else F.lit(0)
+    most = F.when(F.col("_na") < 0, F.lit(max_edits)).otherwise(by_words)
+    return (F.abs(F.col("_na") - F.col("_nb")) <= most) & ((F.col("_na") < 0) | (F.abs(F.col("_pa") - F.col("_pb")) <= most))
+
+
+def _alike(max_edits: int, words_an_edit: int | None):
+    """Whether the sketches of lines a and b, of _wa and _wb words, differ no more than edits can make them: a word's edit changes two bits, a character's four."""
+    changed = F.bit_count(F.col("_ua").bitwiseXOR(F.col("_ub"))) + F.bit_count(F.col("_va").bitwiseXOR(F.col("_vb")))
+    by_words = F.floor(F.greatest("_wa", "_wb") / words_an_edit) if words_an_edit else F.lit(0)
+    return changed <= F.greatest(2 * by_words, F.lit(4 * max_edits))
 
 
 def candidates(texts: DataFrame, lines: DataFrame, max_edits: int, words_an_edit: int | None) -> tuple[DataFrame, DataFrame]:
-    """Pairs _a, _b to compare, and the lines of the keys that more than BUCKET share: _key, _h, _first, _n, _at, _size and _lead, the key's earliest line."""
+    """Pairs _a, _b to compare, and the lines of the keys that more than BUCKET share, with all columns of `lines`, _n, _at, _size and whether it is the key's earliest (_leads)."""
     every = seeds(texts, max_edits, words_an_edit, common_runs(texts, words_an_edit) if words_an_edit else None)
     # Most keys have one line. Counting is narrow and put together before the exchange, and the join with the rest can be split where a key is hot.
     twice = V.written(every.groupBy("_key").agg(F.count("*").alias("_k")).where("_k > 1").select("_key"), "twice")
     some = V.written(every.join(twice.hint("merge"), "_key", "left_semi").distinct(), "some")
-    V.discard(twice)
     sizes = some.groupBy("_key").agg(F.count("*").alias("_size"), F.min("_h").alias("_a"), F.max("_h").alias("_b"), F.max("_asks").alias("_any")).where("_a <> _b AND _any")
     sizes = V.written(sizes.select("_key", "_size"), "sizes")
+    fits = _fits(max_edits, words_an_edit)
     small = some.join(sizes.where(F.col("_size") <= BUCKET).select("_key"), "_key")
     side = lambda x: small.select("_key", F.col("_h").alias(f"_{x}"), F.col("_n").alias(f"_n{x}"), F.col("_at").alias(f"_p{x}"), F.col("_asks").alias(f"_q{x}"))
-    most = _threshold("_na", "_nb", max_edits, words_an_edit)
-    # The places of character segments are in their keys.
-    fits = (F.col("_qa") | F.col("_qb")) & (F.abs(F.col("_na") - F.col("_nb")) <= most) & ((F.col("_na") < 0) | (F.abs(F.col("_pa") - F.col("_pb")) <= most))
-    pairs = side("a").join(side("b"), "_key").where((F.col("_a") < F.col("_b")) & fits).select("_a", "_b")
-    hot = some.join(sizes.where(F.col("_size") > BUCKET), "_key").join(lines.select("_h", "_first"), "_h")
-    lead = V.written(hot.groupBy("_key").agg(F.min(F.struct("_first", "_h")).getField("_h").alias("_lead")), "lead")
-    hot = V.written(hot.join(lead, "_key"), "hot")
-    stars = hot.where("_h <> _lead").select(F.least("_h", "_lead").alias("_a"), F.greatest("_h", "_lead").alias("_b"))
-    out = V.written(pairs.unionByName(stars).distinct(), "pairs")
-    V.discard(some, sizes, lead)
-    return out, hot
+    pairs = side("a").join(side("b"), "_key").where((F.col("_a") < F.col("_b")) & (F.col("_qa") | F.col("_qb")) & fits).select("_a", "_b")
+    hot = some.join(sizes.where(F.col("_size") > BUCKET), "_key").select("_key", "_h", "_n", "_at", "_size").distinct().join(lines, "_h")
+    lead = F.min(F.struct("_first", "_h", "_n", "_at")).alias("_l")
+    lead = V.written(hot.groupBy("_key").agg(lead).select("_key", F.col("_l._h").alias("_b"), F.col("_l._n").alias("_nb"), F.col("_l._at").alias("_pb")), "lead")
+    hot = V.written(hot.join(lead, "_key").withColumn("_leads", F.col("_h") == F.col("_b")), "hot")
+    stars = hot.where("NOT _leads").withColumns({"_na": F.col("_n"), "_pa": F.col("_at")}).where(fits).select(F.least("_h", "_b").alias("_a"), F.greatest("_h", "_b").alias("_b"))
+    met = V.written(pairs.unionByName(stars).distinct(), "met")
+    about = lambda x: lines.select(F.col("_h").alias(f"_{x}"), F.col("_words").alias(f"_w{x}"), F.col("_s").alias(f"_u{x}"), F.col("_s2").alias(f"_v{x}"))
+    out = V.written(met.join(about("a"), "_a").join(about("b"), "_b").where(_alike(max_edits, words_an_edit)).select("_a", "_b").distinct(), "pairs")
+    V.discard(twice, some, sizes, lead, met)
+    return out, hot.drop("_b", "_nb", "_pb")
 
 
 class _Stretches:
-    """Texts of a column as stretches of symbols: numbered words, or characters."""
+    """Texts of columns as stretches of symbols: hashed words, or characters."""
 
     def __init__(self, columns, by_words: bool):
         found = [V.text_buffer(c) for c in columns]
@@ -352,8 +377,7 @@ class _Stretches:
         offsets = np.concatenate([[0], *(o[1:] + sum(len(b) for b, _ in found[:k]) for k, (_, o) in enumerate(found))])
         if by_words:
             words = V.Words(buf, offsets)
-            h = np.stack([V.Rolling(buf, k).spans(words.start, words.end) for k in (0, 1)], 1)
-            _, self.symbols = np.unique(h, axis=0, return_inverse=True) if len(h) else (None, np.zeros(0, np.int64))
+            self.symbols = V.Rolling(buf).spans(words.start, words.end)
             bounds = np.searchsorted(words.start, offsets)
         else:
             self.symbols = points_of(buf)
@@ -369,25 +393,27 @@ def near_pairs(a, b, max_edits: int, words_an_edit: int | None) -> np.ndarray:
         words = _Stretches([a, b], True)
         most = np.maximum(words.count[:n], words.count[n:]) // words_an_edit
         some = np.flatnonzero(most)
-        out[some] = near_words(words.symbols, words.first[some], words.count[some], words.first[n + some], words.count[n + some], most[some])
+        sketch = sketches(words.symbols, words.first, words.count)
+        changed = np.bitwise_count(sketch[:n] ^ sketch[n:]).sum(1)
+        out[some] = near_words(words.symbols, words.first[some], words.count[some], words.first[n + some], words.count[n + some], most[some], changed[some] // 2)
         left = np.flatnonzero(~out & (most < 2 * max_edits))
     points = _Stretches([a, b], False)
     out[left] |= within(points.symbols, points.first[left], points.count[left], points.first[n + left], points.count[n + left], max_edits)
     return out
 
 
-def near_earlier(table: pa.Table, max_edits: int, words_an_edit: int | None, together: int = 1 << 22) -> np.ndarray:
-    """For each asking line of a cell (_asks, _place, _n, _at, _text; all of one key), whether one of the others with an earlier place is near."""
+def earlier_ones(table: pa.Table, max_edits: int, words_an_edit: int | None, skip: int, take: int | None, together: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the asking lines of a cell (_asks, _place, _n, _at, _words, _s, _s2; all of one key): rows of the line and of others with an earlier place that may be near it,
+    from the earliest one on, `take` of them after the first `skip`; and whether there are more."""
     column = lambda name: table.column(name).to_numpy(zero_copy_only=False)
-    asks, place, n, at = column("_asks").astype(bool), column("_place"), column("_n").astype(np.int64), column("_at").astype(np.int64)
+    asks, place, n, at, words = (column(c) for c in ("_asks", "_place", "_n", "_at", "_words"))
+    sketch = np.stack([column("_s"), column("_s2")], 1)
     by_words = bool(len(n) and n[0] > 0)
-    x = _Stretches([table.column("_text")], by_words)
-    sketch = sketches(x.symbols, x.first, x.count)
-    side = np.flatnonzero(~asks)
+    side = np.flatnonzero(~asks.astype(bool))
     side = side[np.argsort(place[side], kind="stable")]
-    mine = np.flatnonzero(asks)
-    out = np.zeros(len(mine), bool)
+    mine = np.flatnonzero(asks.astype(bool))
     step = max(1, together // max(1, len(side)))
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
     for low in range(0, len(mine), step):
         i = mine[low : low + step]
         most = np.maximum(np.abs(n[i])[:, None], np.abs(n[side])) // words_an_edit if by_words else np.full((len(i), len(side)), max_edits)
@@ -395,51 +421,42 @@ def near_earlier(table: pa.Table, max_edits: int, words_an_edit: int | None, tog
         if by_words:
             fits &= np.abs(at[i][:, None] - at[side]) <= most
         who, whom = np.nonzero(fits)
-        changed = np.bitwise_count(sketch[i[who]] ^ sketch[side[whom]]).sum(1)
-        good = changed <= 2 * most[who, whom]
-        who, whom, most = who[good], whom[good], most[who, whom][good]
-        # Of each line the earliest open candidates first; who has a near one needs no more.
-        done, start = np.zeros(len(i), bool), 0
-        turn = np.arange(len(who)) - np.searchsorted(who, who, "left")
-        while len(who):
-            now = turn < start + 4
-            a, b = i[who[now]], side[whom[now]]
-            if by_words:
-                near = near_words(x.symbols, x.first[a], x.count[a], x.first[b], x.count[b], most[now])
-            else:
-                near = within(x.symbols, x.first[a], x.count[a], x.first[b], x.count[b], max_edits)
-            done[who[now][near]] = True
-            rest = ~now & ~done[who]
-            who, whom, most, turn = who[rest], whom[rest], most[rest], turn[rest]
-            start += 4
-        out[low : low + len(i)] = done
-    return out
-
-
-def in_cells(hot: DataFrame, texts: DataFrame, settled: DataFrame, max_edits: int, words_an_edit: int | None) -> DataFrame:
-    """_h, _h2 of the lines of hot keys that aren't settled and that an earlier line of the key is near: blocks of open lines meet blocks of all lines."""
-    known = texts.join(settled.withColumn("_known", F.lit(True)), ["_h", "_h2"], "left").select("_h", "_h2", "_first", "_text", F.coalesce("_known", F.lit(False)).alias("_known"))
-    members = hot.drop("_first").join(known, "_h").withColumn("_open", ~F.col("_known") & (F.col("_h") != F.col("_lead"))).drop("_known", "_lead")
-    open_ = V.written(members.where("_open").groupBy("_key").agg(F.count("*").alias("_many")), "open")
-    members = members.join(open_, "_key")
+        a, b = i[who], side[whom]
+        edits = 2 * (np.maximum(words[a], words[b]) // words_an_edit) if words_an_edit else np.zeros(len(a), np.int64)
+        alike = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1) <= np.maximum(edits, 4 * max_edits)
+        a, b = a[alike], b[alike]
+        turn = np.arange(len(a)) - np.searchsorted(who[alike], who[alike], "left")
+        here = (turn >= skip) & (turn < skip + take) if take else turn >= skip
+        many = np.bincount(a, minlength=len(asks))
+        out.append((a[here], b[here], many[a[here]] > skip + take if take else np.zeros(int(here.sum()), bool)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def in_cells(hot: DataFrame, open_: DataFrame, max_edits: int, words_an_edit: int | None, skip: int, take: int | None) -> DataFrame:
+    """Pairs _a, _b of open lines (_h, _h2) with earlier lines of a hot key, and _more: blocks of open lines meet blocks of all lines, by numbers of fixed size a line."""
+    members = hot.join(open_.withColumn("_open", F.lit(True)), ["_h", "_h2"], "left").withColumn("_open", F.coalesce("_open", F.lit(False)) & ~F.col("_leads"))
+    many = V.written(members.where("_open").groupBy("_key").agg(F.count("*").alias("_many")), "open")
+    members = members.join(many, "_key")
     block = lambda n: F.pmod(F.xxhash64("_h", "_at"), n).cast("int")
     members = members.withColumn("_is", F.ceil(F.col("_many") / CELL).cast("int")).withColumn("_js", F.ceil(F.col("_size") / CELL).cast("int"))
-    columns = ["_key", "_h", "_h2", "_first", "_n", "_at", "_text"]
+    columns = ["_key", "_h", "_first", "_n", "_at", "_words", "_s", "_s2"]
     others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asking = members.where("_open").select(*columns, F.lit(True).alias("_asks"), block(F.col("_is")).alias("_i"), others("_js").alias("_j"))
     asked = members.select(*columns, F.lit(False).alias("_asks"), block(F.col("_js")).alias("_j"), others("_is").alias("_i"))
 
     def compare(table: pa.Table) -> pa.Table:
-        order = {v: k for k, v in enumerate(sorted({tuple((v is not None, v) for v in f.values()) for f in table.column("_first").to_pylist()}))}
-        place = [order[tuple((v is not None, v) for v in f.values())] for f in table.column("_first").to_pylist()]
-        near = near_earlier(table.append_column("_place", pa.array(place, pa.int64())), max_edits, words_an_edit)
-        return table.filter(table.column("_asks")).select(["_h", "_h2"]).filter(pa.array(near, pa.bool_()))
+        first = [tuple((v is not None, v) for v in f.values()) for f in table.column("_first").to_pylist()]
+        order = {v: k for k, v in enumerate(sorted({*first}))}
+        table = table.append_column("_place", pa.array([order[f] for f in first], pa.int64()))
+        a, b, more = earlier_ones(table, max_edits, words_an_edit, skip, take)
+        h = table.column("_h").to_numpy()
+        return pa.table({"_a": h[a], "_b": h[b], "_more": more})
 
-    return asking.unionByName(asked).groupBy("_key", "_i", "_j").applyInArrow(compare, "_h long, _h2 long")
+    return V.written(asking.unionByName(asked).groupBy("_key", "_i", "_j").applyInArrow(compare, "_a long, _b long, _more boolean"), "cells")
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, _k (128 bits of id and text), line number, whether it is the text's first, characters and two hashes of every line with a word, written once."""
+    """id, _k (128 bits of id and text), line number, whether it is the text's first, characters, words, two hashes and a sketch of every line with a word, written once."""
     src = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), V.row_key(F.col(id_col), F.col(text_col)).alias("_k"), F.col(text_col).alias("_text"))
     kind = src.schema["_id"].dataType.simpleString()
 
@@ -448,12 +465,12 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             at = pa.array(lines.row)
             head = np.ones(len(lines.row), bool)
             head[1:] = lines.row[1:] != lines.row[:-1]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("_id").take(at), part.column("_k").take(at), pa.array(lines.number.astype(np.int32)), pa.array(head), pa.array(lines.length.astype(np.int32)), *(pa.array(lines.hash(k).view(np.int64)) for k in (0, 1))],
-                names=["_id", "_k", "_line", "_head", "_chars", "_h", "_h2"],
-            )
+            count = lines.last - lines.first
+            sketch = sketches(lines.hashed_words(), lines.first, count).view(np.int64)
+            numbers = [lines.number.astype(np.int32), head, lines.length.astype(np.int32), count.astype(np.int32), *(lines.hash(k).view(np.int64) for k in (0, 1)), *sketch.T]
+            yield pa.RecordBatch.from_arrays([part.column("_id").take(at), part.column("_k").take(at), *map(pa.array, numbers)], names=["_id", "_k", "_line", "_head", "_chars", "_words", "_h", "_h2", "_s", "_s2"])
 
-    return V.written(src.mapInArrow(run, f"_id {kind}, _k binary, _line int, _head boolean, _chars int, _h long, _h2 long"), "lines")
+    return V.written(src.mapInArrow(run, f"_id {kind}, _k binary, _line int, _head boolean, _chars int, _words int, _h long, _h2 long, _s long, _s2 long"), "lines")
 
 
 def _line_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -467,13 +484,11 @@ def _line_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
 def duplicate_lines(docs: DataFrame, occ: DataFrame, id_col: str, text_col: str, max_edits: int, words_an_edit: int | None = None) -> DataFrame:
     """_h, _h2, _first (the first occurrence) and _dup (an earlier line is near) of every different line."""
     first = F.min(F.struct("_id", "_k", "_line")).alias("_first")
-    lines = V.written(occ.groupBy("_h", "_h2").agg(first), "distinct")
+    lines = V.written(occ.groupBy("_h", "_h2").agg(first, *(F.first(c).alias(c) for c in ("_words", "_s", "_s2"))), "distinct")
     pairs, hot = candidates(docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("_text")), lines, max_edits, words_an_edit)
-    wanted = pairs.select(F.col("_a").alias("_h")).unionByName(pairs.select(F.col("_b").alias("_h"))).unionByName(hot.select("_h")).distinct()
+    ends = lambda pairs: pairs.select(F.col("_a").alias("_h")).unionByName(pairs.select(F.col("_b").alias("_h")))
     # Two lines with one _h are told apart by _h2 and are both compared.
-    texts = V.written(_line_texts(docs, lines.join(wanted, "_h"), id_col, text_col), "texts")
-    side = lambda x: texts.select(F.col("_h").alias(f"_{x}"), F.col("_h2").alias(f"_{x}2"), F.col("_first").alias(f"_f{x}"), F.col("_text").alias(f"_t{x}"))
-    later = F.when(F.col("_fa") < F.col("_fb"), F.struct(F.col("_b").alias("h"), F.col("_b2").alias("h2"))).otherwise(F.struct(F.col("_a").alias("h"), F.col("_a2").alias("h2")))
+    texts = V.written(_line_texts(docs, lines.select("_h", "_h2", "_first").join(ends(pairs).unionByName(hot.select("_h")).distinct(), "_h"), id_col, text_col), "texts")
 
     def verify(batches):
         for batch in batches:
@@ -481,11 +496,28 @@ def duplicate_lines(docs: DataFrame, occ: DataFrame, id_col: str, text_col: str,
                 near = near_pairs(part.column("_ta"), part.column("_tb"), max_edits, words_an_edit)
                 yield part.select(["_h", "_h2"]).filter(pa.array(near))
 
-    met = pairs.join(side("a"), "_a").join(side("b"), "_b").select("_ta", "_tb", later.alias("_l")).select(F.col("_l.h").alias("_h"), F.col("_l.h2").alias("_h2"), "_ta", "_tb")
-    near = V.written(met.mapInArrow(verify, "_h long, _h2 long").distinct(), "near")
-    dup = near.unionByName(in_cells(hot, texts, near, max_edits, words_an_edit)).distinct().withColumn("_dup", F.lit(True))
-    out = V.written(lines.join(dup, ["_h", "_h2"], "left").withColumn("_dup", F.coalesce("_dup", F.lit(False))), "judged")
-    V.discard(lines, pairs, hot, texts, near)
+    def verified(pairs: DataFrame) -> DataFrame:
+        """_h, _h2 of the later line of each pair that is near."""
+        side = lambda x: texts.select(F.col("_h").alias(f"_{x}"), F.col("_h2").alias(f"_{x}2"), F.col("_first").alias(f"_f{x}"), F.col("_text").alias(f"_t{x}"))
+        later = lambda c: F.when(F.col("_fa") < F.col("_fb"), F.col(f"_b{c}")).otherwise(F.col(f"_a{c}"))
+        met = pairs.select("_a", "_b").distinct().join(side("a"), "_a").join(side("b"), "_b").select(later("").alias("_h"), later("2").alias("_h2"), "_ta", "_tb")
+        return V.written(met.mapInArrow(verify, "_h long, _h2 long").distinct(), "near")
+
+    found = [verified(pairs)]
+    members = hot.where("NOT _leads").select("_h", "_h2").distinct()
+    cells = in_cells(hot, members.join(found[0], ["_h", "_h2"], "left_anti"), max_edits, words_an_edit, 0, FEW)
+    found.append(verified(cells))
+    left = members.join(cells.where("_more").select(F.col("_a").alias("_h")).distinct(), "_h", "left_semi").join(found[1], ["_h", "_h2"], "left_anti")
+    if not left.isEmpty():
+        rest = in_cells(hot, left, max_edits, words_an_edit, FEW, None)
+        found.append(verified(rest))
+        V.discard(rest)
+    dup = found[0]
+    for more in found[1:]:
+        dup = dup.unionByName(more)
+    dup = dup.distinct().withColumn("_dup", F.lit(True))
+    out = V.written(lines.select("_h", "_h2", "_first").join(dup, ["_h", "_h2"], "left").withColumn("_dup", F.coalesce("_dup", F.lit(False))), "judged")
+    V.discard(lines, pairs, hot, texts, cells, *found)
     return out
 
 
