@@ -11,6 +11,7 @@ LETTERS = "ABCDEFGHJKLMNPRSTUVWXYZ"
 VALUES = "12345678123457923456789"
 WEIGHTS = (8, 7, 6, 5, 4, 3, 2, 10, 0, 9, 8, 7, 6, 5, 4, 3, 2)
 AMBIGUOUS, REPAIRED = "IOQ", "100"
+CHECK_DIGITS = "0123456789X"
 
 
 def normalized(vin: Column) -> Column:
@@ -33,11 +34,11 @@ def plausible(vin: Column) -> Column:
 
 
 def checksum_ok(vin: Column) -> Column:
-    """The ninth character equals the check digit over all seventeen."""
+    """The ninth character equals the check digit over all seventeen. Digits are their codes less 48: no text is parsed."""
     digits = F.translate(vin, LETTERS, VALUES)
-    total = sum((F.substring(digits, i + 1, 1).try_cast("int") * w for i, w in enumerate(WEIGHTS)), F.lit(0))
-    check = F.when(total % 11 == 10, "X").otherwise((total % 11).cast("string"))
-    shaped = (F.length(vin) == 17) & vin.rlike("^[A-Z0-9]{17}$") & ~vin.rlike(f"[{AMBIGUOUS}]")
+    total = sum((F.ascii(F.substring(digits, i + 1, 1)) * w for i, w in enumerate(WEIGHTS) if w), F.lit(-ord("0") * sum(WEIGHTS)))
+    check = F.substring(F.lit(CHECK_DIGITS), total % 11 + 1, F.lit(1))
+    shaped = (F.length(vin) == 17) & vin.rlike(f"^[0-9{LETTERS}]{{17}}$")
     return F.coalesce(F.when(shaped, F.substring(vin, 9, 1) == check), F.lit(False))
 
 

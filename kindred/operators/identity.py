@@ -28,12 +28,13 @@ def legacy_split(df: DataFrame, vin: str = "Vin", year: str = "year") -> tuple[D
 
 
 def with_status(df: DataFrame, vin: str = "Vin", status: str = "Vin_status") -> DataFrame:
-    checked = staged(df, _repaired=V.repaired(F.col(vin)))
-    good, mended, shaky = V.checksum_ok(F.col(vin)), V.checksum_ok(F.col("_repaired")), V.is_ambiguous(F.col(vin))
-    checked = staged(checked, _good=good, _mended=mended, _shaky=F.coalesce(shaky, F.lit(False)))
-    state = V.status(F.col(vin), F.col("_shaky"), F.col("_good"), F.col("_mended"))
-    out = staged(checked, **{status: state, vin: F.when(F.col("_shaky") & F.col("_mended"), F.col("_repaired")).otherwise(F.col(vin))})
-    return out.drop("_repaired", "_good", "_mended", "_shaky")
+    # One check digit a row: a number that needs repair has none of its own.
+    shaky = F.coalesce(V.is_ambiguous(F.col(vin)), F.lit(False))
+    checked = staged(df, _shaky=shaky, _read=F.when(shaky, V.repaired(F.col(vin))).otherwise(F.col(vin)))
+    checked = staged(checked, _good=V.checksum_ok(F.col("_read")))
+    state = V.status(F.col(vin), F.col("_shaky"), F.col("_good"), F.col("_good"))
+    out = staged(checked, **{status: state, vin: F.when(F.col("_shaky") & F.col("_good"), F.col("_read")).otherwise(F.col(vin))})
+    return out.drop("_read", "_good", "_shaky")
 
 
 def cleaned(df: DataFrame, vin: str = "Vin", year: str = "year") -> DataFrame:

@@ -20,7 +20,10 @@ def profile(df: DataFrame, columns: list[str] | None = None, approximate: bool =
         counted = row.selectExpr("n", f"stack({len(columns)}, {cells}) AS (attr, filled, n_uniq)")
     else:
         # (column, value) pairs are counted before the shuffle; a value of very many rows is one row a task.
-        cells = F.array(*(F.struct(F.lit(c).alias("attr"), F.col(c).cast("string").alias("v")) for c in columns))
+        kinds = dict(df.dtypes)
+        # The two zeros of a number are one value.
+        value = lambda c: (F.col(c) + F.lit(0.0) if kinds[c] in ("double", "float") else F.col(c)).cast("string")
+        cells = F.array(*(F.struct(F.lit(c).alias("attr"), value(c).alias("v")) for c in columns))
         values = df.select(F.explode(cells).alias("_c")).select("_c.attr", "_c.v").groupBy("attr", "v").agg(F.count("*").alias("k"))
         counted = values.groupBy("attr").agg(F.sum("k").alias("n"), F.sum(F.when(F.col("v").isNotNull(), F.col("k")).otherwise(0)).alias("filled"), F.count("v").alias("n_uniq"))
         empty = df.sparkSession.createDataFrame([(c,) for c in columns], "attr string")

@@ -17,7 +17,8 @@ SPLITS = ("train", "val", "test")
 
 def entity_split(entities: DataFrame, key: str = "vin", seed: int = SEED, rest: float = 0.30, test: float = 0.50) -> DataFrame:
     """(key, split): the entities in hash order, the last ceil(rest * n) of them split again into val and, of ceil(test * rest), test."""
-    keyed = entities.select(key).distinct().withColumn("_h", seeded(seed, F.col(key)))
+    # Written once: the count, the buckets and the ranks all read it.
+    keyed = written(entities.select(key).distinct(), "entities").withColumn("_h", seeded(seed, F.col(key)))
     n = keyed.count()
     n_rest = math.ceil(round(rest * n, 6))
     n_test = math.ceil(round(test * n_rest, 6))
@@ -53,16 +54,19 @@ def negative_pairs(numbered: DataFrame, wanted: int, seed: int, attempts: int =
     one = numbered.select(F.col("row").alias("r1"), F.col("id").alias("id1"), F.col("vin").alias("v1"))
     two = numbered.select(F.col("row").alias("r2"), F.col("id").alias("id2"), F.col("vin").alias("v2"))
     good = tries.join(one, "r1").join(two, "r2").where(~F.col("v1").eqNullSafe(F.col("v2"))).select("attempt", "id1", "id2")
-    return ranked(good, ["attempt"], F.floor(F.col("attempt") / 4096)).where(F.col("rank") <= wanted).select("attempt", "id1", "id2")
+    # As many buckets at every size.
+    return ranked(good, ["attempt"], F.floor(F.col("attempt") * 4096 / (wanted * attempts + 1))).where(F.col("rank") <= wanted).select("attempt", "id1", "id2")
 
 
-def labelled_pairs(members: DataFrame, splits: DataFrame, ids: DataFrame, id_to_key: DataFrame, seed: int = SEED, order: tuple[str, ...] = ("ord",)) -> DataFrame:
-    """(split, id1, id2, label): an entity's positives in its split, and as many negatives from all rows for each split."""
-    positive = positive_pairs(members).join(splits, "vin").select("split", "id1", "id2", F.lit(1).alias("label"))
+def labelled_pairs(members: DataFrame, splits: DataFrame, ids: DataFrame, id_to_key: DataFrame, seed: int = SEED, order: tuple[str, ...] = ("ord",), which: tuple[str, ...] = SPLITS) -> DataFrame:
+    """(split, id1, id2, label): an entity's positives in its split, and as many negatives from all rows for each split; of the splits in `which`."""
+    positive = positive_pairs(members).join(splits.where(F.col("split").isin(*which)), "vin").select("split", "id1", "id2", F.lit(1).alias("label"))
     counts = {r["split"]: r["n"] for r in positive.groupBy("split").agg(F.count("*").alias("n")).collect()}
     out, numbered = positive, written(numbered_rows(ids, id_to_key, order=order), "numbered")
     n = numbered.count()
     for i, split in enumerate(SPLITS):
+        if split not in which:
+            continue
         negative = negative_pairs(numbered, counts.get(split, 0), seed + i, n=n)
         out = out.unionByName(negative.select(F.lit(split).alias("split"), "id1", "id2", F.lit(0).alias("label")))
     return out

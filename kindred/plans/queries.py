@@ -63,12 +63,12 @@ class Steps:
     def splits(self) -> DataFrame:
         return self._once("splits", lambda: split.entity_split(self.members))
 
-    def _labelled(self) -> DataFrame:
+    def _labelled(self, which: tuple[str, ...] = split.SPLITS) -> DataFrame:
         self.kept  # noqa: B018  from here on, steps read the written rows
         self._made["members"] = written(identity.truth_members(self.kept, order=ORDER), "members")
         for name in ("id_to_vin", "training", "splits"):
             self._made.pop(name, None)
-        return written(split.labelled_pairs(self.members, written(self.splits, "splits"), self.training.select("id", *ORDER), self.id_to_vin, order=ORDER), "labelled")
+        return written(split.labelled_pairs(self.members, written(self.splits, "splits"), self.training.select("id", *ORDER), self.id_to_vin, order=ORDER, which=which), "labelled")
 
     @property
     def labelled(self) -> DataFrame:
@@ -244,7 +244,7 @@ def serialize_records(spark, sf_dir):
 
 
 def _train_labelled(steps: Steps) -> DataFrame:
-    return steps.labelled.where("split = 'train'")
+    return steps._once("train", lambda: steps._labelled(("train",)))
 
 
 def serialize_pairs(spark, sf_dir):
