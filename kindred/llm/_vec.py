@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from kindred.session import discard, with_package, written  # noqa: F401
 
-#: Bytes of text that are worked on together.
-CHUNK_BYTES = 2 << 20
+#: Bytes of text that are worked on together: their arrays stay near a core's cache.
+CHUNK_BYTES = 1 << 18
 
 #: Hashes are polynomials modulo this prime, at two bases that have nothing to do with each other. Modulo a power of two, texts of a thousand bytes
 #: are known that differ and collide at every base; here a pair of texts collides at one base with a chance of their length in 2**61, at both in 2**122.

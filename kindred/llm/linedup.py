@@ -397,12 +397,13 @@ def near_pairs(a, b, max_edits: int, words_an_edit: int | None) -> np.ndarray:
         changed = np.bitwise_count(sketch[:n] ^ sketch[n:]).sum(1)
         out[some] = near_words(words.symbols, words.first[some], words.count[some], words.first[n + some], words.count[n + some], most[some], changed[some] // 2)
         left = np.flatnonzero(~out & (most < 2 * max_edits))
-    points = _Stretches([a, b], False)
-    out[left] |= within(points.symbols, points.first[left], points.count[left], points.first[n + left], points.count[n + left], max_edits)
+    if len(left):
+        points, n = _Stretches([a.take(pa.array(left)), b.take(pa.array(left))], False), len(left)
+        out[left] = within(points.symbols, points.first[:n], points.count[:n], points.first[n:], points.count[n:], max_edits)
     return out
 
 
-def earlier_ones(table: pa.Table, max_edits: int, words_an_edit: int | None, skip: int, take: int | None, together: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def earlier_ones(table: pa.Table, max_edits: int, words_an_edit: int | None, skip: int, take: int | None, together: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For the asking lines of a cell (_asks, _place, _n, _at, _words, _s, _s2; all of one key): rows of the line and of others with an earlier place that may be near it,
     from the earliest one on, `take` of them after the first `skip`; and whether there are more."""
     column = lambda name: table.column(name).to_numpy(zero_copy_only=False)
@@ -414,21 +415,24 @@ def earlier_ones(table: pa.Table, max_edits: int, words_an_edit: int | None, ski
     mine = np.flatnonzero(asks.astype(bool))
     step = max(1, together // max(1, len(side)))
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+    there, side_at, side_n, side_words = place[side], at[side], np.abs(n[side]), words[side]
     for low in range(0, len(mine), step):
         i = mine[low : low + step]
-        most = np.maximum(np.abs(n[i])[:, None], np.abs(n[side])) // words_an_edit if by_words else np.full((len(i), len(side)), max_edits)
-        fits = (place[side] < place[i][:, None]) & (np.abs(n[i][:, None] - n[side]) <= most)
+        mine_n = np.abs(n[i])[:, None]
+        near = np.bitwise_count(sketch[i, 0][:, None] ^ sketch[side, 0]) + np.bitwise_count(sketch[i, 1][:, None] ^ sketch[side, 1])
+        edits = 2 * (np.maximum(words[i][:, None], side_words) // words_an_edit) if words_an_edit else 0
+        fits = near <= np.maximum(edits, 4 * max_edits)
+        fits &= there < place[i][:, None]
+        most = np.maximum(mine_n, side_n) // words_an_edit if by_words else max_edits
+        fits &= np.abs(mine_n - side_n) <= most
         if by_words:
-            fits &= np.abs(at[i][:, None] - at[side]) <= most
+            fits &= np.abs(at[i][:, None] - side_at) <= most
         who, whom = np.nonzero(fits)
         a, b = i[who], side[whom]
-        edits = 2 * (np.maximum(words[a], words[b]) // words_an_edit) if words_an_edit else np.zeros(len(a), np.int64)
-        alike = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1) <= np.maximum(edits, 4 * max_edits)
-        a, b = a[alike], b[alike]
-        turn = np.arange(len(a)) - np.searchsorted(who[alike], who[alike], "left")
+        turn = np.arange(len(a)) - np.searchsorted(who, who, "left")
         here = (turn >= skip) & (turn < skip + take) if take else turn >= skip
-        many = np.bincount(a, minlength=len(asks))
-        out.append((a[here], b[here], many[a[here]] > skip + take if take else np.zeros(int(here.sum()), bool)))
+        many = np.bincount(who, minlength=len(i))
+        out.append((a[here], b[here], many[who[here]] > skip + take if take else np.zeros(int(here.sum()), bool)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -492,7 +496,7 @@ def duplicate_lines(docs: DataFrame, occ: DataFrame, id_col: str, text_col: str,
 
     def verify(batches):
         for batch in batches:
-            for part in V.chunks(batch, "_ta"):
+            for part in V.chunks(batch, "_ta", 4 << 20):
                 near = near_pairs(part.column("_ta"), part.column("_tb"), max_edits, words_an_edit)
                 yield part.select(["_h", "_h2"]).filter(pa.array(near))
 
