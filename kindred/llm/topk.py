@@ -8,7 +8,7 @@ The stated query set meets all rows block by block: both sides are cut into bloc
 every query and the blocks' lists are merged by query. Block counts follow the table's size, block sizes don't.
 
 All arithmetic on scores is on whole numbers: in floating point where every sum is certain to be exact, else in 64 bits, else in Python's integers. Components
-beyond 64 bits are cut to the nearest number of 64 bits, and so is a score that the result column can't hold, after ranking.
+beyond 64 bits are cut to the nearest number of 64 bits, and so are scores that the result column can't hold; scores that are cut alike tie.
 
 Edge cases: a vector that is null, empty, or holds a null or a non-finite component takes no part, and neither does a row without an id; vectors of different lengths
 have no inner product, so each length is searched on its own; ties go to the smaller id; a query meets every row but those with its own id; fewer than k candidates are all returned; repeated rows each count as candidates, and equal queries with one id are asked once; an empty table gives an
@@ -66,8 +66,6 @@ def exact_kind(*arrays: np.ndarray):
 
 def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores, ties by the smaller id."""
-    if scores.dtype == object:
-        _, scores = np.unique(scores, return_inverse=True)
     if len(scores) > 4 * k:
         high = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
         return high[np.lexsort((ids[high], -scores[high]))[:k]]
@@ -101,13 +99,13 @@ def search_block(q_id, q, x_id, x, pivots, k, together: int = 64, step: int = 25
         for i, upper in enumerate(bounds, at):
             left = int((upper > -np.inf).sum())
             part = np.argpartition(-upper, step)[:step] if left > step else np.flatnonzero(upper > -np.inf)
-            ids, scores = np.zeros(0, np.int64), np.zeros(0, object if kind is object else np.int64)
+            ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
             reach = float(upper[part].min()) if left > step else -np.inf
             rest = None
             while len(part):
                 evaluated += len(part)
                 got = x[part] @ q[i]
-                got = np.rint(got).astype(np.int64) if kind in (np.float32, np.float64) else got
+                got = as_long(got) if kind is object else np.rint(got).astype(np.int64)
                 ids, scores = np.concatenate([ids, x_id[part]]), np.concatenate([scores, got])
                 best = best_of(ids, scores, k)
                 ids, scores = ids[best], scores[best]
@@ -119,7 +117,7 @@ def search_block(q_id, q, x_id, x, pivots, k, together: int = 64, step: int = 25
                 if len(scores) == k:
                     rest = rest[: np.searchsorted(-upper[rest], -float(scores[-1]), "right")]
                 part, rest = rest[: 4 * step], rest[4 * step :]
-            out.append((np.full(len(ids), q_id[i]), ids, as_long(scores)))
+            out.append((np.full(len(ids), q_id[i]), ids, scores))
     return out, evaluated
 
 
