@@ -280,24 +280,13 @@ def _chunks(batches):
             yield part, _Lines(part.column("_text"))
 
 
-def common_runs(texts: DataFrame, words_an_edit: int) -> np.ndarray:
-    """A class for each bucket of hashed runs of words: 0, or more the more often its runs occur. One row a bucket comes to the driver."""
-    gram = _gram(words_an_edit)
-
-    def run(batches):
-        n = np.zeros(_BUCKETS, np.int64)
-        for _, lines in _chunks(batches):
-            fits = lines.last - lines.first >= words_an_edit - 1
-            _, _, h = runs_of(lines.hashed_words(), lines.first[fits], lines.last[fits], gram)
-            n += np.bincount((h >> _U(48)).astype(np.int64), minlength=_BUCKETS)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["bucket", "n"])
-
-    counts = np.zeros(_BUCKETS, np.int64)
-    for row in texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        counts[row["bucket"]] = row["n"]
-    often = max(64.0, 4 * counts.mean())
-    return np.where(counts > often, np.clip(np.floor(np.log2(np.maximum(counts, 1) / often)) + 1, 1, 15), 0).astype(np.uint8)
+def common_runs(counts: DataFrame) -> np.ndarray:
+    """A class for each bucket of hashed runs of words (_bucket, _n): 0, or more the more often its runs occur. One row a bucket comes to the driver."""
+    total = np.zeros(_BUCKETS, np.int64)
+    for row in counts.groupBy("_bucket").agg(F.sum("_n").alias("_n")).collect():
+        total[row["_bucket"]] = row["_n"]
+    often = max(64.0, 4 * total.mean())
+    return np.where(total > often, np.clip(np.floor(np.log2(np.maximum(total, 1) / often)) + 1, 1, 15), 0).astype(np.uint8)
 
 
 def seeds(texts: DataFrame, max_edits: int, words_an_edit: int | None, common: np.ndarray | None) -> DataFrame:
@@ -344,9 +333,9 @@ def _alike(max_edits: int, words_an_edit: int | None):
     return changed <= F.greatest(2 * by_words, F.lit(4 * max_edits))
 
 
-def candidates(texts: DataFrame, lines: DataFrame, max_edits: int, words_an_edit: int | None) -> tuple[DataFrame, DataFrame]:
+def candidates(texts: DataFrame, lines: DataFrame, counts: DataFrame | None, max_edits: int, words_an_edit: int | None) -> tuple[DataFrame, DataFrame]:
     """Pairs _a, _b to compare, and the lines of the keys that more than BUCKET share, with all columns of `lines`, _n, _at, _size and whether it is the key's earliest (_leads)."""
-    every = seeds(texts, max_edits, words_an_edit, common_runs(texts, words_an_edit) if words_an_edit else None)
+    every = seeds(texts, max_edits, words_an_edit, common_runs(counts) if words_an_edit else None)
     # Most keys have one line. Counting is narrow and put together before the exchange, and the join with the rest can be split where a key is hot.
     twice = V.written(every.groupBy("_key").agg(F.count("*").alias("_k")).where("_k > 1").select("_key"), "twice")
     some = V.written(every.join(twice.hint("merge"), "_key", "left_semi").distinct(), "some")
@@ -459,22 +448,36 @@ def in_cells(hot: DataFrame, open_: DataFrame, max_edits: int, words_an_edit: in
     return V.written(asking.unionByName(asked).groupBy("_key", "_i", "_j").applyInArrow(compare, "_a long, _b long, _more boolean"), "cells")
 
 
-def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, _k (128 bits of id and text), line number, whether it is the text's first, characters, words, two hashes and a sketch of every line with a word, written once."""
+def occurrences(docs: DataFrame, id_col: str, text_col: str, words_an_edit: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """id, _k (128 bits of id and text), line number, whether it is the text's first, characters, words, two hashes and a sketch of every line with a word;
+    and, for word edits, how many runs of words fall into each bucket of hashes (_bucket, _n). Both are one table, written in one pass over the texts."""
     src = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), V.row_key(F.col(id_col), F.col(text_col)).alias("_k"), F.col(text_col).alias("_text"))
     kind = src.schema["_id"].dataType.simpleString()
+    names = ["_id", "_k", "_line", "_head", "_chars", "_words", "_h", "_h2", "_s", "_s2", "_bucket", "_n"]
 
     def run(batches):
+        runs, types = np.zeros(_BUCKETS, np.int64), None
         for part, lines in _chunks(batches):
             at = pa.array(lines.row)
             head = np.ones(len(lines.row), bool)
             head[1:] = lines.row[1:] != lines.row[:-1]
-            count = lines.last - lines.first
-            sketch = sketches(lines.hashed_words(), lines.first, count).view(np.int64)
+            count, words = lines.last - lines.first, lines.hashed_words()
+            sketch = sketches(words, lines.first, count).view(np.int64)
+            if words_an_edit:
+                fits = count >= words_an_edit - 1
+                _, _, h = runs_of(words, lines.first[fits], lines.last[fits], _gram(words_an_edit))
+                runs += np.bincount((h >> _U(48)).astype(np.int64), minlength=_BUCKETS)
             numbers = [lines.number.astype(np.int32), head, lines.length.astype(np.int32), count.astype(np.int32), *(lines.hash(k).view(np.int64) for k in (0, 1)), *sketch.T]
-            yield pa.RecordBatch.from_arrays([part.column("_id").take(at), part.column("_k").take(at), *map(pa.array, numbers)], names=["_id", "_k", "_line", "_head", "_chars", "_words", "_h", "_h2", "_s", "_s2"])
+            columns = [part.column("_id").take(at), part.column("_k").take(at), *map(pa.array, numbers)]
+            types = [c.type for c in columns]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.int64())], names=names)
+        some = np.flatnonzero(runs)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), t) for t in types), pa.array(some.astype(np.int32)), pa.array(runs[some])], names=names)
 
-    return V.written(src.mapInArrow(run, f"_id {kind}, _k binary, _line int, _head boolean, _chars int, _words int, _h long, _h2 long, _s long, _s2 long"), "lines")
+    types = f"_id {kind}, _k binary, _line int, _head boolean, _chars int, _words int, _h long, _h2 long, _s long, _s2 long, _bucket int, _n long"
+    table = V.written(src.mapInArrow(run, types), "lines")
+    return table.where("_bucket IS NULL").drop("_bucket", "_n"), table.where("_bucket IS NOT NULL").select("_bucket", "_n") if words_an_edit else None
 
 
 def _line_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -485,11 +488,11 @@ def _line_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
     return lines.select("_a.*", F.element_at("_lines", F.col("_a._first._line") + 1).alias("_text")).dropDuplicates(["_h", "_h2"])
 
 
-def duplicate_lines(docs: DataFrame, occ: DataFrame, id_col: str, text_col: str, max_edits: int, words_an_edit: int | None = None) -> DataFrame:
+def duplicate_lines(docs: DataFrame, occ: DataFrame, counts: DataFrame | None, id_col: str, text_col: str, max_edits: int, words_an_edit: int | None = None) -> DataFrame:
     """_h, _h2, _first (the first occurrence) and _dup (an earlier line is near) of every different line."""
     first = F.min(F.struct("_id", "_k", "_line")).alias("_first")
     lines = V.written(occ.groupBy("_h", "_h2").agg(first, *(F.first(c).alias(c) for c in ("_words", "_s", "_s2"))), "distinct")
-    pairs, hot = candidates(docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("_text")), lines, max_edits, words_an_edit)
+    pairs, hot = candidates(docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("_text")), lines, counts, max_edits, words_an_edit)
     ends = lambda pairs: pairs.select(F.col("_a").alias("_h")).unionByName(pairs.select(F.col("_b").alias("_h")))
     # Two lines with one _h are told apart by _h2 and are both compared.
     texts = V.written(_line_texts(docs, lines.select("_h", "_h2", "_first").join(ends(pairs).unionByName(hot.select("_h")).distinct(), "_h"), id_col, text_col), "texts")
@@ -528,8 +531,8 @@ def duplicate_lines(docs: DataFrame, occ: DataFrame, id_col: str, text_col: str,
 def _judged(docs: DataFrame, id_col: str, text_col: str, max_edits: int, words_an_edit: int | None) -> DataFrame:
     """_k, _line, _head, _chars, _near and _gone of every line with a word."""
     V.tune(docs.sparkSession)
-    occ = occurrences(docs, id_col, text_col)
-    lines = duplicate_lines(docs, occ, id_col, text_col, max_edits, words_an_edit)
+    occ, counts = occurrences(docs, id_col, text_col, words_an_edit)
+    lines = duplicate_lines(docs, occ, counts, id_col, text_col, max_edits, words_an_edit)
     gone = F.col("_dup") | ~F.struct("_id", "_k", "_line").eqNullSafe(F.col("_first"))
     return occ.join(lines, ["_h", "_h2"]).select("_k", "_line", "_head", "_chars", F.col("_dup").alias("_near"), gone.alias("_gone"))
 
