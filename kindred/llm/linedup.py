@@ -44,6 +44,8 @@ CELL = 8192
 FEW = 4
 #: Edits that a band of diagonals holds, from band to band; a machine word holds no more.
 BANDS = (1, 2, 4, 8, 15, 31)
+#: Symbols of lines that are verified side by side.
+TOGETHER = 1 << 17
 
 _U = np.uint64
 _MAX = _U(2**64 - 1)
@@ -87,49 +89,61 @@ def join_keys(rolling: V.Rolling, start: np.ndarray, length: np.ndarray, max_edi
     return index, np.stack(probes, 1)
 
 
+def equal_bits(points: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray, most: int) -> np.ndarray:
+    """For each place of points[b:b+n], pair after pair, a word whose bits say which of the 2 * most + 1 places around it in points[a:a+m] have an equal symbol."""
+    place = V.ragged(np.zeros(len(n), np.int64), n)
+    symbol = points[np.repeat(b, n) + place]
+    left = np.repeat(m, n) - place  # symbols of the other line from this place on
+    at = np.repeat(a, n) + place
+    out = np.zeros(len(place), _U)
+    for k in range(2 * most + 1):
+        g = k - most
+        inside = (place >= -g) & (left > g)
+        equal = points[np.where(inside, at + g, 0)] == symbol
+        out |= (equal & inside).astype(_U) << _U(k)
+    return out
+
+
 def within(points: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray, most: int, limit: np.ndarray | None = None) -> np.ndarray:
-    """Whether points[a:a+m] and points[b:b+n] are within `limit` (or `most`) edits: bit-parallel in a band of diagonals that holds `most` edits, all pairs at once."""
+    """Whether points[a:a+m] and points[b:b+n] are within `limit` (or `most`) edits: bit-parallel in a band of diagonals that holds `most` edits, pairs side by side."""
     out = np.zeros(len(a), bool)
     close = np.flatnonzero(np.abs(m - n) <= most)
-    # The longest first, so that the pairs still running are a prefix.
+    # The longest first, so that the pairs still running are a prefix, and so many together that their symbols' bits fit in the cache.
     close = close[np.argsort(-n[close], kind="stable")]
-    a, m, b, n = a[close], m[close], b[close], n[close]
+    cut = np.flatnonzero(np.diff(np.cumsum(n[close]) // TOGETHER)) + 1
+    for part in np.split(close, cut):
+        out[part] = _banded(points, a[part], m[part], b[part], n[part], most) <= (most if limit is None else limit[part])
+    return out
+
+
+def _banded(points: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray, most: int) -> np.ndarray:
+    """Edits between points[a:a+m] and points[b:b+n] where they are `most` at most, and more than `most` otherwise; the longest b comes first."""
     wide = 2 * most + 1
     mask, top = _U((1 << wide) - 1), _U(1 << (wide - 1))
-    up = np.full(len(close), ((1 << (most + 1)) - 1) << most, _U)
-    down = np.zeros(len(close), _U)
+    up = np.full(len(n), ((1 << (most + 1)) - 1) << most, _U)
+    down = np.zeros(len(n), _U)
     # D[most][0] of a line shorter than the band starts from its own last row.
-    distance = np.minimum(np.full(len(close), most, np.int64), m)
+    distance = np.minimum(np.full(len(n), most, np.int64), m)
     longest = int(n.max()) if len(n) else 0
     active = np.searchsorted(-n, -np.arange(1, longest + 1), "right")
-    long = np.searchsorted(-n, -(np.arange(1, longest + 1) + 2 * most), "right")
-    bits = np.zeros((len(close), 8 * -(-wide // 8)), bool)
-    word = np.zeros((len(close), 8), np.uint8)
+    bits, begin = equal_bits(points, a, m, b, n, most), np.cumsum(n) - n
     for j in range(1, longest + 1):
         k = active[j - 1]
-        row = np.arange(j - most, j + most + 1)
-        at = a[:k, None] + (row - 1)
-        # Only near the ends does the band leave the first line.
-        edge = 0 if j <= most else long[j - 1]
-        outside = (row < 1) | (row > m[edge:k, None])
-        at[edge:][outside] = 0
-        np.equal(points[at], points[b[:k] + j - 1][:, None], out=bits[:k, :wide])
-        bits[edge:k, :wide][outside] = False
-        word[:k, : bits.shape[1] // 8] = np.packbits(bits[:k], axis=1, bitorder="little")
-        equal = word[:k].view("<u8")[:, 0]
+        equal = bits[begin[:k] + (j - 1)]
         p, q = up[:k], down[:k]
         d0 = ((((equal & p) + p) ^ p) | equal | q) & mask
         right = (q | ~(d0 | p)) & mask
         left = d0 & p
-        inner = j + most <= m[:k]
-        last = m[:k] - j + most
-        at = _U(1) << np.clip(last, 0, wide - 1).astype(_U)
-        edge = ~inner & (last >= 0)
-        distance[:k] += np.where(inner, (d0 & top) == 0, edge & ((right & at) != 0)).astype(np.int64) - (edge & ((left & at) != 0))
+        last = m[:k] - (j - most)
+        inner = last >= wide - 1
+        distance[:k] += inner & ((d0 & top) == 0)
+        edge = np.flatnonzero(~inner & (last >= 0))
+        if len(edge):
+            at = _U(1) << last[edge].astype(_U)
+            distance[edge] += ((right[edge] & at) != 0).astype(np.int64) - ((left[edge] & at) != 0)
         up[:k] = (left | ~((d0 >> _U(1)) | right)) & mask
         down[:k] = (d0 >> _U(1)) & right
-    out[close] = distance <= (most if limit is None else limit[close])
-    return out
+    return distance
 
 
 def points_of(buf: np.ndarray) -> np.ndarray:
@@ -166,9 +180,8 @@ def near_words(words: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray, n
     least = np.maximum(least, np.abs(m - n))
     open_ = least <= most
     for band in BANDS:
-        mine = np.flatnonzero(open_ & (least <= band))
-        for part in np.array_split(mine, -(-len(mine) // 4096)) if len(mine) else ():
-            out[part] = within(words, a[part], m[part], b[part], n[part], band, most[part])
+        mine = np.flatnonzero(open_ & (least <= band) & (most <= BANDS[-1]))
+        out[mine] = within(words, a[mine], m[mine], b[mine], n[mine], band, most[mine])
         open_[mine] = ~out[mine] & (most[mine] > band)
     for i in np.flatnonzero(open_):
         out[i] = words_within(words[a[i] : a[i] + m[i]].tolist(), words[b[i] : b[i] + n[i]].tolist(), int(most[i]))
