@@ -71,8 +71,8 @@ def pieces(buf: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: int =
     return [row[first], (start - offsets[row])[first], own[first], repeats, *(x[first].view(np.int64) for x in (mark, whole, other))]
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of text in the order of their suffixes, exact to `depth` bytes at least."""
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Positions of text in the order of their suffixes, refined to the end: the common prefixes are only right in a full order, however few bytes of them count."""
     n = len(text)
     padded = np.concatenate([text, np.zeros(8, np.uint8)]).tobytes()
     key = np.ndarray(n, ">u8", padded, strides=(1,)).astype(_U)
@@ -85,7 +85,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     rank[n] = -1
     rank[order] = np.maximum.accumulate(np.where(head[:n], place, 0))
     h = 8
-    while h < depth:
+    while h < n:
         # Groups of more than one suffix; the others have their final place.
         loose = np.flatnonzero(~(head[:n] & head[1:]))
         if not len(loose):
@@ -132,7 +132,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int, stretch: int
 
 def window_classes(text: np.ndarray, width: int) -> np.ndarray:
     """For each position, a number that two positions share where the next `width` bytes are equal."""
-    order = suffix_array(text, width)
+    order = suffix_array(text)
     out = np.empty(len(text), np.int64)
     out[order] = np.cumsum(common_prefixes(text, order, width) < width)
     return out

@@ -1,6 +1,7 @@
 """What single operators got wrong or left open: hashes of like texts, large numbers, repeated rows, hot keys, and the pipeline on odd rows."""
 
 import collections
+import hashlib
 import math
 import random
 
@@ -225,3 +226,58 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
         rows_.write.parquet(str(tmp_path / name / "documents.parquet"))
         out = pipeline.run(spark, str(tmp_path / name))
         assert (out.count() > 0) == (name == "odd")
+
+
+# ---- 10 repeats of more than the width
+
+
+def plain_prefix(a, b, most):
+    n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    return min(n, most)
+
+
+def test_prefixes_of_long_near_copies():
+    rng = random.Random(11)
+    word = lambda: bytes(rng.choice(b"abcdefgh") for _ in range(rng.randrange(2, 7)))
+    for shared in (300, 700, 2000):
+        base = b" ".join(word() for _ in range(shared // 4))
+        copies = [base[: rng.randrange(len(base))] + word() + base[rng.randrange(len(base)) :] for _ in range(4)]
+        text = np.frombuffer(b"|".join([base, *copies, b"ab" * shared]), np.uint8)
+        order, raw = suffix.suffix_array(text), text.tobytes()
+        assert [raw[i:] for i in order] == sorted(raw[i:] for i in order)
+        for most in (60, 200):
+            got = suffix.common_prefixes(text, order, most)
+            assert got.tolist() == [0, *(plain_prefix(raw[i:], raw[j:], most) for i, j in zip(order[:-1].tolist(), order[1:].tolist(), strict=True))]
+
+
+@pytest.mark.parametrize("width", [60, 200])
+def test_repeats_of_long_near_copies(spark, width):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7)))
+    rows = []
+    for size in (300, 600, 1200, 2000):
+        base = [word() for _ in range(size // 4)]
+        for _ in range(5):
+            copy = list(base)
+            for _ in range(rng.randrange(1, 6)):
+                copy[rng.randrange(len(copy))] = word()
+            at = rng.randrange(len(copy))
+            rows.append((len(rows), " ".join(copy[at:] + copy[:at]), "en", "s", 0))
+    got = suffix.remove_repeats(documents(spark, rows), width=width).collect()
+    assert sorted((str(r["doc_id"]), *r[1:]) for r in got) == plain_repeats(rows, width)
+
+
+def test_repeats_of_a_whole_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    raw = {r["doc_id"]: (r["text"] or "").encode() for r in table.collect()}
+    seen = collections.Counter(hash(b[i : i + 200]) for b in raw.values() for i in range(len(b) - 199))
+    want = {}
+    for doc, b in raw.items():
+        gone = np.zeros(len(b) + 1, int)
+        for i in range(len(b) - 199):
+            if seen[hash(b[i : i + 200])] > 1:
+                gone[i] += 1
+                gone[i + 200] -= 1
+        flags = np.cumsum(gone[:-1]) > 0
+        want[doc] = (int(flags.sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~flags].tobytes()).hexdigest())
+    assert {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in suffix.remove_repeats(table).collect()} == want

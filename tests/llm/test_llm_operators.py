@@ -629,7 +629,7 @@ def test_suffix_array_and_prefixes():
     for text in (rng.integers(97, 100, 300), np.full(100, 97), np.tile([97, 98], 80)):
         text = text.astype(np.uint8)
         raw = text.tobytes()
-        order = suffix.suffix_array(text, 512)
+        order = suffix.suffix_array(text)
         assert order.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
         shared = suffix.common_prefixes(text, order, 64, stretch=16)
         for k in range(1, len(raw)):
