@@ -160,10 +160,10 @@ def rows_of(offsets: np.ndarray, positions: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Spans of the words `[^\\x20\\x09-\\x0D]+` of a buffer; a word never crosses a row's end."""
+    """Spans of the words of a buffer, maximal runs of bytes that part nothing (`[^\\x20\\x09-\\x0D]+` unless told otherwise); a word never crosses a row's end."""
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray):
-        inside = ~IS_SPACE[buf]
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, parts: np.ndarray = IS_SPACE):
+        inside = ~parts[buf]
         first = np.zeros(len(buf) + 1, bool)
         first[offsets] = True
         last = first[1:].copy()
