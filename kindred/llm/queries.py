@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import language, linedup, mixing, neardup, packing, quality, ranked, shards, suffix, tokens, topk
+from kindred.llm import language, linedup, mixing, neardup, packing, quality, ranked, repair, shards, suffix, tokens, topk
 from kindred.session import shared_dir
 
 
@@ -92,7 +92,11 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_packing, op4_line_dedup, op5_exact_top_k, op6_quality_rules, op7_sharding, op8_source_mixing, op9_minhash_near_dedup, op10_suffix_array_dedup, op11_ranked_search)}
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_packing, op4_line_dedup, op5_exact_top_k, op6_quality_rules, op7_sharding, op8_source_mixing, op9_minhash_near_dedup, op10_suffix_array_dedup, op11_ranked_search, op12_conversation_repair)}
 
 
 def _quality_sql() -> str:
@@ -134,6 +138,7 @@ ORACLE_SQL: dict[str, str] = {
               FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op12_conversation_repair": repair.sql(),
     "op11_ranked_search": rf"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{ranked.TERM}') AS ts FROM documents),
         c AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS n_terms FROM d WHERE len(ts) > 0),
