@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import language, linedup, mixing, neardup, packing, quality, ranked, repair, shards, suffix, tokens, topk
+from kindred.llm import language, linedup, mixing, neardup, packing, quality, ranked, repair, setjoin, shards, suffix, tokens, topk
 from kindred.session import shared_dir
 
 
@@ -96,7 +96,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_packing, op4_line_dedup, op5_exact_top_k, op6_quality_rules, op7_sharding, op8_source_mixing, op9_minhash_near_dedup, op10_suffix_array_dedup, op11_ranked_search, op12_conversation_repair)}
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.joined(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_packing, op4_line_dedup, op5_exact_top_k, op6_quality_rules, op7_sharding, op8_source_mixing, op9_minhash_near_dedup, op10_suffix_array_dedup, op11_ranked_search, op12_conversation_repair, op13_ngram_jaccard_join)}
 
 
 def _quality_sql() -> str:
@@ -139,6 +143,16 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op12_conversation_repair": repair.sql(),
+    "op13_ngram_jaccard_join": rf"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT r, CASE WHEN len(w) < {setjoin.SHINGLE} THEN array_to_string(w, ' ') ELSE {" || ' ' || ".join(f"w[i + {k}]" for k in range(setjoin.SHINGLE))} END AS g
+              FROM (SELECT r, w, unnest(range(1, greatest(len(w) - {setjoin.SHINGLE - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+        p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY ALL),
+        l AS (SELECT x, y FROM p JOIN n u ON u.r = x JOIN n v ON v.r = y WHERE 100 * c >= {setjoin.PERCENT} * (u.n + v.n - c)),
+        reach AS (SELECT r AS x, r AS y FROM n UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x),
+        low AS (SELECT x, min(doc_id) AS low FROM reach JOIN d ON d.r = reach.y GROUP BY x)
+        SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, CASE WHEN n IS NULL THEN doc_id ELSE low END AS component_id FROM d LEFT JOIN n USING (r) LEFT JOIN low ON low.x = d.r""",
     "op11_ranked_search": rf"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{ranked.TERM}') AS ts FROM documents),
         c AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS n_terms FROM d WHERE len(ts) > 0),
