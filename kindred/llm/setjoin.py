@@ -33,7 +33,9 @@ from kindred.llm.graph import components
 SHINGLE = 3
 PERCENT = 90
 #: Members and tokens of a group, tokens of the queries that one task opens it for, tokens multiplied together.
-GROUP, GROUP_TOKENS, QUERY_TOKENS, TOGETHER = 64, 1 << 20, 1 << 21, 4096
+GROUP, GROUP_TOKENS, QUERY_TOKENS, TOGETHER = 512, 1 << 20, 1 << 20, 4096
+#: Queries whose intersections with a group are counted together.
+QUERIES = 512
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -157,14 +159,17 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), lengths)
 
 
-def shared_counts(left: tuple, right: tuple, n_left: int, n_right: int, union: np.ndarray) -> np.ndarray:
-    """Size of the intersection of every left set with every right one, both as (places in the union, rows)."""
-    out = np.zeros((n_left, n_right), np.float32)
+def shared_counts(left: tuple, right: tuple, n_left: int, n_right: int) -> np.ndarray:
+    """Size of the intersection of every left set with every right one, both as (places in the union, rows). Only places that both sides have are multiplied."""
+    places = np.intersect1d(left[0], right[0])
     sides = []
     for at, row in (left, right):
-        order = np.argsort(at, kind="stable")
-        sides.append((at[order], row[order]))
-    for low in range(0, len(union), TOGETHER):
+        column = np.searchsorted(places, at)
+        some = places[np.minimum(column, len(places) - 1)] == at if len(places) else np.zeros(len(at), bool)
+        order = np.argsort(column[some], kind="stable")
+        sides.append((column[some][order], row[some][order]))
+    out = np.zeros((n_left, n_right), np.float32)
+    for low in range(0, len(places), TOGETHER):
         blocks = []
         for (at, row), n in zip(sides, (n_left, n_right), strict=True):
             a, b = np.searchsorted(at, [low, low + TOGETHER])
@@ -182,7 +187,10 @@ def linked(shared: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int
 def inside_links(union: np.ndarray, at: np.ndarray, row: np.ndarray, n: np.ndarray, percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Links that join a group's members as far as they go, and each member's component."""
     k = len(n)
-    near = linked(shared_counts((at, row), (at, row), k, k, union), n, n, percent)
+    # A token of one member only counts for nothing but its size.
+    often = np.bincount(at, minlength=len(union))[at] > 1
+    mine = at[often], row[often]
+    near = linked(shared_counts(mine, mine, k, k), n, n, percent)
     root, out = np.full(k, -1), []
     for i in range(k):
         if root[i] < 0:
@@ -211,15 +219,17 @@ def opened(member_tokens, n: np.ndarray, root: np.ndarray | None, query_tokens,
     open_ = np.flatnonzero(100 * overlap >= percent * np.maximum(m, n.min(initial=1 << 62)))
     if not len(open_):
         return inner, []
-    number = np.full(len(m), -1)
-    number[open_] = np.arange(len(open_))
-    some = number[who] >= 0
-    near = linked(shared_counts((place[some], number[who[some]]), (at, row), len(open_), len(n), union), m[open_], n, percent)
     outer = []
-    for i, q in enumerate(open_.tolist()):
-        hits = np.flatnonzero(near[i] & (found != query_root[q])) if query_root is not None else np.flatnonzero(near[i])
-        _, first = np.unique(found[hits], return_index=True)
-        outer += [(q, int(j)) for j in hits[first]]
+    for low in range(0, len(open_), QUERIES):
+        asking = open_[low : low + QUERIES]
+        number = np.full(len(m), -1)
+        number[asking] = np.arange(len(asking))
+        some = number[who] >= 0
+        near = linked(shared_counts((place[some], number[who[some]]), (at, row), len(asking), len(n)), m[asking], n, percent)
+        for i, q in enumerate(asking.tolist()):
+            hits = np.flatnonzero(near[i] & (found != query_root[q])) if query_root is not None else np.flatnonzero(near[i])
+            _, first = np.unique(found[hits], return_index=True)
+            outer += [(q, int(j)) for j in hits[first]]
     return inner, outer
 
 
