@@ -1,10 +1,11 @@
 """Attribute similarities. The built-in ones are column expressions; Jaro-Winkler and affine gap have none in Spark, so they are computed
-once for each different pair of values, in Arrow batches, and joined back."""
+once for each different pair of values, for all pairs of an Arrow batch at once, and joined back."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,53 +45,102 @@ def missing(a: Column, b: Column) -> Column:
     return (a.isNull() | b.isNull()).cast("double")
 
 
+def padded(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts, one row each, filled up with -1, and their lengths."""
+    length = np.array([len(t) for t in texts], np.int64)
+    out = np.full((len(texts), int(length.max(initial=0))), -1, np.int32)
+    out[np.arange(out.shape[1]) < length[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.int32)
+    return out, length
+
+
+def in_batches(a: Sequence[str], b: Sequence[str], score: Callable[[list[str], list[str]], np.ndarray], cells: int = 1 << 20) -> np.ndarray:
+    """The scores of the texts in each place, in batches of like lengths whose tables have about `cells` entries."""
+    size = np.array([max(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64)
+    order, out, at = np.argsort(size, kind="stable"), np.empty(len(size)), 0
+    while at < len(order):
+        to = at + 1
+        while to < len(order) and (to - at) * (int(size[order[to]]) + 1) ** 2 < cells:
+            to = min(len(order), to + max(1, (to - at) // 2))
+        mine = order[at:to]
+        out[mine] = score([a[i] for i in mine], [b[i] for i in mine])
+        at = to
+    return out
+
+
+def _jaro_winkler(a: list[str], b: list[str], scale: float) -> np.ndarray:
+    (x, nx), (y, ny) = padded(a), padded(b)
+    n, wide, words = len(a), x.shape[1], max(1, -(-y.shape[1] // 64))
+    place = np.arange(y.shape[1])
+    # Where each character of a stands in b, and how far it may look, as bits of 64-bit words.
+    reach = np.maximum(np.maximum(nx, ny) // 2 - 1, 0)
+    bits = np.zeros((n, wide, words * 64), bool)
+    bits[:, :, : len(place)] = (x[:, :, None] == y[:, None, :]) & (x[:, :, None] >= 0) & (np.abs(np.arange(wide)[:, None] - place)[None] <= reach[:, None, None])
+    seen = np.packbits(bits.reshape(n, wide, words, 64), axis=3, bitorder="little").view(np.uint64).reshape(n, wide, words)
+    used, hit = np.zeros((n, words), np.uint64), np.zeros((n, wide), bool)
+    for i in range(wide):
+        for w in range(words):
+            free = np.where(hit[:, i], np.uint64(0), seen[:, i, w] & ~used[:, w])
+            used[:, w] |= free & (~free + np.uint64(1))
+            hit[:, i] |= free != 0
+    taken = np.unpackbits(used.view(np.uint8), axis=1, bitorder="little")[:, : len(place)].astype(bool)
+    m = hit.sum(1)
+    most = int(m.max(initial=0))
+    # Matched characters of both sides in their order, side by side.
+    first, second = (np.take_along_axis(v, np.argsort(~f, axis=1, kind="stable")[:, :most], 1) for v, f in ((x, hit), (y, taken)))
+    swapped = ((first != second) & (np.arange(most) < m[:, None])).sum(1) // 2
+    some = np.maximum(m, 1)
+    jaro = np.where(m > 0, (m / np.maximum(nx, 1) + m / np.maximum(ny, 1) + (m - swapped) / some) / 3, 0.0)
+    head = min(4, wide, y.shape[1])
+    same = np.cumprod((x[:, :head] == y[:, :head]) & (x[:, :head] >= 0), axis=1).sum(1) if head else np.zeros(n, int)
+    score = np.where(jaro > 0.7, jaro + same * scale * (1 - jaro), jaro)
+    return np.where([p == q for p, q in zip(a, b, strict=True)], (nx > 0).astype(float), score)
+
+
+def jaro_winkler_all(a: Sequence[str], b: Sequence[str], scale: float = 0.1) -> np.ndarray:
+    """Jaro-Winkler of all pairs of a batch: matches within half the longer text's length, half the transpositions, and a bonus for up to four equal first characters.
+
+    Each character of every a takes the first free one of its window in b, found in all pairs at once as the lowest bit of a mask."""
+    return in_batches(a, b, lambda x, y: _jaro_winkler(x, y, scale))
+
+
 def jaro_winkler(a: str, b: str, scale: float = 0.1) -> float:
-    """Matches within half the longer text's length, half the transpositions, and a bonus for up to four equal first characters."""
-    if not a or not b:
-        return 0.0
-    if a == b:
-        return 1.0
-    reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    free, matched = [True] * len(b), []
-    for i, x in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if free[j] and b[j] == x:
-                free[j] = False
-                matched.append(x)
-                break
-    m = len(matched)
-    if not m:
-        return 0.0
-    swapped = sum(x != y for x, y in zip(matched, (y for j, y in enumerate(b) if not free[j]), strict=True)) // 2
-    score = (m / len(a) + m / len(b) + (m - swapped) / m) / 3
-    same = 0
-    for x, y in zip(a[:4], b[:4], strict=False):
-        if x != y:
-            break
-        same += 1
-    return score + same * scale * (1 - score) if score > 0.7 else score
-
-
-def affine_gap(a: str, b: str, mismatch: float = 11.0, gap: float = 10.0, space: float = 7.0, match: float = 1.0) -> float:
-    """Least cost of aligning two texts, where a run of gaps costs `gap` to open and `space` for each further character, over the sum of their lengths."""
-    if not a or not b:
-        return 1.0
-    if len(a) < len(b):
-        a, b = b, a
-    far = float("inf")
-    best = [0.0] + [gap + space * j for j in range(len(b))]
-    down = [far] * (len(b) + 1)
-    for i, x in enumerate(a):
-        above, best_now, right = best, [gap + space * i], far
-        for j, y in enumerate(b, 1):
-            down[j] = min(down[j] + space, above[j] + gap)
-            right = min(right + space, best_now[j - 1] + gap)
-            best_now.append(min(above[j - 1] + (match if x == y else mismatch), down[j], right))
-        best = best_now
-    return best[-1] / (len(a) + len(b))
-
-
-def by_dictionary(pairs: DataFrame, a: str, b: str, out: str, score: Callable[[str, str], float], symmetric: bool = True, values: DataFrame | None = None) -> DataFrame:
+    return float(jaro_winkler_all([a], [b], scale)[0])
+
+
+def _affine_gap(a: list[str], b: list[str], mismatch: float, gap: float, space: float, match: float) -> np.ndarray:
+    (x, nx), (y, ny) = padded(a), padded(b)
+    n, wide = len(a), y.shape[1]
+    step = space * np.arange(wide + 1)
+    best = np.broadcast_to(np.concatenate([[0.0], gap + step[:-1]]), (n, wide + 1)).copy()
+    down, out = np.full((n, wide + 1), np.inf), np.zeros(n)
+    for i in range(x.shape[1]):
+        down = np.minimum(down + space, best + gap)
+        now = down.copy()
+        np.minimum(now[:, 1:], best[:, :-1] + np.where(x[:, i, None] == y, match, mismatch), out=now[:, 1:])
+        now[:, 0] = gap + space * i
+        # A gap to the right that opens at k costs gap + space * (j - 1 - k): the least over all k is a running minimum.
+        right = np.minimum.accumulate(now - step, axis=1)[:, :-1] + gap + step[:-1]
+        np.minimum(now[:, 1:], right, out=now[:, 1:])
+        best = now
+        done = nx == i + 1
+        out[done] = best[done, ny[done]]
+    return np.where((nx > 0) & (ny > 0), out / np.maximum(nx + ny, 1), 1.0)
+
+
+def affine_gap_all(a: Sequence[str], b: Sequence[str], mismatch: float = 11.0, gap: float = 10.0, space: float = 7.0, match: float = 1.0) -> np.ndarray:
+    """Least cost of aligning two texts, where a run of gaps costs `gap` (no less than `space`) to open and `space` for each further character, over the sum of their lengths; 1 if one is empty.
+
+    Of all pairs of a batch at once, a row of the three tables (pairs, gaps down, gaps right) at a time."""
+    if gap < space:
+        raise ValueError("a gap that is dearer to go on than to open isn't one")
+    return in_batches(a, b, lambda x, y: _affine_gap(x, y, mismatch, gap, space, match))
+
+
+def affine_gap(a: str, b: str) -> float:
+    return float(affine_gap_all([a], [b])[0])
+
+
+def by_dictionary(pairs: DataFrame, a: str, b: str, out: str, score: Callable[[Sequence[str], Sequence[str]], np.ndarray], symmetric: bool = True, values: DataFrame | None = None) -> DataFrame:
     """`pairs` with the column `out`: the score of the texts in columns a and b, computed once for each different pair of them.
 
     `values` (x, y) may name the pairs of values that can occur, where they come cheaper than from the pairs themselves, which are then read once only.
@@ -101,7 +151,7 @@ def by_dictionary(pairs: DataFrame, a: str, b: str, out: str, score: Callable[[s
 
     @F.pandas_udf("double")
     def scored(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([score(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
+        return pd.Series(score(x.tolist(), y.tolist()), dtype="float64")
 
     keyed = pairs.withColumn("_da", low).withColumn("_db", high)
     if values is None:
@@ -110,5 +160,6 @@ def by_dictionary(pairs: DataFrame, a: str, b: str, out: str, score: Callable[[s
         occurring = values.select((F.least("x", "y") if symmetric else F.col("x")).alias("_da"), (F.greatest("x", "y") if symmetric else F.col("y")).alias("_db"))
     found = occurring.where("_da <> _db").distinct().select(F.col("_da").alias("_ka"), F.col("_db").alias("_kb"), scored("_da", "_db").alias(out))
     joined = keyed.join(found, (F.col("_da") == F.col("_ka")) & (F.col("_db") == F.col("_kb")), "left")
-    same = F.when(F.col("_da") == F.col("_db"), F.when(F.col("_da") != "", F.lit(score("a", "a"))).otherwise(F.lit(score("", ""))))
-    return joined.withColumn(out, F.coalesce(F.col(out), same, F.lit(score("", "")))).drop("_da", "_db", "_ka", "_kb")
+    alike, none = (F.lit(float(score([t], [t])[0])) for t in ("a", ""))
+    same = F.when(F.col("_da") == F.col("_db"), F.when(F.col("_da") != "", alike).otherwise(none))
+    return joined.withColumn(out, F.coalesce(F.col(out), same, none)).drop("_da", "_db", "_ka", "_kb")

@@ -1,15 +1,21 @@
-"""Blocking and candidate pairs. Blocks stay in long form, one row a member, so a large block is many rows and not one large value."""
+"""Blocking and candidate pairs. Blocks stay in long form, one row a member, so a large block is many rows and not one large value.
+
+The pairs of a block are dealt out in tiles. A block of more than TILE_ROWS rows is cut into slices; slices a <= b make tile b (b + 1) / 2 + a of a triangle, and a row goes to the tiles of its slice. A tile has at most TILE_ROWS
+squared pairs and is one key of the join, so the pairs of one block, whatever its size, are spread evenly over all tasks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.normalize import block_key
+from kindred.operators.ranking import placed, seeded
 
 B1 = ("make", "year")
 B2 = ("make", "fuel_type", "transmission", "year")
 MIN_BLOCK = 2
+#: Rows of a slice of a block.
+TILE_ROWS = 1024
 
 
 def with_block_keys(df: DataFrame, keys: tuple[str, ...], year: str = "year") -> DataFrame:
@@ -17,8 +23,8 @@ def with_block_keys(df: DataFrame, keys: tuple[str, ...], year: str = "year") ->
     return df.withColumns({f"k_{c}": block_key(F.col(c), c == year, kinds[c]) for c in keys})
 
 
-def block_members(df: DataFrame, keys: tuple[str, ...], partition: tuple[str, ...] = (), order: tuple[str, ...] = ("ord",), at_least: int = MIN_BLOCK, less_than: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of blocks with `at_least` and, if given, `less_than` members: id, the key columns, block_size and pos (from 1, in input order).
+def block_members(df: DataFrame, keys: tuple[str, ...], partition: tuple[str, ...] = (), order: tuple[str, ...] = ("ord",), at_least: int = MIN_BLOCK, less_than: int | None = None, carry: tuple[str, ...] = (), positions: bool = True) -> DataFrame:
+    """Rows of blocks with `at_least` and, if given, `less_than` members: id, the order and key columns, block_size and, unless not wanted, pos (from 1, in input order).
 
     Sizes are counted with partial aggregation and joined back, so that a block over the limit is dropped before its rows meet."""
     names = [*partition, *(f"k_{c}" for c in keys)]
@@ -27,7 +33,7 @@ def block_members(df: DataFrame, keys: tuple[str, ...], partition: tuple[str, ..
     if less_than is not None:
         sizes = sizes.where(F.col("block_size") < less_than)
     inside = keyed.select("id", *order, *names, *carry).join(sizes, names)
-    return inside.withColumn("pos", F.row_number().over(Window.partitionBy(*names).orderBy(*order)))
+    return placed(inside, names, list(order)) if positions else inside
 
 
 def blocks(df: DataFrame, keys: tuple[str, ...], partition: tuple[str, ...] = (), at_least: int = MIN_BLOCK) -> DataFrame:
@@ -47,36 +53,86 @@ def first_blocks(members: DataFrame, keys: tuple[str, ...], n: int, partition: t
     return members.join(distinct, [*partition, *names], "left_semi")
 
 
-def _both(members: DataFrame, names: list[str], carry: tuple[str, ...]) -> DataFrame:
-    left = members.select(*names, F.col("id").alias("id1"), F.col("pos").alias("p1"), *(F.col(c).alias(f"{c}_1") for c in carry))
-    right = members.select(*names, F.col("id").alias("id2"), F.col("pos").alias("p2"), *(F.col(c).alias(f"{c}_2") for c in carry))
-    return left.join(right, names)
+def _tiles(members: DataFrame, names: list[str], slot: Column, carry: tuple[str, ...]) -> DataFrame:
+    """Rows of a block that share a tile, as columns _1 and _2 and their slices; on the diagonal both ways, and each row with itself."""
+    n = F.greatest(F.ceil(F.col("block_size") / TILE_ROWS).cast("int"), F.lit(1))
+    cut = members.select(*names, *carry, n.alias("_slices")).withColumn("_slot", slot.cast("int"))
+    tile = lambda a, b: (b.cast("long") * (b + 1) / 2).cast("long") + a
+    left = cut.withColumn("_b", F.explode(F.sequence("_slot", F.col("_slices") - 1))).withColumn("_tile", tile(F.col("_slot"), F.col("_b")))
+    right = cut.withColumn("_a", F.explode(F.sequence(F.lit(0), "_slot"))).withColumn("_tile", tile(F.col("_a"), F.col("_slot")))
+    side = lambda df, i: df.select(*names, "_tile", F.col("_slot").alias(f"_slot_{i}"), *(F.col(c).alias(f"{c}_{i}") for c in carry))
+    return side(left, 1).join(side(right, 2), [*names, "_tile"])
 
 
-def pairs_by_id(members: DataFrame, keys: tuple[str, ...], partition: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs of a block with id1 < id2 as text; an id never meets itself."""
+def pairs_by_id(members: DataFrame, keys: tuple[str, ...], partition: tuple[str, ...] = (), carry: tuple[str, ...] = (), order: tuple[str, ...] = ("ord",)) -> DataFrame:
+    """Pairs of a block with id1 < id2 as text; an id never meets itself. Slices go by a hash of the row."""
     names = [*partition, *(f"k_{c}" for c in keys)]
-    return _both(members, names, carry).where("id1 < id2").drop("p1", "p2")
+    carried = ("id", *carry)
+    slot = F.pmod(F.xxhash64("id", *order), "_slices")
+    met = _tiles(members, names, slot, tuple(dict.fromkeys((*carried, *order)))).where("id_1 < id_2 OR (_slot_1 <> _slot_2 AND id_1 > id_2)")
+    ahead = F.col("id_1") < F.col("id_2")
+    ordered = lambda c, i, j: F.when(ahead, F.col(f"{c}_{i}")).otherwise(F.col(f"{c}_{j}"))
+    return met.select(*names, *(ordered(c, i, 3 - i).alias(f"{c}{i}" if c == "id" else f"{c}_{i}") for c in carried for i in (1, 2)))
 
 
 def pairs_by_position(members: DataFrame, keys: tuple[str, ...], partition: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs of a block in input order; an id that is there twice meets itself."""
+    """Pairs of a block in input order; an id that is there twice meets itself. Slices go by position."""
     names = [*partition, *(f"k_{c}" for c in keys)]
-    return _both(members, names, carry).where("p1 < p2").drop("p1", "p2")
+    slot = F.floor((F.col("pos") - 1) / TILE_ROWS)
+    met = _tiles(members, names, slot, ("id", "pos", *carry)).where("pos_1 < pos_2")
+    return met.select(*names, F.col("id_1").alias("id1"), F.col("id_2").alias("id2"), *(f"{c}_{i}" for c in carry for i in (1, 2)))
+
+
+def gate_loss(rows: DataFrame, keys: tuple[str, ...], limit: int, partition: tuple[str, ...] = ("split",), entity: str = "vin") -> DataFrame:
+    """For each value of `partition`: blocks, pairs and true pairs, in all and of blocks with `limit` or more rows, which a gate of that size drops.
+
+    By arithmetic on counts, from one pass over the rows (id and `entity` next to the key's columns): a block of n rows has n (n - 1) / 2 pairs less those of an id with itself, and an entity's rows in it as many true ones. No pair is made."""
+    names = [*partition, *(f"k_{c}" for c in keys)]
+    two = lambda c: F.expr(f"{c} * ({c} - 1) DIV 2")
+    ids = with_block_keys(rows, keys).groupBy(*names, entity, "id").agg(F.count("*").alias("_k"))
+    entities = ids.groupBy(*names, entity).agg(F.sum("_k").alias("_m"), F.sum(two("_k")).alias("_same"))
+    blocks_ = entities.groupBy(*names).agg(F.sum("_m").alias("_n"), F.sum("_same").alias("_alike"), F.sum(F.when(F.col(entity).isNotNull(), two("_m") - F.col("_same")).otherwise(0)).alias("_true"))
+    over = F.col("_n") >= limit
+    sums = {"blocks": F.lit(1), "pairs": two("_n") - F.col("_alike"), "true_pairs": F.col("_true")}
+    counted = [f for name, c in sums.items() for f in (F.sum(c).cast("long").alias(name), F.sum(F.when(over, c).otherwise(0)).cast("long").alias(f"dropped_{name}"))]
+    return blocks_.where(F.col("_n") >= MIN_BLOCK).groupBy(*partition).agg(*counted)
 
 
 def value_pairs(members: DataFrame, column: str, keys: tuple[str, ...], partition: tuple[str, ...] = ()) -> DataFrame:
     """Pairs (x, y) of different values of a column that meet in some block: from each block's distinct values, not from its pairs of rows."""
     names = [*partition, *(f"k_{c}" for c in keys)]
-    distinct = members.select(*names, F.col(column).alias("x")).distinct()
-    return distinct.join(distinct.withColumnRenamed("x", "y"), names).where("x < y").select("x", "y").distinct()
+    distinct = members.where(F.col(column).isNotNull()).select(*names, F.col(column).alias("x")).distinct()
+    sized = distinct.join(distinct.groupBy(*names).agg(F.count("*").alias("block_size")), names)
+    met = _tiles(sized, names, F.pmod(F.xxhash64("x"), "_slices"), ("x",)).where("x_1 < x_2 OR (_slot_1 <> _slot_2 AND x_1 > x_2)")
+    return met.select(F.least("x_1", "x_2").alias("x"), F.greatest("x_1", "x_2").alias("y")).distinct()
 
 
 def truth_pairs(members: DataFrame) -> DataFrame:
     """All pairs (a, b) of ids of one entity, each once, in string order."""
-    left = members.select("vin", F.col("pos").alias("i"), F.col("id").alias("x"))
-    right = members.select("vin", F.col("pos").alias("j"), F.col("id").alias("y"))
-    return left.join(right, "vin").where("i < j").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    met = _tiles(members.withColumnRenamed("n", "block_size"), ["vin"], F.floor((F.col("pos") - 1) / TILE_ROWS), ("id", "pos")).where("pos_1 < pos_2")
+    return met.select(F.least("id_1", "id_2").alias("a"), F.greatest("id_1", "id_2").alias("b")).distinct()
+
+
+def pair_total(sizes: DataFrame, n: str = "block_size") -> int:
+    """How many pairs groups of these sizes have: one number."""
+    return sizes.agg(F.coalesce(F.sum(F.expr(f"CAST({n} AS BIGINT) * ({n} - 1) DIV 2")), F.lit(0)).alias("p")).first()["p"]
+
+
+def sampled_pairs(members: DataFrame, names: list[str], wanted: int, total: int, seed: int, order: tuple[str, ...], carry: tuple[str, ...], n: str = "block_size") -> DataFrame:
+    """About `wanted` of the `total` pairs of groups, picked by hash, each with the same chance; all of them, if there are no more. Linear in the rows and in `wanted`.
+
+    A row at position p has p - 1 pairs with the rows before it, and so (p - 1) * wanted / total draws, rounded up or down by its own hash; each draw picks a partner's position by hash. Pairs drawn twice are one."""
+    if total <= wanted:
+        met = _tiles(members.withColumn("block_size", F.col(n)), names, F.floor((F.col("pos") - 1) / TILE_ROWS), ("id", "pos", *carry)).where("pos_1 < pos_2")
+    else:
+        key = lambda *more: F.conv(F.substring(seeded(seed, *(F.col(c) for c in order), *more), 1, 8), 16, 10).cast("long")
+        draws = F.floor((F.col("pos") - 1) * F.lit(wanted / total) + key() / F.lit(4294967296.0))
+        drawn = members.select(*names, "id", "pos", *order, *carry, draws.cast("int").alias("_draws")).where("pos > 1 AND _draws > 0").withColumn("_draw", F.explode(F.sequence(F.lit(1), "_draws")))
+        drawn = drawn.withColumn("_at", key(F.col("_draw")) % (F.col("pos") - 1) + 1).drop("_draw", "_draws").dropDuplicates([*names, "pos", "_at"])
+        side = lambda df, i: df.select(*names, *(F.col(c).alias(f"{c}_{i}") for c in ("id", "pos", *carry)), *(["_at"] if i == 2 else []))
+        left = side(members, 1)
+        met = side(drawn, 2).join(left.withColumnRenamed("pos_1", "_at"), [*names, "_at"])
+    return met.select(F.col("id_1").alias("id1"), F.col("id_2").alias("id2"), *(f"{c}_{i}" for c in carry for i in (1, 2)))
 
 
 def with_records(pairs: DataFrame, records: DataFrame, columns: tuple[str, ...], how: str = "inner") -> DataFrame:
@@ -94,11 +150,15 @@ def with_truth(pairs: DataFrame, id_to_key: DataFrame, out: str = "truth") -> Da
     return joined.withColumn(out, F.coalesce(F.col("_v1") == F.col("_v2"), F.lit(False)).cast("int")).drop("_v1", "_v2")
 
 
-def is_truth_pair(pairs: DataFrame, truth: DataFrame, out: str = "label") -> DataFrame:
-    """1 where the pair, in string order, is among truth (a, b)."""
-    marked = truth.select(F.col("a").alias("_ta"), F.col("b").alias("_tb"), F.lit(1).alias("_t"))
-    same = (F.least("id1", "id2") == F.col("_ta")) & (F.greatest("id1", "id2") == F.col("_tb"))
-    return pairs.join(marked, same, "left").withColumn(out, F.coalesce("_t", F.lit(0))).drop("_ta", "_tb", "_t")
+def entities_of(members: DataFrame) -> DataFrame:
+    """(id, vins, twice) of members (vin, id): the entities of each id, and whether it is there twice in one of them."""
+    each = members.groupBy("id", "vin").agg(F.count("*").alias("_k"))
+    return each.groupBy("id").agg(F.sort_array(F.collect_set("vin")).alias("vins"), (F.max("_k") > 1).alias("twice"))
+
+
+def same_entity(id1: Column, id2: Column, vins1: Column, vins2: Column, twice1: Column) -> Column:
+    """1 where both ids are rows of one entity (an id with itself, where it is there twice), else 0."""
+    return F.coalesce(F.when(id1 == id2, twice1).otherwise(F.arrays_overlap(vins1, vins2)), F.lit(False)).cast("int")
 
 
 def completeness(n_candidates: int, n_found: int, n_truth: int, n_rows: int) -> dict[str, float]:

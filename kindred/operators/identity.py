@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions import vin as V
+from kindred.operators.ranking import placed
 from kindred.operators.staging import staged
 
 #: First year of standardised numbers.
@@ -49,12 +50,9 @@ def training_records(df: DataFrame) -> DataFrame:
 
 
 def truth_members(df: DataFrame, key: str = "Vin", id_col: str = "listing_id", order: tuple[str, ...] = ("ord",)) -> DataFrame:
-    """Long form of the truth map: (vin, id, pos) of every key with more than one row; pos counts from 1 in input order and duplicates stay."""
-    from pyspark.sql import Window
-
+    """Long form of the truth map: (vin, id, pos) of every key with more than one row; pos counts from 1 in input order and duplicates stay. A key of very many rows is placed by several tasks."""
     keyed = df.where(F.col(key).isNotNull()).select(F.col(key).alias("vin"), F.col(id_col).cast("string").alias("id"), *order)
-    w = Window.partitionBy("vin")
-    numbered = keyed.withColumn("pos", F.row_number().over(w.orderBy(*order))).withColumn("n", F.count("*").over(w))
+    numbered = placed(keyed, ["vin"], list(order), total="n")
     return numbered.where("n > 1").select("vin", "id", F.col("pos").cast("int").alias("pos"), F.col("n").cast("long").alias("n"))
 
 

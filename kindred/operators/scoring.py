@@ -29,7 +29,7 @@ COMPARED = ("r_make", "r_model", "r_year", "r_price", "r_mileage")
 
 def features(pairs: DataFrame, models: DataFrame | None = None) -> DataFrame:
     """The five features of pairs that carry COMPARED of both sides; `models` may name the pairs (x, y) of models that can occur."""
-    scored = S.by_dictionary(pairs, "r_model_1", "r_model_2", "_jw", S.jaro_winkler, values=models)
+    scored = S.by_dictionary(pairs, "r_model_1", "r_model_2", "_jw", S.jaro_winkler_all, values=models)
     return scored.withColumns(
         {
             "f_make": S.at_least(S.levenshtein_similarity(F.col("r_make_1"), F.col("r_make_2"))), "f_model": S.at_least(F.col("_jw")), "f_year": S.exact(F.col("r_year_1"), F.col("r_year_2")),

@@ -89,12 +89,12 @@ _RULES = f"""rules AS (SELECT * FROM (SELECT id, {_STRIP.format("lower(coalesce(
    {_STRIP.format(f"replace(coalesce({_YEAR}, '0'), '.0', '')")} AS year, price, mileage, row_number() OVER (PARTITION BY id ORDER BY ord, row_key) AS rn FROM cleaned) WHERE rn = 1)"""
 
 
-def _scored(name: str) -> str:
+def _scored(name: str, gate: str = "AND a.size < 200") -> str:
     keys = _STRATEGIES[name]
     linear = lambda c: f"CASE WHEN x.{c} IS NULL OR y.{c} IS NULL THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - abs(x.{c} - y.{c}) / 0.2::DOUBLE) END"
     return f"""keyed_{name} AS (SELECT split, id, {_keys(keys)}, ord, row_key FROM assigned WHERE split <> 'exclude'),
   sized_{name} AS (SELECT *, count(*) OVER (PARTITION BY split, {_names(keys)}) AS size FROM keyed_{name}),
-  pairs_{name} AS (SELECT a.split, a.id AS id1, b.id AS id2 FROM sized_{name} a JOIN sized_{name} b ON {_same(keys, ("split",))} WHERE a.id < b.id AND a.size >= 2 AND a.size < 200),
+  pairs_{name} AS (SELECT a.split, a.id AS id1, b.id AS id2 FROM sized_{name} a JOIN sized_{name} b ON {_same(keys, ("split",))} WHERE a.id < b.id AND a.size >= 2 {gate}),
   feat_{name} AS (SELECT p.*, CASE WHEN greatest(length(x.make), length(y.make)) > 0 AND 1 - levenshtein(x.make, y.make)::DOUBLE / greatest(length(x.make), length(y.make)) >= 0.85::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS f_make,
     CASE WHEN x.model <> '' AND y.model <> '' AND jaro_winkler_similarity(x.model, y.model) >= 0.85::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS f_model,
     CASE WHEN x.year = y.year THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS f_year, {linear("price")} AS f_price, {linear("mileage")} AS f_mileage,
@@ -103,14 +103,24 @@ def _scored(name: str) -> str:
   scored_{name} AS (SELECT *, '{name}' AS strategy, (f_make * 2 + f_model * 4 + f_year * 2 + f_price * 1 + f_mileage * 1) / 10 AS score FROM feat_{name})"""
 
 
-_BOTH = f"{_RULES},\n{_scored('B1')},\n{_scored('B2')},\nboth_ AS (SELECT split, strategy, score, truth FROM scored_B1 UNION ALL SELECT split, strategy, score, truth FROM scored_B2)"
+def _both(gate: str = "AND a.size < 200") -> str:
+    return f"{_RULES},\n{_scored('B1', gate)},\n{_scored('B2', gate)},\nboth_ AS (SELECT split, strategy, score, truth FROM scored_B1 UNION ALL SELECT split, strategy, score, truth FROM scored_B2)"
+
+
+_BOTH = _both()
+_CELLS = "cells AS (SELECT * FROM (VALUES ('train'), ('val'), ('test')) s(split) CROSS JOIN (VALUES ('B1'), ('B2')) k(strategy))"
+_LOSS = "lost AS (" + " UNION ALL ".join(f"""SELECT split, '{name}' AS strategy, count(*) AS dropped_blocks, sum(pairs) AS dropped_pairs, sum(truths) AS dropped_true_pairs FROM
+  (SELECT split, sum(m) * (sum(m) - 1) // 2 - sum(same) AS pairs, sum(CASE WHEN vin IS NULL THEN 0 ELSE m * (m - 1) // 2 - same END) AS truths, sum(m) AS n
+    FROM (SELECT split, {", ".join(f"k_{c}" for c in keys)}, vin, sum(k) AS m, sum(k * (k - 1) // 2) AS same
+      FROM (SELECT split, {", ".join(f"{_KEY[c]} AS k_{c}" for c in keys)}, v.vin, a.id, count(*) AS k FROM assigned a LEFT JOIN id2vin v ON v.id = a.id WHERE split <> 'exclude' GROUP BY ALL) GROUP BY ALL)
+    GROUP BY split, {", ".join(f"k_{c}" for c in keys)}) WHERE n >= 200 GROUP BY split""" for name, keys in _STRATEGIES.items()) + ")"
 
 
 def _swept(thresholds: str) -> str:
     return f"""counted AS (SELECT split, strategy, threshold, count(*) AS n, count(*) FILTER (score >= threshold AND truth = 1) AS tp, count(*) FILTER (score >= threshold AND truth = 0) AS fp,
       count(*) FILTER (score < threshold AND truth = 1) AS fn FROM both_ CROSS JOIN (SELECT unnest([{thresholds}]::DOUBLE[]) AS threshold) GROUP BY ALL),
     rated AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM counted),
-    swept AS (SELECT split, strategy, threshold, n AS candidates, round(p, 4) AS precision, round(r, 4) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 4) AS f1 FROM rated)"""
+    swept AS (SELECT split, strategy, threshold, n AS candidates, tp, fp, fn, round(p, 4) AS precision, round(r, 4) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 4) AS f1 FROM rated)"""
 
 
 _SWEEP = _swept("0.70, 0.75, 0.80, 0.85, 0.90")
@@ -119,6 +129,66 @@ _column = lambda c: "raw_vin" if c == "Vin" else c
 _MEDIATED_OUT = ", ".join(f"{_column(c)} AS {c.lower()}" for c in _PROFILED)
 _LAST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord DESC, row_key DESC) AS rn FROM cleaned) WHERE rn = 1"
 
+#: Entities of each id, and whether a pair of ids is one of an entity's.
+_ENTITIES = "entities AS (SELECT id, list_sort(list(vin)) AS vins, max(k) > 1 AS twice FROM (SELECT id, vin, count(*) AS k FROM members GROUP BY ALL) GROUP BY id)"
+_LABEL = "CASE WHEN CASE WHEN id1 = id2 THEN coalesce(x.twice, false) ELSE coalesce(list_has_any(x.vins, y.vins), false) END THEN 1 ELSE 0 END"
+
+
+def _test_rows(keys: tuple[str, ...]) -> str:
+    return f"(SELECT id, {_keys(keys)}, row_number() OVER (PARTITION BY {', '.join(_KEY[c] for c in keys)} ORDER BY ord, row_key) AS pos FROM assigned WHERE split = 'test')"
+
+
+def _drawn(name: str, rows: str, by: str, wanted: int) -> str:
+    """About `wanted` pairs of the rows (by, id, pos, n, ord, row_key) of groups, by hash, or all of them if there are no more."""
+    columns = [c.strip() for c in by.split(",")]
+    same = " AND ".join(f"a.{c} = b.{c}" for c in columns)
+    hashed = lambda *more: f"CAST(concat('0x', substr(md5(concat_ws('|', {', '.join(('42', 'ord', 'row_key', *more))})), 1, 8)) AS BIGINT)"
+    return f"""total_{name} AS (SELECT CAST(coalesce(sum(n * (n - 1) // 2), 0) AS BIGINT) AS total FROM (SELECT DISTINCT {by}, n FROM {rows})),
+      tries_{name} AS (SELECT {by}, id, pos, ord, row_key, unnest(range(1, 1 + CAST(floor((pos - 1) * ({wanted}::DOUBLE / total) + {hashed()} / 4294967296.0::DOUBLE) AS BIGINT))) AS d FROM {rows}, total_{name} WHERE pos > 1 AND total > {wanted}),
+      drawn_{name} AS (SELECT DISTINCT {by}, id, pos, {hashed("d")} % (pos - 1) + 1 AS at FROM tries_{name}),
+      pairs_{name} AS (SELECT a.id AS id1, b.id AS id2 FROM {rows} a JOIN {rows} b ON {same} AND a.pos < b.pos, total_{name} WHERE total <= {wanted}
+        UNION ALL SELECT a.id, b.id FROM drawn_{name} b JOIN {rows} a ON {same} AND a.pos = b.at),
+      marked_{name} AS (SELECT DISTINCT id1, id2, {_LABEL} AS label FROM pairs_{name} LEFT JOIN entities x ON x.id = id1 LEFT JOIN entities y ON y.id = id2)"""
+
+
+def _train_pairs(strategy: str) -> str:
+    keys = _STRATEGIES[strategy]
+    by = _names(keys)
+    return _with("assigned", f"""{_ENTITIES},
+      keyed AS (SELECT id, ord, row_key, {_keys(keys)} FROM assigned WHERE split = 'train'),
+      inside AS (SELECT * FROM (SELECT *, count(*) OVER w AS n, row_number() OVER (w ORDER BY ord, row_key) AS pos FROM keyed WINDOW w AS (PARTITION BY {by})) WHERE n > 1),
+      each_vin AS (SELECT i.* EXCLUDE (n, pos), unnest(vins) AS v FROM inside i JOIN entities USING (id)),
+      owned AS (SELECT * FROM (SELECT *, count(*) OVER w AS n, row_number() OVER (w ORDER BY ord, row_key) AS pos FROM each_vin WINDOW w AS (PARTITION BY {by}, v)) WHERE n > 1),
+      {_drawn("different", "inside", by, 30000)},
+      {_drawn("alike", "owned", by + ", v", 10000)},
+      both_labels AS (SELECT * FROM marked_different WHERE label = 0 UNION ALL SELECT * FROM marked_alike WHERE label = 1)""") + """SELECT id1, id2, label FROM
+      (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', '42', id1, id2)), id1, id2) AS rn FROM both_labels) WHERE rn <= CASE label WHEN 1 THEN 5000 ELSE 15000 END"""
+
+
+_TEST_LINES = _with("texts", f"""keyed AS (SELECT id, ord, row_key, {_keys(_STRATEGIES["B2"])} FROM assigned WHERE split = 'test'),
+  sized AS (SELECT *, row_number() OVER (PARTITION BY {_names(_STRATEGIES["B2"])} ORDER BY ord, row_key) AS pos FROM keyed),
+  pairs AS (SELECT a.id AS id1, b.id AS id2 FROM sized a JOIN sized b ON {_same(_STRATEGIES["B2"])} WHERE a.pos < b.pos),
+  lines AS (SELECT x.text || chr(9) || y.text || chr(9) || CASE WHEN v.vin = w.vin THEN '1' ELSE '0' END AS value FROM pairs p JOIN texts x ON x.id = p.id1 JOIN texts y ON y.id = p.id2
+    LEFT JOIN id2vin v ON v.id = p.id1 LEFT JOIN id2vin w ON w.id = p.id2)""")
+
+
+def _matchers() -> str:
+    """The stand-in matchers' answers by line: label lines and answers are numbered in the order of the lines, answers that can't be read left out."""
+    begins = lambda xs: " OR ".join(f"starts_with(md5(value), '{x}')" for x in xs) or "false"
+    seconds = {"careful": 235, "hasty": 0}
+    answers, rows = "", []
+    for name, flipped, lost in (("careful", ("0",), ("10", "11", "20")), ("hasty", ("0", "1", "2", "3"), ("40",))):
+        answers += f""",
+      p_{name} AS (SELECT row_number() OVER (ORDER BY value) AS line, CASE WHEN {begins(flipped)} THEN 1 - label ELSE label END AS m FROM labelled_lines WHERE NOT ({begins(lost)})),
+      c_{name} AS (SELECT count(*) FILTER (m IS NOT NULL AND label IS NOT NULL) AS n, count(*) FILTER (m IS NULL) AS l, count(*) FILTER (label IS NULL) AS r, count(*) FILTER (m = 1 AND label = 1) AS tp,
+        count(*) FILTER (m = 1 AND label = 0) AS fp, count(*) FILTER (m = 0 AND label = 1) AS fn FROM (SELECT label, m FROM labelled_lines FULL JOIN p_{name} USING (line)))"""
+        speed = f"round(n / {seconds[name]}, 2)" if seconds[name] else "0.0::DOUBLE"
+        measures = {"pairs": "n", "precision": "round(coalesce(tp / nullif(tp + fp, 0), 0), 4)", "recall": "round(coalesce(tp / nullif(tp + fn, 0), 0), 4)", "f1": "round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 4)", "throughput": speed, "labels_left": "l", "predictions_left": "r"}
+        rows.append(f"SELECT '{name}' AS pipeline, " + ", ".join(f"CASE WHEN n > 0 THEN CAST({e} AS VARCHAR) ELSE 'N/A' END AS {k}" for k, e in measures.items()) + f" FROM c_{name}")
+    rows.append("SELECT 'absent' AS pipeline, " + ", ".join(f"'N/A' AS {k}" for k in ("pairs", "precision", "recall", "f1", "throughput", "labels_left", "predictions_left")))
+    return _TEST_LINES.rstrip() + ",\n      labelled_lines AS (SELECT value, CAST(right(value, 1) AS INT) AS label, row_number() OVER (ORDER BY value) AS line FROM lines)" + answers + "\n" + " UNION ALL ".join(rows)
+
+
 SQL = {
     "profile_report": _with("") + "SELECT attr, round(100.0 * nulls / n, 2) AS null_pct, round(100.0 * u / n, 4) AS uniq_pct, u AS n_uniq, coalesce(round(100.0 * nulls / n, 2) > 70, false) AS drop_flag FROM ("
     + " UNION ALL ".join(f"SELECT '{c}' AS attr, count(*) AS n, (count(*) - count({_column(c)}))::DOUBLE AS nulls, count(DISTINCT {_column(c)}) AS u FROM mediated" for c in _PROFILED) + ")",
@@ -145,6 +215,7 @@ SQL = {
     ),
     "candidates_lex": _with("cleaned", f"sized AS (SELECT *, count(*) OVER (PARTITION BY {_names(_STRATEGIES['B2'])}) AS size FROM (SELECT id, {_keys(_STRATEGIES['B2'])} FROM cleaned))")
     + f"SELECT a.id AS id1, b.id AS id2 FROM sized a JOIN sized b ON {_same(_STRATEGIES['B2'])} WHERE a.id < b.id AND a.size >= 2 AND a.size < 200",
+    "candidates_all": _with("cleaned", f"sized AS (SELECT id, {_keys(_STRATEGIES['B2'])} FROM cleaned)") + f"SELECT a.id AS id1, b.id AS id2 FROM sized a JOIN sized b ON {_same(_STRATEGIES['B2'])} WHERE a.id < b.id",
     "candidates_pos": _with("cleaned", f"""keyed AS (SELECT id, ord, row_key, {_keys(_STRATEGIES["B2"])} FROM cleaned),
       sized AS (SELECT *, count(*) OVER w AS size, row_number() OVER (w ORDER BY ord, row_key) AS pos FROM keyed WINDOW w AS (PARTITION BY {_names(_STRATEGIES["B2"])})),
       firsts AS (SELECT {_names(_STRATEGIES["B2"])} FROM sized WHERE size >= 2 GROUP BY ALL ORDER BY ALL LIMIT 200),
@@ -157,33 +228,25 @@ SQL = {
     "sim_features": _with("assigned", f"{_RULES},\n{_scored('B2')}") + "SELECT id1, id2, f_make, f_model, f_year, round(f_price, 6) AS f_price, round(f_mileage, 6) AS f_mileage FROM scored_B2 WHERE split = 'test'",
     "rule_score": _with("assigned", f"{_RULES},\n{_scored('B2')}") + "SELECT id1, id2, round(score, 6) AS score, CAST(score >= 0.85::DOUBLE AS INT) AS pred, truth FROM scored_B2 WHERE split = 'test'",
     "rule_sweep": _with("assigned", f"{_BOTH},\n{_SWEEP}") + "SELECT split, strategy, threshold, precision, recall, f1 FROM swept",
-    "rule_report": _with("assigned", f"{_BOTH},\n{_swept('0.85')}") + "SELECT split, strategy, candidates, precision, recall, f1 FROM swept",
+    "rule_report": _with("assigned", f"{_BOTH},\n{_swept('0.85')},\n{_CELLS},\n{_LOSS}")
+    + "SELECT split, strategy, coalesce(candidates, 0) AS candidates, coalesce(precision, 0) AS precision, coalesce(recall, 0) AS recall, coalesce(f1, 0) AS f1, "
+    + ", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("dropped_blocks", "dropped_pairs", "dropped_true_pairs")) + " FROM cells LEFT JOIN swept USING (split, strategy) LEFT JOIN lost USING (split, strategy)",
+    "rule_report_all": _with("assigned", f"{_both('')},\n{_swept('0.85')},\n{_CELLS}")
+    + "SELECT split, strategy, " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in ("candidates", "tp", "fp", "fn", "precision", "recall", "f1")) + " FROM cells LEFT JOIN swept USING (split, strategy)",
     "best_threshold": _with("assigned", f"{_BOTH},\n{_SWEEP}") + """SELECT experiment, CASE WHEN f1 > 0 THEN threshold ELSE 0.0::DOUBLE END AS threshold, f1 FROM
       (SELECT concat_ws('_', split, strategy) AS experiment, threshold, f1, row_number() OVER (PARTITION BY split, strategy ORDER BY f1 DESC, threshold) AS rn FROM swept) WHERE rn = 1""",
     "serialize_records": _with("texts") + "SELECT id, text FROM texts",
     "serialize_pairs": _with("texts") + "SELECT a.text || chr(9) || b.text || chr(9) || CAST(l.label AS VARCHAR) AS value FROM labelled l JOIN texts a ON a.id = l.id1 JOIN texts b ON b.id = l.id2 WHERE l.split = 'train'",
-    "serialize_test_pairs": _with("texts", f"""keyed AS (SELECT id, ord, row_key, {_keys(_STRATEGIES["B2"])} FROM assigned WHERE split = 'test'),
-      sized AS (SELECT *, row_number() OVER (PARTITION BY {_names(_STRATEGIES["B2"])} ORDER BY ord, row_key) AS pos FROM keyed),
-      pairs AS (SELECT a.id AS id1, b.id AS id2 FROM sized a JOIN sized b ON {_same(_STRATEGIES["B2"])} WHERE a.pos < b.pos)""")
-    + """SELECT x.text || chr(9) || y.text || chr(9) || CASE WHEN v.vin = w.vin THEN '1' ELSE '0' END AS value FROM pairs p JOIN texts x ON x.id = p.id1 JOIN texts y ON y.id = p.id2
-      LEFT JOIN id2vin v ON v.id = p.id1 LEFT JOIN id2vin w ON w.id = p.id2""",
-    "matcher_eval": """WITH l AS (SELECT * FROM (VALUES (1, 1), (2, 0), (3, 1), (4, 0), (5, 1), (6, 0)) t(line, label)), p AS (SELECT * FROM (VALUES (1, 1), (2, 1), (3, 0), (4, 0), (5, 1)) t(line, m)),
-      c AS (SELECT count(*) AS n, count(*) FILTER (m = 1 AND label = 1) AS tp, count(*) FILTER (m = 1 AND label = 0) AS fp, count(*) FILTER (m = 0 AND label = 1) AS fn FROM l JOIN p USING (line))
-      SELECT pipeline, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fn), 4) AS recall, round(2 * tp / (2 * tp + fp + fn), 4) AS f1,
-      CASE WHEN seconds > 0 THEN round(n / seconds, 2) ELSE 0.0::DOUBLE END AS throughput FROM c CROSS JOIN (VALUES ('B1', 235), ('B2', 0)) t(pipeline, seconds)""",
+    "serialize_test_pairs": _TEST_LINES + "SELECT value FROM lines",
+    "matcher_eval": _matchers(),
     "log_price_features": _with("labelled", f"last_ AS ({_LAST})") + "SELECT l.id1, l.id2, l.label, " + ", ".join(
         f"CASE WHEN a.{c} > 0 AND b.{c} > 0 THEN round(abs(log10(a.{c}) - log10(b.{c})), 6) END AS g_{c}" for c in ("price", "mileage", "year")
     ) + ", " + ", ".join(f"CASE WHEN a.{c} IS NULL OR b.{c} IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS m_{c}" for c in ("price", "mileage"))
     + " FROM labelled l JOIN last_ a ON a.id = l.id1 JOIN last_ b ON b.id = l.id2 WHERE l.split = 'train'",
-    "jaro_winkler_names": "WITH n AS (SELECT DISTINCT p_name AS a FROM part) SELECT x.a, y.a AS b, round(jaro_winkler_similarity(x.a, y.a), 6) AS s FROM n x JOIN n y ON x.a < y.a",
-    "train_pairs_sampled": _with("assigned", f"""keyed AS (SELECT id, ord, row_key, {_keys(_STRATEGIES["B2"])} FROM assigned WHERE split = 'train'),
-      sized AS (SELECT *, count(*) OVER w AS size, row_number() OVER (w ORDER BY ord, row_key) AS pos FROM keyed WINDOW w AS (PARTITION BY {_names(_STRATEGIES["B2"])})),
-      firsts AS (SELECT {_names(_STRATEGIES["B2"])} FROM sized WHERE size >= 2 GROUP BY ALL ORDER BY ALL LIMIT 200),
-      kept AS (SELECT * FROM sized SEMI JOIN firsts USING ({_names(_STRATEGIES["B2"])}) WHERE size >= 2 AND size < 301),
-      known AS (SELECT DISTINCT id FROM (SELECT id FROM cleaned ORDER BY ord, row_key LIMIT 25000)), truth AS ({_STEPS["truth"]}),
-      pairs AS (SELECT a.id AS id1, b.id AS id2 FROM kept a JOIN kept b ON {_same(_STRATEGIES["B2"])} WHERE a.pos < b.pos),
-      marked AS (SELECT id1, id2, CASE WHEN t.a IS NULL THEN 0 ELSE 1 END AS label FROM pairs p SEMI JOIN known k ON p.id1 = k.id SEMI JOIN known j ON p.id2 = j.id
-        LEFT JOIN truth t ON t.a = least(id1, id2) AND t.b = greatest(id1, id2))""")
-    + """SELECT id1, id2, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', '42', id1, id2)), id1, id2) AS rn FROM marked)
-      WHERE rn <= CASE label WHEN 1 THEN 5000 ELSE 15000 END""",
+    "jaro_winkler_names": "WITH n AS (SELECT DISTINCT p_name AS a FROM part) SELECT x.a, y.a AS b, round(jaro_winkler_similarity(x.a, y.a), 6) AS s FROM n x JOIN n y ON x.a < y.a WHERE jaro_winkler_similarity(x.a, y.a) >= 0.85::DOUBLE - 1e-9::DOUBLE",
+    "train_pairs_sampled": _train_pairs("B2"),
+    "train_pairs_b1": _train_pairs("B1"),
+    "supervised_pairs": _with("assigned", f"{_ENTITIES},\n" + ",\n".join(f"""pairs_{name} AS (SELECT a.id AS id1, b.id AS id2 FROM {_test_rows(keys)} a JOIN {_test_rows(keys)} b ON {_same(keys)} WHERE a.pos < b.pos),
+      marked_{name} AS (SELECT {_LABEL} AS label FROM pairs_{name} LEFT JOIN entities x ON x.id = id1 LEFT JOIN entities y ON y.id = id2)""" for name, keys in _STRATEGIES.items()))
+    + " UNION ALL ".join(f"SELECT '{name}' AS strategy, count(*) AS test_pairs, CAST(coalesce(sum(label), 0) AS BIGINT) AS true_pairs FROM marked_{name}" for name in _STRATEGIES),
 }

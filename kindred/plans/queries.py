@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.functions import normalize as N
 from kindred.functions import similarity as S
 from kindred.functions import vin as V
-from kindred.operators import blocking, evaluate, identity, learn, mediate, profile, scoring, serialize, split
+from kindred.operators import blocking, evaluate, identity, learn, mediate, profile, scoring, serialize, similar, split
 from kindred.operators.staging import staged
 from kindred.plans import standin
-from kindred.session import with_package, written
+from kindred.session import shared_dir, with_package, written
 from kindred.sources import files
 
 ORDER = ("ord", "row_key")
@@ -49,7 +51,7 @@ class Steps:
 
     @property
     def members(self) -> DataFrame:
-        return self._once("members", lambda: identity.truth_members(self._made.get("kept", self.cleaned), order=ORDER))
+        return self._once("members", lambda: identity.truth_members(self.kept, order=ORDER))
 
     @property
     def id_to_vin(self) -> DataFrame:
@@ -79,19 +81,24 @@ class Steps:
         labelled = self.labelled
         return self._once("assigned", lambda: written(split.split_assignment(self.training, labelled), "assigned"))
 
-    def scored(self, strategy: str, which: tuple[str, ...] = split.SPLITS) -> DataFrame:
-        """Candidates of a strategy in each split with features, score and truth."""
+    def scored(self, strategy: str, which: tuple[str, ...] = split.SPLITS, limit: int | None = scoring.BLOCK_LIMIT) -> DataFrame:
+        """Candidates of a strategy in each split with features, score and truth; of blocks with fewer than `limit` rows, or of all blocks."""
         keys = STRATEGIES[strategy]
         rows = self.assigned.where(F.col("split").isin(*which))
         # Sizes are counted on the blocks as built; then an id's first row stands for it. Members carry what pairs are judged by, so pairs are never shuffled.
-        members = blocking.block_members(rows, keys, ("split",), ORDER, less_than=scoring.BLOCK_LIMIT)
+        members = blocking.block_members(rows, keys, ("split",), ORDER, less_than=limit, positions=False)
         first = identity.deduplicated(scoring.rule_records(self.training), "id", ORDER).select("id", *scoring.COMPARED)
         members = written(members.join(first, "id").join(self.id_to_vin, "id", "left"), "members")
-        pairs = blocking.pairs_by_id(members, keys, ("split",), (*scoring.COMPARED, "vin"))
+        pairs = blocking.pairs_by_id(members, keys, ("split",), (*scoring.COMPARED, "vin"), ORDER)
         compared = scoring.features(pairs, blocking.value_pairs(members, "r_model", keys, ("split",)))
         truth = scoring.same_entity(F.col("vin_1"), F.col("vin_2")).alias("truth")
         return compared.select(F.lit(strategy).alias("strategy"), "split", "id1", "id2", *scoring.FEATURES, scoring.weighted().alias("score"), truth)
 
+    def gate_loss(self, strategy: str) -> DataFrame:
+        """What the gate on block sizes drops in each split: blocks, pairs and true pairs, out of all."""
+        rows = self.assigned.where("split <> 'exclude'").join(self.id_to_vin, "id", "left")
+        return blocking.gate_loss(rows, STRATEGIES[strategy], scoring.BLOCK_LIMIT).withColumn("strategy", F.lit(strategy))
+
 
 def profile_report(spark, sf_dir):
     return profile.profile(Steps(spark, sf_dir).mediated, list(mediate.MEDIATED))
@@ -178,9 +185,18 @@ def blocks_by_split(spark, sf_dir):
     return out[0].unionByName(out[1])
 
 
+def _candidates(spark, sf_dir, limit):
+    members = blocking.block_members(Steps(spark, sf_dir).training, blocking.B2, order=ORDER, less_than=limit, positions=False)
+    return blocking.pairs_by_id(members, blocking.B2, order=ORDER).select("id1", "id2")
+
+
 def candidates_lex(spark, sf_dir):
-    members = blocking.block_members(Steps(spark, sf_dir).training, blocking.B2, order=ORDER, less_than=scoring.BLOCK_LIMIT)
-    return blocking.pairs_by_id(members, blocking.B2).select("id1", "id2")
+    return _candidates(spark, sf_dir, scoring.BLOCK_LIMIT)
+
+
+def candidates_all(spark, sf_dir):
+    """The same without a gate: the pairs of large blocks are dealt out in tiles."""
+    return _candidates(spark, sf_dir, None)
 
 
 def candidates_pos(spark, sf_dir):
@@ -229,9 +245,28 @@ def rule_sweep(spark, sf_dir):
     return evaluate.sweep(_both(spark, sf_dir), scoring.SWEEP, ("split", "strategy")).select("split", "strategy", "threshold", "precision", "recall", "f1")
 
 
+def _with_every_group(spark, found: DataFrame, by: tuple[str, ...] = ("split", "strategy")) -> DataFrame:
+    """found with a row for each split and strategy, of zeros where it has none."""
+    cells = spark.createDataFrame([(s, k) for s in split.SPLITS for k in STRATEGIES], "split string, strategy string")
+    return cells.join(found, list(by), "left").na.fill(0)
+
+
 def rule_report(spark, sf_dir):
-    out = evaluate.sweep(_both(spark, sf_dir), (scoring.THRESHOLD,), ("split", "strategy"))
-    return out.select("split", "strategy", F.col("n").alias("candidates"), "precision", "recall", "f1").orderBy("split", "strategy")
+    """Each split and strategy: what the gated candidates give, and what the gate has dropped."""
+    steps = Steps(spark, sf_dir)
+    out = evaluate.sweep(steps.scored("B1").unionByName(steps.scored("B2")), (scoring.THRESHOLD,), ("split", "strategy"))
+    lost = steps.gate_loss("B1").unionByName(steps.gate_loss("B2"))
+    rows = _with_every_group(spark, out.select("split", "strategy", F.col("n").alias("candidates"), "precision", "recall", "f1"))
+    lost = _with_every_group(spark, lost.select("split", "strategy", "dropped_blocks", "dropped_pairs", "dropped_true_pairs"))
+    return rows.join(lost, ["split", "strategy"]).orderBy("split", "strategy")
+
+
+def rule_report_all(spark, sf_dir):
+    """The report over the pairs of all blocks, large ones too."""
+    steps = Steps(spark, sf_dir)
+    both = steps.scored("B1", limit=None).unionByName(steps.scored("B2", limit=None))
+    out = evaluate.sweep(both, (scoring.THRESHOLD,), ("split", "strategy"))
+    return _with_every_group(spark, out.select("split", "strategy", F.col("n").alias("candidates"), "tp", "fp", "fn", "precision", "recall", "f1")).orderBy("split", "strategy")
 
 
 def best_threshold(spark, sf_dir):
@@ -253,28 +288,34 @@ def serialize_pairs(spark, sf_dir):
 
 
 def serialize_test_pairs(spark, sf_dir):
-    """All block pairs of the test split, without a limit on block sizes."""
+    """All block pairs of the test split, without a limit on block sizes. Members carry their text and entity, so that a pair is made once and never shuffled."""
     steps = Steps(spark, sf_dir)
     members = blocking.block_members(steps.assigned.where("split = 'test'"), blocking.B2, order=ORDER)
-    pairs = blocking.with_truth(blocking.pairs_by_position(members, blocking.B2).select("id1", "id2"), steps.id_to_vin, "label")
-    return serialize.pair_lines(pairs, serialize.serialized(steps.training, order=ORDER))
+    texts = serialize.serialized(steps.training, order=ORDER)
+    inside = written(members.join(texts, "id").join(steps.id_to_vin, "id", "left"), "texts")
+    pairs = blocking.pairs_by_position(inside, blocking.B2, carry=("text", "vin"))
+    return serialize.lines(pairs.withColumn("label", scoring.same_entity(F.col("vin_1"), F.col("vin_2"))))
 
 
-#: Lines of an external matcher's input and output, with what may go wrong in them.
-MATCHER_LABELS = ["a\tb\t1", "a\tc\t0", "short line", "b\tc\t1", "d\te\t0", "f\tg\t1", "h\ti\t0"]
-MATCHER_OUTPUT = ['{"match": 1}', "not json", '{"match": 1}', '{"other": 1}', '{"match": 0}', '{"match": 0, "p": 0.2}', '{"match": 1}']
+#: Stand-ins for external matchers, by the hex digits that start the line's md5: answers of the first ones are flipped, those of the second ones are no JSON, those of the third ones have no answer.
+MATCHERS = {"careful": (("0",), ("10", "11"), ("20",)), "hasty": (("0", "1", "2", "3"), ("40",), ())}
+MATCHER_TIMES = {"careful": ("24m", "3m 55s"), "hasty": ("25m", "soon"), "absent": ("1m", "0m 1s")}
 
 
 def matcher_eval(spark, sf_dir):
-    lines = lambda texts: spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n long, value string")
-    from pyspark.sql import Window
-
-    number = F.row_number().over(Window.orderBy("n"))  # a handful of lines made here
-    labels = files.parse_labels(lines(MATCHER_LABELS)).withColumn("line", number).select("line", "label")
-    found = files.parse_predictions(lines(MATCHER_OUTPUT)).withColumn("line", number).select("line", "match")
-    one = serialize.matcher_metrics(labels, found, "B1", "24m", "3m 55s")
-    two = serialize.matcher_metrics(labels, found, "B2", "25m", "24m")
-    return one.unionByName(two).select("pipeline", "precision", "recall", "f1", "throughput")
+    """Label and prediction files made from the test pairs, in the order of their lines, and read back by the number of their lines; one matcher has left no file."""
+    folder = f"{shared_dir(spark).rstrip('/')}/matchers-{uuid.uuid4().hex}"
+    lines = serialize_test_pairs(spark, sf_dir).repartitionByRange("value").sortWithinPartitions("value")
+    files.write_lines(lines, f"{folder}/labels")
+    mark, label = F.md5("value"), F.substring_index("value", "\t", -1).cast("int")
+    given = lambda starts: F.coalesce(*(F.when(mark.startswith(x), True) for x in starts), F.lit(False)) if starts else F.lit(False)
+    answered = spark.read.text(f"{folder}/labels").repartitionByRange("value").sortWithinPartitions("value")
+    for name, (flipped, broken, silent) in MATCHERS.items():
+        match = F.format_string('{"match": %d, "p": 0.5}', F.when(given(flipped), 1 - label).otherwise(label))
+        out = F.when(given(broken), "no answer").when(given(silent), '{"p": 0.5}').otherwise(match)
+        files.write_lines(answered.select(out.alias("value")), f"{folder}/{name}")
+    runs = [(name, f"{folder}/labels", f"{folder}/{name}", *times) for name, times in MATCHER_TIMES.items()]
+    return serialize.matcher_report(spark, runs).select("pipeline", "pairs", "precision", "recall", "f1", "throughput", "labels_left", "predictions_left")
 
 
 def log_price_features(spark, sf_dir):
@@ -287,38 +328,51 @@ def log_price_features(spark, sf_dir):
 
 def affine_gap_features(spark, sf_dir):
     steps = Steps(spark, sf_dir)
-    pairs = blocking.with_records(_train_labelled(steps), learn.records(steps.training, None, ORDER), learn.RECORD)
+    pairs = blocking.with_records(_train_labelled(steps), learn.records(steps.training, order=ORDER), learn.RECORD)
     return learn.pair_features(pairs, "P2_minimal").select("id1", "id2", F.round("g_model", 6).alias("g_model"), F.round("g_make", 6).alias("g_make"))
 
 
 def jaro_winkler_names(spark, sf_dir):
-    names = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_name").alias("a")).distinct()
-    # 64 different names: a join of the name list with itself, on a constant
-    pairs = names.withColumn("k", F.lit(1)).join(names.select(F.col("a").alias("b"), F.lit(1).alias("k")), "k").drop("k").where("a < b")
-    return S.by_dictionary(pairs, "a", "b", "s", S.jaro_winkler).select("a", "b", F.round("s", 6).alias("s"))
+    """Pairs of different part names that reach the cut, found by an index on what such pairs must share."""
+    names = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name").distinct()
+    return similar.jaro_winkler_join(names, "p_name", S.CUT).select("a", "b", F.round("s", 6).alias("s"))
 
 
-def train_pairs_sampled(spark, sf_dir):
-    steps = Steps(spark, sf_dir)
-    pairs = learn.candidates(steps.assigned, blocking.B2, "train")
-    labelled = blocking.is_truth_pair(blocking.with_records(pairs, learn.records(steps.training, order=ORDER), learn.RECORD), blocking.truth_pairs(steps.members))
-    return split.capped_sample(labelled.select("id1", "id2", "label"), "label", learn.MOST, ["id1", "id2"])
+def _train_pairs(steps: Steps, typed: DataFrame, entities: DataFrame, strategy: str) -> DataFrame:
+    keys = STRATEGIES[strategy]
+    return learn.train_pairs(learn.members(steps.assigned, typed, entities, keys, "train"), keys)
 
 
-def _experiments(spark, sf_dir) -> DataFrame:
+def _learning(spark, sf_dir) -> tuple[Steps, DataFrame, DataFrame]:
     steps = Steps(spark, sf_dir)
-    rows = steps.assigned
-    typed, truth = written(learn.records(steps.training, order=ORDER), "typed"), written(blocking.truth_pairs(steps.members), "truth")
+    steps.assigned  # noqa: B018  from here on, steps read the written rows
+    return steps, written(learn.records(steps.training, order=ORDER), "typed"), written(blocking.entities_of(steps.members), "entities")
+
+
+def train_pairs_sampled(spark, sf_dir):
+    return _train_pairs(*_learning(spark, sf_dir), "B2").select("id1", "id2", "label")
+
+
+def train_pairs_b1(spark, sf_dir):
+    return _train_pairs(*_learning(spark, sf_dir), "B1").select("id1", "id2", "label")
+
+
+def _experiments(spark, sf_dir, store: str | None = None) -> DataFrame:
+    steps, typed, entities = _learning(spark, sf_dir)
     out = None
-    for pipeline in learn.PIPELINES:
-        for name, keys in STRATEGIES.items():
-            one = learn.experiment(rows, typed, truth, pipeline, name, keys)
+    for name, keys in STRATEGIES.items():
+        train = written(learn.with_folds(_train_pairs(steps, typed, entities, name)), "train")
+        inside = learn.members(steps.assigned, typed, entities, keys, "test")
+        for pipeline in learn.PIPELINES:
+            one = learn.experiment(train, inside, pipeline, name, keys, store)
             out = one if out is None else out.unionByName(one)
     return out
 
 
 def supervised_scores(spark, sf_dir):
-    return _experiments(spark, sf_dir).select("experiment", "id1", "id2", F.round("p", 6).alias("p"))
+    """Every test pair of every experiment with the probability of a match; the models are kept in the shared folder."""
+    store = f"{shared_dir(spark).rstrip('/')}/models-{uuid.uuid4().hex}"
+    return _experiments(spark, sf_dir, store).select("experiment", "id1", "id2", F.round("p", 6).alias("p"))
 
 
 def supervised_report(spark, sf_dir):
@@ -329,12 +383,20 @@ def supervised_best(spark, sf_dir):
     return evaluate.best_threshold(learn.report(_experiments(spark, sf_dir)))
 
 
+def supervised_pairs(spark, sf_dir):
+    """What the experiments score: the number of test pairs and of true ones among them, for each strategy."""
+    steps, typed, entities = _learning(spark, sf_dir)
+    count = lambda name, keys: learn.test_pairs(learn.members(steps.assigned, typed, entities, keys, "test"), keys).agg(F.lit(name).alias("strategy"), F.count("*").alias("test_pairs"), F.coalesce(F.sum("truth"), F.lit(0)).alias("true_pairs"))
+    out = [count(*x) for x in STRATEGIES.items()]
+    return out[0].unionByName(out[1])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         profile_report, mediate_union, vin_normalize, vin_implausible, vin_checksum, vin_status, legacy_partition, cleaned_listings, training_records, gt_map, gt_clusters, id_to_vin, entity_split,
-        positive_pairs, negative_pairs, split_assignment, blocks_b1, blocks_b2, blocks_by_split, candidates_lex, candidates_pos, dedup_first, dedup_last, limited_records, gt_pairs, sim_features,
-        rule_score, rule_sweep, rule_report, best_threshold, serialize_records, serialize_pairs, serialize_test_pairs, matcher_eval, log_price_features, affine_gap_features, jaro_winkler_names,
-        train_pairs_sampled, supervised_scores, supervised_report, supervised_best,
+        positive_pairs, negative_pairs, split_assignment, blocks_b1, blocks_b2, blocks_by_split, candidates_lex, candidates_all, candidates_pos, dedup_first, dedup_last, limited_records, gt_pairs, sim_features,
+        rule_score, rule_sweep, rule_report, rule_report_all, best_threshold, serialize_records, serialize_pairs, serialize_test_pairs, matcher_eval, log_price_features, affine_gap_features, jaro_winkler_names,
+        train_pairs_sampled, train_pairs_b1, supervised_pairs, supervised_scores, supervised_report, supervised_best,
     )
 }

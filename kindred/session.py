@@ -49,8 +49,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    # Spark deletes what the write has shuffled once the driver's JVM has collected the plan, which by itself may take half an hour.
-    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(schema).parquet(path)
     out._written = path
     return out

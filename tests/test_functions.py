@@ -93,5 +93,5 @@ def test_affine_gap_orders_texts():
 
 def test_dictionary_scores_each_pair_once_and_keeps_rows(spark):
     df = spark.createDataFrame([(1, "MARTHA", "MARHTA"), (2, "MARHTA", "MARTHA"), (3, "x", "x"), (4, "", ""), (5, None, "x")], "i int, a string, b string")
-    got = {r["i"]: round(r["s"], 6) for r in S.by_dictionary(df, "a", "b", "s", S.jaro_winkler).collect()}
+    got = {r["i"]: round(r["s"], 6) for r in S.by_dictionary(df, "a", "b", "s", S.jaro_winkler_all).collect()}
     assert got == {1: 0.961111, 2: 0.961111, 3: 1.0, 4: 0.0, 5: 0.0}

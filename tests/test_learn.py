@@ -70,7 +70,9 @@ def test_scores_are_the_logistic_of_the_saved_coefficients(spark, pairs, tmp_pat
 
 def test_report_counts_what_the_scores_say(spark):
     rows = [("e", 0.45, 1), ("e", 0.55, 0), ("e", 0.7, 1), ("f", 0.1, 0)]
-    got = {(r["experiment"], r["threshold"]): tuple(r)[2:] for r in learn.report(spark.createDataFrame(rows, "experiment string, p double, truth int")).collect()}
+    named = learn.report(spark.createDataFrame([("P1_full_B2", 0.5, 1)], "experiment string, p double, truth int")).first()
+    assert (named["pipeline"], named["blocking"]) == ("P1_full", "B2")
+    got = {(r["experiment"], r["threshold"]): tuple(r)[4:] for r in learn.report(spark.createDataFrame(rows, "experiment string, p double, truth int")).collect()}
     assert got[("e", 0.4)] == (2 / 3, 1.0, 0.8, 3) and got[("e", 0.5)] == (0.5, 0.5, 0.5, 3) and got[("e", 0.6)] == (1.0, 0.5, 2 / 3, 3)
     assert got[("f", 0.4)] == (0.0, 0.0, 0.0, 1)
 
@@ -80,7 +82,7 @@ def test_matcher_report_has_a_row_for_a_missing_run(spark, tmp_path):
     (tmp_path / "p.jsonl").write_text('{"match": 1}\n{"match": 1}\n')
     runs = [("B1", str(tmp_path / "l.txt"), str(tmp_path / "p.jsonl"), "24m", "0m 2s"), ("B2", str(tmp_path / "l.txt"), str(tmp_path / "none"), "25m", "4m 38s")]
     got = {r["pipeline"]: tuple(r)[1:] for r in serialize.matcher_report(spark, runs).collect()}
-    assert got == {"B1": ("0.5", "1.0", "0.6667", "1.0", "24m", "0m 2s"), "B2": ("N/A",) * 4 + ("25m", "4m 38s")}
+    assert got == {"B1": ("2", "0.5", "1.0", "0.6667", "1.0", "0", "0", "24m", "0m 2s"), "B2": ("N/A",) * 7 + ("25m", "4m 38s")}
 
 
 def test_scorer_hook_and_lines(spark, tmp_path):
