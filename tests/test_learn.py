@@ -103,3 +103,45 @@ def test_one_json_object_round_trip(spark, tmp_path):
 def test_both_zeros_are_one_value(spark):
     assert profile.profile(spark.createDataFrame([(0.0,), (-0.0,)], "x double")).first()["n_uniq"] == 1
     assert profile.profile(spark.range(3).select(F.lit(1.5).alias("x"))).first()["n_uniq"] == 1
+
+
+def test_folds_keep_entities_apart(spark, pairs):
+    owned = pairs.withColumns({"vins_1": F.array(F.concat(F.lit("v"), (F.col("id1").cast("int") % 30).cast("string"))), "vins_2": F.when(F.col("label") == 1, F.col("vins_1")).otherwise(F.lit(None).cast("array<string>"))})
+    owned = owned.withColumn("vins_2", F.when(F.col("label") == 1, F.col("vins_1")).otherwise(F.col("vins_2")))
+    rows = learn.with_folds(owned).select("id1", "id2", "vins_1", "vins_2", "fold_1", "fold_2").collect()
+    fold = {}
+    for r in rows:
+        for vins, i, f in ((r["vins_1"], r["id1"], r["fold_1"]), (r["vins_2"], r["id2"], r["fold_2"])):
+            assert fold.setdefault(vins[0] if vins else i, f) == f and 0 <= f < learn.FOLDS
+    assert set(fold.values()) == set(range(learn.FOLDS))
+
+
+def test_search_takes_the_penalty_with_the_best_f1(spark, pairs, monkeypatch):
+    monkeypatch.setattr(learn, "fold_f1", lambda features, penalty, fold: {0.001: 0.5, 0.01: 0.8, 0.1: [0.8, None, 0.8][fold]}[penalty])
+    assert learn.search(None) == {0.001: 0.5, 0.01: pytest.approx(0.8), 0.1: pytest.approx(0.8)}
+    model = learn.fit(pairs, "P2_minimal")
+    assert model.stages[-1].getRegParam() == 0.1
+
+
+def test_fold_f1_counts(spark):
+    rows = [(1, 0, 0, [5.0]), (0, 0, 0, [0.0]), (1, 1, 1, [5.0]), (0, 1, 1, [0.0]), (1, 1, 1, [0.1]), (0, 0, 1, [9.0]), (1, 2, 2, [1.0])]
+    from pyspark.ml.linalg import Vectors
+
+    df = spark.createDataFrame([(y, a, b, Vectors.dense(x)) for y, a, b, x in rows], ["label", "fold_1", "fold_2", "features"])
+    assert learn.fold_f1(df, 0.01, 1) == pytest.approx(2 / 3)
+    assert learn.fold_f1(df.where("fold_1 <> 1"), 0.01, 1) is None and learn.fold_f1(df.where("fold_1 > 0"), 0.01, 1) is None
+
+
+def test_every_test_pair_is_scored(spark, monkeypatch):
+    """Blocks over the quick test's limits are scored too, and what the fit sees is bounded."""
+    rows = [(f"{i:04d}", "honda", "civic" if i % 2 else "accord", 2018.0, 1000.0 + i % 50, 5.0, ("train", "test")[i % 2], i, f"k{i}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "id string, make string, model string, year double, price double, mileage double, split string, ord long, row_key string")
+    from kindred.operators import blocking
+
+    typed = learn.records(df, order=learn.ORDER)
+    known = blocking.entities_of(df.select(F.concat(F.lit("v"), (F.col("ord") % 100).cast("string")).alias("vin"), "id"))
+    test = learn.test_pairs(learn.members(df, typed, known, blocking.B1, "test"), blocking.B1)
+    assert test.agg(F.count("*"), F.sum("truth")).first()[:] == (500 * 499 // 2, 50 * 45)
+    train = learn.train_pairs(learn.members(df, typed, known, blocking.B1, "train"), blocking.B1, most={1: 300, 0: 700})
+    assert {r["label"]: r["count"] for r in train.groupBy("label").count().collect()} == {1: 300, 0: 700}
+    assert train.select("id1", "id2").distinct().count() == 1000

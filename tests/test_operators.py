@@ -136,3 +136,128 @@ def test_serialized_text(spark):
 def test_matcher_metrics_without_lines_is_no_row(spark):
     none = spark.createDataFrame([], "line long, label int"), spark.createDataFrame([], "line long, match int")
     assert serialize.matcher_metrics(*none, "x", "1m", "1m 1s").count() == 0
+
+
+# ---- pairs of large blocks
+
+
+def test_tiles_make_each_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(blocking, "TILE_ROWS", 7)
+    rows = [(f"{(i * 37) % 90:02d}", "honda" if i % 9 else "ford", 2018.0, i) for i in range(120)]
+    df = spark.createDataFrame(rows, "id string, make string, year double, ord long")
+    m = blocking.block_members(df, blocking.B1)
+    blocks = {k: [r for r in rows if r[1] == k] for k in ("honda", "ford")}
+    by_position = sorted((r["id1"], r["id2"]) for r in blocking.pairs_by_position(m, blocking.B1).collect())
+    assert by_position == sorted((a[0], b[0]) for rs in blocks.values() for i, a in enumerate(rs) for b in rs[i + 1 :])
+    by_id = sorted((r["id1"], r["id2"], r["ord_1"], r["ord_2"]) for r in blocking.pairs_by_id(blocking.block_members(df, blocking.B1, positions=False), blocking.B1, carry=("ord",)).collect())
+    assert by_id == sorted((a[0], b[0], a[3], b[3]) for rs in blocks.values() for a in rs for b in rs if a[0] < b[0])
+    values = {(r["x"], r["y"]) for r in blocking.value_pairs(m, "id", blocking.B1).collect()}
+    assert values == {(a[0], b[0]) for rs in blocks.values() for a in rs for b in rs if a[0] < b[0]}
+
+
+def test_tiles_of_a_large_block_are_even(spark):
+    """One block of 100,000 rows: no tile has more than TILE_ROWS squared pairs, and tasks get like numbers of them."""
+    n = 100_000
+    m = spark.range(1, n + 1).select(F.col("id").cast("string").alias("id"), F.lit("a").alias("k_make"), F.lit("b").alias("k_year"), F.col("id").alias("pos"), F.lit(n).alias("block_size"))
+    names, size = ["k_make", "k_year"], blocking.TILE_ROWS
+    slot = F.floor((F.col("pos") - 1) / size)
+    sides = m.select(slot.alias("s")).groupBy("s").count().collect()
+    rows = {r["s"]: r["count"] for r in sides}
+    tiles = {b * (b + 1) // 2 + a: rows[a] * rows[b] if a < b else rows[a] * (rows[a] - 1) // 2 for b in rows for a in rows if a <= b}
+    assert sum(tiles.values()) == n * (n - 1) // 2 and max(tiles.values()) <= size**2
+    # How Spark deals the tiles: copies of the rows, by the join's key.
+    copies = m.withColumn("_b", F.explode(F.sequence(slot.cast("int"), F.lit(len(rows) - 1)))).select(*names, (F.col("_b").cast("long") * (F.col("_b") + 1) / 2 + slot).cast("long").alias("_tile"))
+    loads = {}
+    for r in copies.distinct().repartition(32, *names, "_tile").select(F.spark_partition_id().alias("p"), "_tile").collect():
+        loads[r["p"]] = loads.get(r["p"], 0) + tiles[r["_tile"]]
+    assert max(loads.values()) < 2 * sorted(loads.values())[len(loads) // 2]
+
+
+def test_pairs_of_one_block_of_many_rows(spark):
+    n = 6_000
+    df = spark.range(n).select(F.col("id").cast("string").alias("id"), F.lit("honda").alias("make"), F.lit(2018.0).alias("year"), F.col("id").alias("ord"))
+    pairs = blocking.pairs_by_id(blocking.block_members(df, blocking.B1, positions=False), blocking.B1)
+    assert pairs.agg(F.count("*"), F.sum(F.col("id1").cast("long") + F.col("id2").cast("long"))).first()[:] == (n * (n - 1) // 2, (n - 1) * n * (n - 1) // 2)
+
+
+def test_gate_loss_is_what_the_pairs_say(spark):
+    rows = [(f"{i % 40}", f"m{i % 3}" if i % 5 else "m0", 2000.0, None if i % 7 == 0 else f"v{i % 40 % 6}", "train" if i % 2 else "test", i) for i in range(200)]
+    key = {}
+    for r in rows:
+        key.setdefault(r[0], r[3])
+    rows = [(*r[:3], key[r[0]], *r[4:]) for r in rows]
+    df = spark.createDataFrame(rows, "id string, make string, year double, vin string, split string, ord long")
+    got = {r["split"]: r.asDict() for r in blocking.gate_loss(df, blocking.B1, 35).collect()}
+    for split_ in ("train", "test"):
+        blocks = {}
+        for r in rows:
+            if r[4] == split_:
+                blocks.setdefault(r[1], []).append(r)
+        pairs = {k: [(a, b) for a in v for b in v if a[0] < b[0]] for k, v in blocks.items()}
+        over = [k for k, v in blocks.items() if len(v) >= 35]
+        true = lambda ks: sum(a[3] is not None and a[3] == b[3] for k in ks for a, b in pairs[k])  # noqa: B023, E731
+        want = {"split": split_, "blocks": len(blocks), "dropped_blocks": len(over), "pairs": sum(map(len, pairs.values())), "dropped_pairs": sum(len(pairs[k]) for k in over), "true_pairs": true(pairs), "dropped_true_pairs": true(over)}
+        assert got[split_] == want and over
+
+
+def test_positions_of_hot_keys(spark, monkeypatch):
+    rows = [("hot", i % 97, f"{i:04d}") for i in range(1000)] + [("cold", i, f"c{i}") for i in range(5)] + [(None, 1, "x"), (None, 0, "y"), ("same", 3, "b"), ("same", 3, "a")]
+    df = spark.createDataFrame(rows, "k string, ord long, id string").repartition(7)
+    from kindred.operators import ranking
+
+    want = {}
+    for k in ("hot", "cold", None, "same"):
+        mine = sorted((r[1], r[2]) for r in rows if r[0] == k)
+        want |= {(k, *r): (i, len(mine)) for i, r in enumerate(mine, 1)}
+    for most in (1, 50, 10_000):
+        got = {(r["k"], r["ord"], r["id"]): (r["pos"], r["n"]) for r in ranking.placed(df, ["k"], ["ord", "id"], total="n", most=most).collect()}
+        assert got == want, most
+
+
+def test_an_entity_of_a_million_rows(spark):
+    df = spark.range(1_000_000).select(F.lit("v").alias("Vin"), F.col("id").cast("string").alias("listing_id"), F.col("id").alias("ord"))
+    m = identity.truth_members(df)
+    assert m.agg(F.count("*"), F.min("pos"), F.max("pos"), F.count_if(F.col("pos") != F.col("id").cast("int") + 1), F.min("n")).first()[:] == (1_000_000, 1, 1_000_000, 0, 1_000_000)
+    assert len(split.positive_pairs(m).collect()) == 10
+
+
+def test_membership_instead_of_true_pairs(spark):
+    m = spark.createDataFrame([("v", "1"), ("v", "2"), ("w", "2"), ("w", "3"), ("x", "4"), ("x", "4")], "vin string, id string")
+    known = blocking.entities_of(m)
+    pairs = [("1", "2"), ("1", "3"), ("2", "3"), ("3", "2"), ("4", "4"), ("2", "2"), ("1", "9"), ("9", "9")]
+    rows = spark.createDataFrame(pairs, "id1 string, id2 string")
+    one, two = (known.select(F.col("id").alias(f"id{i}"), F.col("vins").alias(f"v{i}"), F.col("twice").alias(f"t{i}")) for i in (1, 2))
+    label = blocking.same_entity(F.col("id1"), F.col("id2"), F.col("v1"), F.col("v2"), F.col("t1"))
+    got = {(r["id1"], r["id2"]): r["y"] for r in rows.join(one, "id1", "left").join(two, "id2", "left").select("id1", "id2", label.alias("y")).collect()}
+    assert got == dict(zip(pairs, (1, 0, 1, 1, 1, 0, 0, 0), strict=True))
+
+
+def test_sampled_pairs(spark):
+    n = 2_000
+    members_ = spark.range(1, n + 1).select(F.lit("b").alias("k"), F.col("id").cast("string").alias("id"), F.col("id").alias("pos"), F.col("id").alias("ord"), F.lit(n).alias("block_size"))
+    total = blocking.pair_total(members_.select("k", "block_size").distinct())
+    assert total == n * (n - 1) // 2
+    got = [(int(r["id1"]), int(r["id2"])) for r in blocking.sampled_pairs(members_, ["k"], 20_000, total, 1, ("ord",), ("ord",)).collect()]
+    assert 18_500 < len(got) < 21_000 and len(set(got)) == len(got) and all(a < b for a, b in got)
+    # Every pair has the same chance: a quarter of the pairs is among the first half of the rows.
+    assert abs(sum(b <= n / 2 for _, b in got) / len(got) - 0.25) < 0.02
+    few = members_.where("pos <= 20").withColumn("block_size", F.lit(20))
+    assert blocking.sampled_pairs(few, ["k"], 500, 190, 1, ("ord",), ()).count() == 190
+
+
+def test_sketches_merge_by_batch(spark):
+    df = spark.range(20_000).select((F.col("id") % 5_000).alias("a"), F.when(F.col("id") % 4 == 0, F.col("id").cast("string")).alias("b"), F.lit(None).cast("double").alias("c"))
+    whole = {r["attr"]: (r["n"], r["filled"], r["n_uniq"]) for r in profile.estimated(profile.sketches(df)).collect()}
+    parts = [profile.sketches(df.where(F.col("a") % 3 == k)) for k in range(3)]
+    both = {r["attr"]: (r["n"], r["filled"], r["n_uniq"]) for r in profile.estimated(profile.merged(*parts)).collect()}
+    assert all(both[c][:2] == whole[c][:2] and abs(both[c][2] - whole[c][2]) <= 0.03 * whole[c][2] for c in "abc")
+    assert whole["c"] == (20_000, 0, 0) and abs(whole["a"][2] - 5_000) < 200 and whole["b"][:2] == (20_000, 5_000)
+    exact = {r["attr"]: r["n_uniq"] for r in profile.profile(df).collect()}
+    assert exact == {"a": 5_000, "b": 5_000, "c": 0}
+
+
+def test_profile_makes_no_row_of_a_cell(spark):
+    df = spark.range(100).select(*(F.col("id").alias(f"c{i}") for i in range(6)))
+    for approximate in (False, True):
+        plan = profile.profile(df, approximate=approximate)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Expand" not in plan
