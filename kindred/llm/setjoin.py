@@ -7,7 +7,7 @@ union, which no member's intersection exceeds; only groups where it reaches the
 product. The matrix isn't multiplied whole. Tokens are dealt into parts by a hash, one part more than tokens in which linked sets of their size class may differ; so linked sets agree in one part
 at least, and a set meets only the groups that hold a member with an equal part. A part has about nine tokens: a passage that many documents share makes few parts equal, however common it is.
 
-Sets of more than 1/percent-th in size are in one class or the next one; a set has the parts of both. A set's group is named by the least of its shared parts, and large ones are dealt over groups of about GROUP members
+Sets of more than 1/percent-th in size are in one class or the next one; a set has the parts of both. A set's group is named by the most common one of its shared parts, so that copies of one text fall to few groups, and large ones are dealt over groups of about GROUP members
 or GROUP_TOKENS tokens by a hash.
 
 Every pair inside a group is decided where the group is. A set of another group first meets, for each part, the heaviest group with that part; after the components of these links, the sets outside a part's largest component
@@ -127,7 +127,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, percent: int, size: int
 
 def _grouped(members: DataFrame) -> DataFrame:
     """_set, _n and _group of every set with a shared part, written once."""
-    named = V.written(members.groupBy("_set").agg(F.min("_key").alias("_label"), F.first("_n").alias("_n")), "labels")
+    named = V.written(members.groupBy("_set").agg(F.max(F.struct("_often", "_key"))["_key"].alias("_label"), F.first("_n").alias("_n")), "labels")
     sizes = named.groupBy("_label").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("_n") / GROUP_TOKENS)).alias("_subs"))
     group = F.xxhash64("_label", F.pmod(F.xxhash64("_set"), "_subs")).alias("_group")
     out = V.written(named.join(sizes, "_label").select("_set", "_n", group), "groups")
@@ -270,7 +270,7 @@ def links(docs: DataFrame, signed: DataFrame, text_col: str, percent: int = PERC
     nodes = signed.where("_set IS NOT NULL").groupBy("_set").agg(F.first("_keys").alias("_keys"), F.min("_t").alias("_t"), F.first("_n").alias("_n"))
     nodes = V.written(nodes, "nodes")
     keys = nodes.select("_set", "_n", F.explode("_keys").alias("_key"))
-    often = keys.groupBy("_key").agg(F.count("*").alias("_often")).where("_often > 1").select("_key")
+    often = keys.groupBy("_key").agg(F.count("*").alias("_often")).where("_often > 1")
     members = V.written(keys.join(often, "_key"), "parts")
     groups = _grouped(members)
     wanted = groups.join(nodes.select("_set", "_t"), "_set").select("_t", "_set", "_n", "_group")
