@@ -270,6 +270,17 @@ def rule_report_all(spark, sf_dir):
     return _with_every_group(spark, out.select("split", "strategy", F.col("n").alias("candidates"), "tp", "fp", "fn", "precision", "recall", "f1")).orderBy("split", "strategy")
 
 
+def rule_report_times(spark, sf_dir):
+    """The report with the time of each split's and strategy's pass and its pairs a second; the weights are given, so training takes none."""
+    steps, out = Steps(spark, sf_dir), None
+    count = lambda df: evaluate.sweep(df, (scoring.THRESHOLD,), ("split", "strategy")).select("split", "strategy", F.col("n").alias("candidates"), "precision", "recall", "f1")
+    for strategy in STRATEGIES:
+        for which in split.SPLITS:
+            one = evaluate.timed(steps.scored(strategy, (which,)), count, train_time_sec=0.0)
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 def best_threshold(spark, sf_dir):
     report = evaluate.sweep(_both(spark, sf_dir), scoring.SWEEP, ("split", "strategy"))
     return evaluate.best_threshold(report.withColumn("experiment", F.concat_ws("_", "split", "strategy")))
@@ -358,14 +369,14 @@ def train_pairs_b1(spark, sf_dir):
     return _train_pairs(*_learning(spark, sf_dir), "B1").select("id1", "id2", "label")
 
 
-def _experiments(spark, sf_dir, store: str | None = None) -> DataFrame:
+def _experiments(spark, sf_dir, run=learn.experiment, store: str | None = None) -> DataFrame:
     steps, typed, entities = _learning(spark, sf_dir)
     out = None
     for name, keys in STRATEGIES.items():
         train = written(learn.with_folds(_train_pairs(steps, typed, entities, name)), "train")
         inside = learn.members(steps.assigned, typed, entities, keys, "test")
         for pipeline in learn.PIPELINES:
-            one = learn.experiment(train, inside, pipeline, name, keys, store)
+            one = run(train, inside, pipeline, name, keys, store)
             out = one if out is None else out.unionByName(one)
     return out
 
@@ -373,7 +384,7 @@ def _experiments(spark, sf_dir, store: str | None = None) -> DataFrame:
 def supervised_scores(spark, sf_dir):
     """Every test pair of every experiment with the probability of a match; the models are kept in the shared folder."""
     store = f"{shared_dir(spark).rstrip('/')}/models-{uuid.uuid4().hex}"
-    return _experiments(spark, sf_dir, store).select("experiment", "id1", "id2", F.round("p", 6).alias("p"))
+    return _experiments(spark, sf_dir, store=store).select("experiment", "id1", "id2", F.round("p", 6).alias("p"))
 
 
 def supervised_report(spark, sf_dir):
@@ -384,6 +395,11 @@ def supervised_best(spark, sf_dir):
     return evaluate.best_threshold(learn.report(_experiments(spark, sf_dir)))
 
 
+def supervised_times(spark, sf_dir):
+    """The report with the times of each experiment."""
+    return _experiments(spark, sf_dir, learn.timed_experiment)
+
+
 def supervised_pairs(spark, sf_dir):
     """What the experiments score: the number of test pairs and of true ones among them, for each strategy."""
     steps, typed, entities = _learning(spark, sf_dir)
@@ -397,7 +413,7 @@ QUERIES = {
     for f in (
         profile_report, mediate_union, vin_normalize, vin_implausible, vin_checksum, vin_status, legacy_partition, cleaned_listings, training_records, gt_map, gt_clusters, id_to_vin, entity_split,
         positive_pairs, negative_pairs, split_assignment, blocks_b1, blocks_b2, blocks_by_split, candidates_lex, candidates_all, candidates_pos, dedup_first, dedup_last, limited_records, gt_pairs, sim_features,
-        rule_score, rule_sweep, rule_report, rule_report_all, best_threshold, serialize_records, serialize_pairs, serialize_test_pairs, matcher_eval, log_price_features, affine_gap_features, jaro_winkler_names,
-        train_pairs_sampled, train_pairs_b1, supervised_pairs, supervised_scores, supervised_report, supervised_best,
+        rule_score, rule_sweep, rule_report, rule_report_all, rule_report_times, best_threshold, serialize_records, serialize_pairs, serialize_test_pairs, matcher_eval, log_price_features, affine_gap_features, jaro_winkler_names,
+        train_pairs_sampled, train_pairs_b1, supervised_pairs, supervised_scores, supervised_report, supervised_times, supervised_best,
     )
 }

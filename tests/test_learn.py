@@ -65,6 +65,11 @@ def test_scores_are_the_logistic_of_the_saved_coefficients(spark, pairs, tmp_pat
     for r in rows:
         z = last.intercept + sum(w * r[c] for w, c in zip(last.coefficients, names, strict=True))
         assert r["p"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+    from pyspark.ml.functions import vector_to_array
+
+    loaded = learn.load(str(tmp_path / "model")).transform(learn.pair_features(pairs, "P1_full")).select("id1", vector_to_array("probability")[1].alias("p"))
+    mine = {r["id1"]: r["p"] for r in learn.score(model, pairs, "P1_full").collect()}
+    assert all(mine[r["id1"]] == pytest.approx(r["p"], abs=1e-12) for r in loaded.collect())
     assert sum((r["p"] >= 0.5) == bool(r["label"]) for r in rows) > 380
 
 

@@ -261,3 +261,13 @@ def test_profile_makes_no_row_of_a_cell(spark):
     for approximate in (False, True):
         plan = profile.profile(df, approximate=approximate)._jdf.queryExecution().optimizedPlan().toString()
         assert "Expand" not in plan
+
+
+def test_a_timed_report_counts_pairs_in_its_pass(spark):
+    df = spark.range(500).select(F.lit("g").alias("g"), (F.col("id") / 500).alias("score"), (F.col("id") % 2).cast("int").alias("truth"))
+    plain = lambda rows: evaluate.sweep(rows, (0.5,), ("g",))
+    got = evaluate.timed(df, plain, train_time_sec=1.5).collect()
+    want = plain(df).collect()
+    assert [r[: len(want[0])] for r in got] == [tuple(r) for r in want] and got[0]["train_time_sec"] == 1.5
+    assert got[0]["inference_time_sec"] > 0 and abs(got[0]["pairs_per_sec"] * got[0]["inference_time_sec"] / 500 - 1) < 0.2
+    assert evaluate.timed(df.where("false"), plain).count() == 0
