@@ -115,6 +115,8 @@ def test_profile(spark):
 
 
 def test_mediation(spark):
+    shapes = spark.createDataFrame([(x,) for x in ("2021-05-04T12:31:18-05:00", "2021-05-04T17:31:18Z", "2021-05-04T17:31:18", "2021-05-04T23:01:18+0530")], "d string")
+    assert {r[0] for r in shapes.select(F.date_format(mediate.utc_time(F.col("d")), "yyyy-MM-dd HH:mm:ss")).collect()} == {"2021-05-04 17:31:18"}
     one = spark.createDataFrame([("2021-05-04T12:31:18-0500", True), ("bad", None), ("2021-05-04", False)], "d string, n boolean")
     rows = one.select(F.date_format(mediate.utc_time(F.col("d")), "yyyy-MM-dd HH:mm:ss"), mediate.new_or_used(F.col("n"))).collect()
     assert [tuple(r) for r in rows] == [("2021-05-04 17:31:18", "new"), (None, None), ("2021-05-04 00:00:00", "used")]
