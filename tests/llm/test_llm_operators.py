@@ -125,6 +125,15 @@ def test_temperature_calibrates():
     assert 3.5 < language.fit_temperature(scores * 5, labels) < 7
 
 
+def test_scores_of_a_separable_hold_out_say_its_size():
+    for n in (40, 400):
+        labels = np.arange(n) % 3
+        scores = 9.0 * np.eye(3)[labels]
+        p = np.exp(scores / language.fit_temperature(scores, labels))
+        p = (p.max(1) / p.sum(1)).mean()
+        assert abs(p - (1 - 1 / (n + 2))) < 1e-3
+
+
 # ---- 2 tokens
 
 
@@ -478,6 +487,29 @@ def test_sharding(docs, none, rows, spark, tmp_path):
     assert shards.shard(none, 4)[0].count() == 0
 
 
+def test_equal_texts_share_a_shard(docs, rows, spark, monkeypatch):
+    out, final = shards.shard(docs, 4, n_slots=256)
+    total = sum(len((t or "").encode()) + 1 for _, t, *_ in rows)
+    held, places, copies = collections.Counter(), collections.defaultdict(set), collections.Counter()
+    for r in out.collect():
+        key = (r["text_crc32"], r["size"])
+        held[key] += r["size"]
+        copies[key] += 1
+        places[key].add(r["shard"])
+    large = [k for k in held if copies[k] > 1 and held[k] > total / 16]
+    assert len(final.dealt) == len(large) and all(len(places[k]) == 1 for k in held if k not in large) and max(copies.values()) > 2
+    # A group with a third of the rows is dealt out, for its bytes or for its rows alone, and stays so in later versions.
+    many = spark.createDataFrame([(i, "the same text" if i % 3 == 0 else f"text {i} " * 3) for i in range(600)], "doc_id long, text string")
+    out, final = shards.shard(many, 4, n_slots=256)
+    assert len(final.dealt) == 1 and {r["shard"] for r in out.where("text_crc32 = crc32('the same text')").collect()} == {0, 1, 2, 3}
+    again, later = shards.shard(docs, 4, n_slots=256, at=final)
+    assert set(final.dealt) <= set(later.dealt) and again.count() == len(rows)
+    monkeypatch.setattr(shards, "DEALT_ROWS", 100)
+    short = spark.createDataFrame([(i, None if i % 3 == 0 else f"text {i} " * 300) for i in range(600)], "doc_id long, text string")
+    out, final = shards.shard(short, 4, n_slots=256)
+    assert len(final.dealt) == 1 and out.where("size = 1").select("vslot").distinct().count() > 50
+
+
 def test_slot_map_edits():
     rng = random.Random(9)
     sizes = [rng.randrange(1, 1000) for _ in range(512)]
