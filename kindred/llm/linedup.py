@@ -9,7 +9,8 @@ disjoint, and probes with the disjoint ones. Whichever of two near lines stops f
 on at least as far in the same order, indexes it. How rare a run is is read from a table of fixed size, counted over all lines; any table gives the same links.
 
 Lines under one key are compared if lengths and places allow it: pair by pair up to BUCKET lines. Above that, each line is compared with the key's earliest one;
-the lines still open meet the key's lines in cells of bounded size, where bit sketches of the lines rule out nearly all pairs, so only those that may be near are rows:
+the lines still open meet the key's lines in cells of bounded size, where bit sketches of the lines (128 bits, from WIDE_FROM words on 1024 more, which tell lines of up to about 2500 words apart)
+rule out nearly all pairs, so only those that may be near are rows:
 of each open line the FEW earliest ones first, then the others of the lines still open. The work of the sketches is the number of open lines times the key's lines, and
 a line's sketch is sent once for every CELL lines of the key. All that remains is verified by banded edit distance, `2 * threshold + 1` diagonals in a machine word, all pairs of a batch side by side; thresholds over 31 are
 verified by the furthest places that each number of edits reaches.
@@ -42,6 +43,9 @@ GRAM = 3
 CELL = 8192
 #: Earlier lines that an open line of a cell is compared with before all the others.
 FEW = 4
+#: Words of a line from which it has a wide sketch too: 1024 bits, as half of 128 bits change by chance.
+WIDE_FROM = 128
+_WIDE = 16
 #: Edits that a band of diagonals holds, from band to band; a machine word holds no more.
 BANDS = (1, 2, 4, 8, 15, 31)
 #: Symbols of lines that are verified side by side.
@@ -202,6 +206,19 @@ def sketches(symbols: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.nd
     return out
 
 
+def wide_sketches(symbols: np.ndarray, first: np.ndarray, count: np.ndarray) -> pa.Array:
+    """The same in 1024 bits, null for stretches of under WIDE_FROM words."""
+    some = np.flatnonzero(count >= WIDE_FROM)
+    out = np.zeros((len(some), _WIDE), _U)
+    if len(some):
+        h = V.mix(symbols[V.ragged(first[some], count[some])] ^ _U(0x9E3779B97F4A7C15))
+        lane = np.repeat(np.arange(len(some)) * _WIDE, count[some]) + ((h >> _U(6)) & _U(_WIDE - 1)).astype(np.int64)
+        np.bitwise_xor.at(out.reshape(-1), lane, _U(1) << (h & _U(63)))
+    at = np.full(len(first), -1, np.int64)
+    at[some] = np.arange(len(some))
+    return pa.array([row.tobytes() for row in out], pa.binary()).take(pa.array(at, mask=at < 0))
+
+
 def disjoint_runs(order: np.ndarray, gram: int = GRAM) -> np.ndarray:
     """Which runs (by first word) are picked where the least in order goes first and rules out those that overlap it; _MAX is no run."""
     now, picked = order.copy(), np.zeros(len(order), bool)
@@ -406,11 +423,15 @@ def near_pairs(a, b, max_edits: int, words_an_edit: int | None) -> np.ndarray:
 
 
 def earlier_ones(table: pa.Table, max_edits: int, words_an_edit: int | None, skip: int, take: int | None, together: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the asking lines of a cell (_asks, _place, _n, _at, _words, _s, _s2; all of one key): rows of the line and of others with an earlier place that may be near it,
+    """For the asking lines of a cell (_asks, _place, _n, _at, _words, _s, _s2, _wide; all of one key): rows of the line and of others with an earlier place that may be near it,
     from the earliest one on, `take` of them after the first `skip`; and whether there are more."""
     column = lambda name: table.column(name).to_numpy(zero_copy_only=False)
     asks, place, n, at, words = (column(c) for c in ("_asks", "_place", "_n", "_at", "_words"))
     sketch = np.stack([column("_s"), column("_s2")], 1)
+    known = [v for v in table.column("_wide").to_pylist() if v is not None]
+    wide = np.frombuffer(b"".join(known), _U).reshape(-1, _WIDE)
+    wide_at = table.column("_wide").is_valid().to_numpy()
+    wide_at = np.where(wide_at, np.cumsum(wide_at) - 1, -1)
     by_words = bool(len(n) and n[0] > 0)
     side = np.flatnonzero(~asks.astype(bool))
     side = side[np.argsort(place[side], kind="stable")]
@@ -430,6 +451,14 @@ def earlier_ones(table: pa.Table, max_edits: int, words_an_edit: int | None, ski
         if by_words:
             fits &= np.abs(at[i][:, None] - side_at) <= most
         who, whom = np.nonzero(fits)
+        both = np.flatnonzero((wide_at[i[who]] >= 0) & (wide_at[side[whom]] >= 0))
+        if len(both):
+            a, b = i[who[both]], side[whom[both]]
+            changed = np.bitwise_count(wide[wide_at[a]] ^ wide[wide_at[b]]).sum(1, dtype=np.int64)
+            edits = 2 * (np.maximum(words[a], words[b]) // words_an_edit) if words_an_edit else 0
+            stays = np.ones(len(who), bool)
+            stays[both] = changed <= np.maximum(edits, 4 * max_edits)
+            who, whom = who[stays], whom[stays]
         a, b = i[who], side[whom]
         turn = np.arange(len(a)) - np.searchsorted(who, who, "left")
         here = (turn >= skip) & (turn < skip + take) if take else turn >= skip
@@ -445,7 +474,7 @@ def in_cells(hot: DataFrame, open_: DataFrame, max_edits: int, words_an_edit: in
     members = members.join(many, "_key")
     block = lambda n: F.pmod(F.xxhash64("_h", "_at"), n).cast("int")
     members = members.withColumn("_is", F.ceil(F.col("_many") / CELL).cast("int")).withColumn("_js", F.ceil(F.col("_size") / CELL).cast("int"))
-    columns = ["_key", "_h", "_first", "_n", "_at", "_words", "_s", "_s2"]
+    columns = ["_key", "_h", "_first", "_n", "_at", "_words", "_s", "_s2", "_wide"]
     others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asking = members.where("_open").select(*columns, F.lit(True).alias("_asks"), block(F.col("_is")).alias("_i"), others("_js").alias("_j"))
     asked = members.select(*columns, F.lit(False).alias("_asks"), block(F.col("_js")).alias("_j"), others("_is").alias("_i"))
@@ -462,11 +491,11 @@ def in_cells(hot: DataFrame, open_: DataFrame, max_edits: int, words_an_edit: in
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str, words_an_edit: int | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """id, _k (128 bits of id and text), line number, whether it is the text's first, characters, words, two hashes and a sketch of every line with a word;
+    """id, _k (128 bits of id and text), line number, whether it is the text's first, characters, words, two hashes and the sketches of every line with a word;
     and, for word edits, how many runs of words fall into each bucket of hashes (_bucket, _n). Both are one table, written in one pass over the texts."""
     src = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), V.row_key(F.col(id_col), F.col(text_col)).alias("_k"), F.col(text_col).alias("_text"))
     kind = src.schema["_id"].dataType.simpleString()
-    names = ["_id", "_k", "_line", "_head", "_chars", "_words", "_h", "_h2", "_s", "_s2", "_bucket", "_n"]
+    names = ["_id", "_k", "_line", "_head", "_chars", "_words", "_h", "_h2", "_s", "_s2", "_wide", "_bucket", "_n"]
 
     def run(batches):
         runs, types = np.zeros(_BUCKETS, np.int64), None
@@ -481,14 +510,14 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, words_an_edit: int
                 _, _, h = runs_of(words, lines.first[fits], lines.last[fits], _gram(words_an_edit))
                 runs += np.bincount((h >> _U(48)).astype(np.int64), minlength=_BUCKETS)
             numbers = [lines.number.astype(np.int32), head, lines.length.astype(np.int32), count.astype(np.int32), *(lines.hash(k).view(np.int64) for k in (0, 1)), *sketch.T]
-            columns = [part.column("_id").take(at), part.column("_k").take(at), *map(pa.array, numbers)]
+            columns = [part.column("_id").take(at), part.column("_k").take(at), *map(pa.array, numbers), wide_sketches(words, lines.first, count)]
             types = [c.type for c in columns]
             yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.int64())], names=names)
         some = np.flatnonzero(runs)
         if len(some):
             yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), t) for t in types), pa.array(some.astype(np.int32)), pa.array(runs[some])], names=names)
 
-    types = f"_id {kind}, _k binary, _line int, _head boolean, _chars int, _words int, _h long, _h2 long, _s long, _s2 long, _bucket int, _n long"
+    types = f"_id {kind}, _k binary, _line int, _head boolean, _chars int, _words int, _h long, _h2 long, _s long, _s2 long, _wide binary, _bucket int, _n long"
     table = V.written(src.mapInArrow(run, types), "lines")
     return table.where("_bucket IS NULL").drop("_bucket", "_n"), table.where("_bucket IS NOT NULL").select("_bucket", "_n") if words_an_edit else None
 
@@ -504,7 +533,7 @@ def _line_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
 def duplicate_lines(docs: DataFrame, occ: DataFrame, counts: DataFrame | None, id_col: str, text_col: str, max_edits: int, words_an_edit: int | None = None) -> DataFrame:
     """_h, _h2, _first (the first occurrence) and _dup (an earlier line is near) of every different line."""
     first = F.min(F.struct("_id", "_k", "_line")).alias("_first")
-    lines = V.written(occ.groupBy("_h", "_h2").agg(first, *(F.first(c).alias(c) for c in ("_words", "_s", "_s2"))), "distinct")
+    lines = V.written(occ.groupBy("_h", "_h2").agg(first, *(F.first(c).alias(c) for c in ("_words", "_s", "_s2", "_wide"))), "distinct")
     pairs, hot = candidates(docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("_text")), lines, counts, max_edits, words_an_edit)
     ends = lambda pairs: pairs.select(F.col("_a").alias("_h")).unionByName(pairs.select(F.col("_b").alias("_h")))
     # Two lines with one _h are told apart by _h2 and are both compared.

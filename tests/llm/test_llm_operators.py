@@ -386,6 +386,43 @@ def test_line_dedup_by_words(spark, word_rows, monkeypatch, bucket, cell):
     assert sorted(((str(r["doc_id"]), r["text"]) for r in out.collect()), key=key) == sorted(want, key=key)
 
 
+def test_wide_sketches_tell_long_lines_apart():
+    rng = np.random.default_rng(4)
+    some = lambda n: rng.integers(1, 2**63, n).astype(np.uint64)
+    passage, lines = some(300), []
+    for size in (100, 300, 1200):
+        line = some(size)
+        other = line.copy()
+        other[rng.permutation(size)[: size // 10]] = some(size // 10)
+        lines += [line, other, np.concatenate([some(size // 2), passage, some(size // 2)]), np.concatenate([some(size // 2), passage, some(size // 2)])]
+    count = np.array([len(x) for x in lines])
+    wide = linedup.wide_sketches(np.concatenate(lines), np.cumsum(count) - count, count).to_pylist()
+    assert [w is None for w in wide] == [n < linedup.WIDE_FROM for n in count]
+    changed = lambda a, b: int(np.bitwise_count(np.frombuffer(wide[a], np.uint64) ^ np.frombuffer(wide[b], np.uint64)).sum())
+    for k, size in ((4, 300), (8, 1200)):
+        assert changed(k, k + 1) <= 2 * (size // 10) and changed(k + 2, k + 3) > 2 * (count[k + 2] // 10)
+
+
+def test_line_dedup_of_long_lines(spark, monkeypatch):
+    rng = random.Random(5)
+    some = lambda n: [f"w{rng.randrange(9000)}" for _ in range(n)]
+    passage, out = some(40), []
+    for size in (90, 100, 135, 150, 260, 330):
+        line = some(size) + passage
+        for times in (0, 3, len(line) // 10, len(line) // 10 + 1):
+            other = list(line)
+            for at in rng.sample(range(size), times):
+                other[at] = f"w{rng.randrange(9000)}"
+            out += [other, some(size - times) + passage]
+    long = [(i, " ".join(x)) for i, x in enumerate(out)]
+    monkeypatch.setattr(linedup, "BUCKET", 4)
+    monkeypatch.setattr(linedup, "CELL", 8)
+    docs = spark.createDataFrame(long, "doc_id long, text string")
+    want = {i: g for (i, _, _), g in plain_word_lines(long, 1).items()}
+    got = {r["doc_id"]: r["n_dup_lines"] == 1 for r in linedup.line_report(docs, words_an_edit=10).collect()}
+    assert got == want and 10 < sum(want.values()) < len(long) - 10
+
+
 def test_op4_query_takes_changed_words(spark, tmp_path):
     from kindred.llm import queries
 
