@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions import similarity as S
+from kindred.operators import blocking
 from kindred.session import with_package, written
 
 SCALE = 0.1
@@ -72,6 +73,26 @@ def _may_reach(cut: float) -> Column:
     return most * (1 / F.col("n_1") + 1 / F.col("n_2")) >= need - 1e-9
 
 
+def _scored(pairs: DataFrame, cut: float | None) -> DataFrame:
+    """(a, b, s) of pairs (a, b), scored in batches; with a cut, those that reach it."""
+
+    def scored(batches):
+        for batch in batches:
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(S.jaro_winkler_all(a, b), pa.float64())], names=["a", "b", "s"])
+            yield out if cut is None else out.filter(pa.array(out.column("s").to_numpy() >= cut - 1e-9))
+
+    return pairs.mapInArrow(scored, "a string, b string, s double")
+
+
+def jaro_winkler_pairs(values: DataFrame, column: str) -> DataFrame:
+    """(a, b, s): all pairs a < b of different values with their Jaro-Winkler similarity. Null values have no pairs. Pairs are dealt out in tiles and scored as they are made."""
+    with_package(values.sparkSession)
+    texts = written(values.select(F.col(column).alias("t")).where("t IS NOT NULL").distinct(), "texts")
+    rows = texts.select(F.lit(0).alias("_all"), "t", F.lit(texts.count()).alias("block_size"))
+    return _scored(blocking.different_pairs(rows, ["_all"], "t").select(F.col("x").alias("a"), F.col("y").alias("b")), None)
+
+
 def jaro_winkler_join(values: DataFrame, column: str, cut: float = S.CUT) -> DataFrame:
     """(a, b, s): pairs a < b of different values whose Jaro-Winkler similarity s is at least `cut`. No pair is made that shares no key or that the bounds rule out; the others are scored in batches. Null and empty values have no pairs."""
     with_package(values.sparkSession)
@@ -98,11 +119,4 @@ def jaro_winkler_join(values: DataFrame, column: str, cut: float = S.CUT) -> Dat
     side = lambda name, i: index.select("key", F.col("t").alias(name), F.col("n").alias(f"n_{i}"), F.col("m").alias(f"m_{i}"))
     pairs = side("a", 1).join(side("b", 2), "key").where((F.col("a") < F.col("b")) & _may_reach(cut)).select("a", "b").distinct()
 
-    def scored(batches):
-        for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            s = S.jaro_winkler_all(a, b)
-            near = pa.array(s >= cut - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(near), batch.column("b").filter(near), pa.array(s).filter(near)], names=["a", "b", "s"])
-
-    return pairs.mapInArrow(scored, "a string, b string, s double")
+    return _scored(pairs, cut)

@@ -77,3 +77,22 @@ def test_join_of_many_names(spark):
     got = {(r["a"], r["b"]) for r in similar.jaro_winkler_join(df, "name", 0.9).collect()}
     assert planted <= got
     assert all(plain_jaro_winkler(a, b) >= 0.9 - 1e-9 for a, b in sorted(got)[:500])
+
+
+def test_names_have_all_their_pairs(spark, sf_dir):
+    from kindred.plans import queries
+
+    names = {r[0] for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name").distinct().collect()}
+    got = queries.jaro_winkler_names(spark, sf_dir).collect()
+    assert {(r["a"], r["b"]) for r in got} == {(a, b) for a in names for b in names if a < b} and len(got) == len(names) * (len(names) - 1) // 2
+
+
+def test_pairs_of_all_values_in_tiles(spark, monkeypatch):
+    from kindred.operators import blocking, similar
+
+    monkeypatch.setattr(blocking, "TILE_ROWS", 3)
+    values = ["", "a", "ab", "abc", "b", "xyz", "xy", "martha", "marhta", None, "a"]
+    got = similar.jaro_winkler_pairs(spark.createDataFrame([(v,) for v in values], "v string"), "v").collect()
+    some = sorted({v for v in values if v is not None})
+    assert {(r["a"], r["b"]) for r in got} == {(a, b) for a in some for b in some if a < b} and len(got) == len(some) * (len(some) - 1) // 2
+    assert {(r["a"], r["b"]): round(r["s"], 4) for r in got}["marhta", "martha"] == 0.9611
