@@ -207,7 +207,7 @@ def test_positions_of_hot_keys(spark, monkeypatch):
     df = spark.createDataFrame(rows, "k string, ord long, id string").repartition(7)
     from kindred.operators import ranking
 
-    want = {}
+    want = set()
     for k in ("hot", "cold", None, "same"):
         mine = sorted((r[1], r[2]) for r in rows if r[0] == k)
         want |= {(k, *r): (i, len(mine)) for i, r in enumerate(mine, 1)}
@@ -273,3 +273,33 @@ def test_a_timed_report_counts_pairs_in_its_pass(spark):
     assert [r[: len(want[0])] for r in got] == [tuple(r) for r in want] and got[0]["train_time_sec"] == 1.5
     assert got[0]["inference_time_sec"] > 0 and abs(got[0]["pairs_per_sec"] * got[0]["inference_time_sec"] / 500 - 1) < 0.2
     assert evaluate.timed(df.where("false"), plain).count() == 0
+
+
+def test_negatives_are_the_first_good_tries_and_few_tries_meet_rows(spark, monkeypatch):
+    import hashlib
+
+    n, wanted = 40, 30
+    numbered = spark.createDataFrame([(i + 1, f"r{i}", None if i % 3 else f"v{i % 6}") for i in range(n)], "row long, id string, vin string")
+    rows = {r["row"]: r for r in numbered.collect()}
+    pick = lambda seed, k, side: int(hashlib.md5(f"{seed}|{k}|{side}".encode()).hexdigest()[:8], 16) % n + 1
+    want = set()
+    for name, seed in (("train", 42), ("val", 43)):
+        tries = [(k, rows[pick(seed, k, "a")], rows[pick(seed, k, "b")]) for k in range(1, 5 * wanted + 1)]
+        good = [(k, a["id"], b["id"]) for k, a, b in tries if a["row"] != b["row"] and a["vin"] != b["vin"]]
+        want |= {(name, *x) for x in good[:wanted]}
+    tried = []
+    made = split._tried
+    monkeypatch.setattr(split, "_tried", lambda numbered, cells, n: tried.extend(cells) or made(numbered, cells, n))
+    got = [tuple(r) for r in split.negatives(numbered, {"train": (wanted, 42), "val": (wanted, 43), "test": (0, 44)}).collect()]
+    assert set(got) == want and len(got) == len(want) == 2 * wanted
+    tried.clear()
+    free = spark.range(1, 3001).selectExpr("id AS row", "CAST(id AS string) AS id", "CAST(id AS string) AS vin")
+    assert split.negatives(free, {"train": (2000, 42)}).count() == 2000
+    # A tenth more than is wanted, and not five times as many.
+    assert sum(last - first + 1 for *_, first, last in tried) <= 2300
+
+
+def test_written_rows_have_only_what_is_needed(spark, sf_dir):
+    from kindred.plans import queries
+
+    assert set(queries.Steps(spark, sf_dir, ("price",)).kept.columns) == {"listing_id", "Vin", "price", "ord", "key", "row_key"}
