@@ -303,3 +303,43 @@ def test_written_rows_have_only_what_is_needed(spark, sf_dir):
     from kindred.plans import queries
 
     assert set(queries.Steps(spark, sf_dir, ("price",)).kept.columns) == {"listing_id", "Vin", "price", "ord", "key", "row_key"}
+
+
+def test_weighted_pairs_and_counts_are_those_of_the_pairs(spark, monkeypatch):
+    import random
+    from itertools import combinations
+
+    monkeypatch.setattr(blocking, "TILE_ROWS", 3)
+    rnd = random.Random(5)
+    kind = {f"i{i}": (rnd.choice("ab"), rnd.choice([None, 1.0, 2.0])) for i in range(14)}
+    rows = [(rnd.choice("xy"), i, *kind[i]) for i in rnd.choices(sorted(kind), k=40)]
+    again = {i for i in kind if sum(r[1] == i for r in rows) > 1}
+    df = spark.createDataFrame([(*r, r[1] in again) for r in rows] + [("x", None, "a", 1.0, False)], "g string, id string, c string, v double, again boolean")
+    want = {}
+    for a, b in combinations(rows, 2):
+        if a[0] == b[0] and a[1] != b[1]:
+            key = (a[0], frozenset([a[2:], b[2:]]))
+            want[key] = want.get(key, 0) + 1
+    got = [(r["g"], frozenset([(r["c_1"], r["v_1"]), (r["c_2"], r["v_2"])]), r["weight"]) for r in blocking.weighted_pairs(df, ["g"], ("c", "v")).collect()]
+    assert {g[:2]: g[2] for g in got} == want and len(got) == len(want)
+
+    owns = {i: rnd.choices("pqr", k=rnd.choice([1, 2, 3])) for i in sorted(kind)[:11]}
+    entities = blocking.entities_of(spark.createDataFrame([(v, i) for i, vs in owns.items() for v in vs], "vin string, id string"))
+    blocks = spark.createDataFrame([(r[1], r[0], 1.0) for r in rows], "id string, make string, year double")
+    hit = lambda a, b: (len(owns.get(a, [])) > len(set(owns.get(a, [])))) if a == b else bool(set(owns.get(a, [])) & set(owns.get(b, [])))
+    met = [(a[1], b[1]) for a, b in combinations(rows, 2) if a[0] == b[0]]
+    r = blocking.pair_counts(blocks, entities, blocking.B1).first()
+    assert (r["pairs"], r["true_pairs"]) == (len(met), sum(hit(a, b) for a, b in met))
+
+
+def test_small_dictionaries_leave_pairs_where_they_are(spark):
+    from kindred.functions import similarity as S
+
+    pairs = spark.range(1000).selectExpr("CONCAT('a', id % 7) AS a", "CONCAT('b', id % 5) AS b")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = S.by_dictionary(pairs, "a", "b", "s", S.jaro_winkler_all)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
