@@ -343,3 +343,19 @@ def test_small_dictionaries_leave_pairs_where_they_are(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_truth_pairs_are_not_shuffled(spark, monkeypatch):
+    """Entities of ordinary and large size, ids in several entities, ids there twice and rows without an id: each pair once, as from all pairs of rows; pairs meet each other only where ids have several entities."""
+    monkeypatch.setattr(blocking, "TILE_ROWS", 4)
+    own = {"v1": ["a", "b", "c"], "v2": ["b", "c", "d", "d"], "v3": [*"abcdefghij", "e"], "v4": ["x", None, "y"], "v5": [None, None, "z"], "v6": ["p", "q"]}
+    rows = [(v, i, p, len(ids)) for v, ids in own.items() for p, i in enumerate(ids, 1)]
+    members_ = spark.createDataFrame(rows, "vin string, id string, pos int, n long")
+    known = lambda x, y: tuple(sorted(i for i in (x, y) if i is not None)) or (None,)
+    want = {(known(x, y)[0], known(x, y)[-1]) for ids in own.values() for k, x in enumerate(ids) for y in ids[k + 1 :]}
+    got = [(r["a"], r["b"]) for r in blocking.truth_pairs(members_).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    monkeypatch.setattr(blocking, "TILE_ROWS", 1024)
+    plain = blocking.truth_pairs(members_.where("vin = 'v6' OR vin = 'v2'"))
+    assert {(r["a"], r["b"]) for r in plain.collect()} == {("b", "c"), ("b", "d"), ("c", "d"), ("d", "d"), ("p", "q")}
+    assert "Join" not in plain._jdf.queryExecution().optimizedPlan().toString() and "Distinct" not in plain._jdf.queryExecution().optimizedPlan().toString()
