@@ -359,3 +359,15 @@ def test_truth_pairs_are_not_shuffled(spark, monkeypatch):
     plain = blocking.truth_pairs(members_.where("vin = 'v6' OR vin = 'v2'"))
     assert {(r["a"], r["b"]) for r in plain.collect()} == {("b", "c"), ("b", "d"), ("c", "d"), ("d", "d"), ("p", "q")}
     assert "Join" not in plain._jdf.queryExecution().optimizedPlan().toString() and "Distinct" not in plain._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_first_rows_leave_the_rest_unmade(spark):
+    """The first rows are the same with and without the cheaper order column, also where most rows up to its first guess were dropped; rows after them are not made."""
+    every = spark.range(5000).select((F.col("id") * 7 % 5000).alias("ord"), F.col("id").cast("string").alias("id"))
+    sparse = every.where("ord > 4000 OR ord % 10 = 0")
+    for rows in (every, sparse):
+        for n in (10, 200, 600, 6000):
+            want = [r["ord"] for r in split.first_rows(rows, n).collect()]
+            assert [r["ord"] for r in split.first_rows(rows, n, among=every.select("ord")).collect()] == want
+    failing = every.withColumn("x", F.when(F.col("ord") > 3000, F.raise_error(F.lit("made"))).otherwise(F.col("ord")))
+    assert [r["x"] for r in split.first_rows(failing, 20, among=every.select("ord")).collect()] == list(range(20))
