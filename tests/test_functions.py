@@ -95,3 +95,18 @@ def test_dictionary_scores_each_pair_once_and_keeps_rows(spark):
     df = spark.createDataFrame([(1, "MARTHA", "MARHTA"), (2, "MARHTA", "MARTHA"), (3, "x", "x"), (4, "", ""), (5, None, "x")], "i int, a string, b string")
     got = {r["i"]: round(r["s"], 6) for r in S.by_dictionary(df, "a", "b", "s", S.jaro_winkler_all).collect()}
     assert got == {1: 0.961111, 2: 0.961111, 3: 1.0, 4: 0.0, 5: 0.0}
+
+
+def test_texts_of_doubles_and_stripping(spark):
+    xs = [0.0, -0.0, 1e-3, 9.99e-4, 1e-7, 0.1 + 0.2, 1 / 3, 9999999.5, 12345.678901, 12345.6789012, -5.25, 123456789.125, 2018.0, 104.05, None]
+    want = ["0.0", "0.0", "0.001", "0.000999", "0.", "0.3", "0.333333", "9999999.5", "12345.678901", "12345.678901", "-5.25", "123456789.125", "2018.0", "104.05", None]
+    assert values(spark, "double", xs, lambda c: N.text_of(c, "double")) == want
+    # White space before a last line separator is inside the text; a regular expression took it for its end.
+    texts = [" a b ", "\ta\n", "\x0b\f\r x\r\n", "", "  ", None, " é ", "x \u2028"]
+    assert values(spark, "string", texts, N.stripped) == ["a b", "a", "x", "", "", None, "é", "x \u2028"]
+
+
+def test_common_doubles_need_no_decimal(spark):
+    df = spark.createDataFrame([(2.5,), (7.0,)], "x double").select(F.col("x"))
+    plan = df.select(N.stripped(N.text_of(F.col("x"), "double")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "cast(x" in plan and plan.index("as string") < plan.index("decimal") and "RegExpReplace(^" not in plan and "^\\s+" not in plan
