@@ -150,3 +150,20 @@ def test_every_test_pair_is_scored(spark, monkeypatch):
     train = learn.train_pairs(learn.members(df, typed, known, blocking.B1, "train"), blocking.B1, most={1: 300, 0: 700})
     assert {r["label"]: r["count"] for r in train.groupBy("label").count().collect()} == {1: 300, 0: 700}
     assert train.select("id1", "id2").distinct().count() == 1000
+
+
+def test_rows_are_drawn_without_their_records(spark, monkeypatch):
+    """What is written and joined for the draw has ids, order and keys alone: records and lists of entities meet the drawn pairs, which are bounded."""
+    from kindred.operators import blocking
+
+    rows = [(f"{i:04d}", "honda", 2018.0, i, bytes([i % 256, i // 256])) for i in range(600)]
+    df = spark.createDataFrame(rows, "id string, make string, year double, ord long, key binary").withColumns({"fuel_type": F.lit("x"), "transmission": F.lit("y")})
+    own = df.select(F.concat(F.lit("v"), (F.col("ord") % 100).cast("string")).alias("vin"), "id")
+    kept = {}
+    monkeypatch.setattr(learn, "written", lambda x, name: kept.setdefault(name, x.localCheckpoint()))
+    inside = blocking.block_members(df, blocking.B1, order=("ord", "key"))
+    pairs = learn.drawn_pairs(inside, df.join(blocking.entities_of(own), "id", "left"), blocking.B1, most={1: 300, 0: 700})
+    assert {r["label"]: r["count"] for r in pairs.groupBy("label").count().collect()} == {1: 300, 0: 700}
+    assert pairs.where("label <> CAST(CAST(id1 AS INT) % 100 = CAST(id2 AS INT) % 100 AS INT)").count() == 0
+    assert set(kept["owned"].columns) == {"id", "ord", "key", "k_make", "k_year", "_vin", "pos", "block_size"}
+    assert kept["drawn"].count() <= 2 * learn.OVER * 1000 and kept["facts"].count() <= 600
