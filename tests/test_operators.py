@@ -371,3 +371,11 @@ def test_first_rows_leave_the_rest_unmade(spark):
             assert [r["ord"] for r in split.first_rows(rows, n, among=every.select("ord")).collect()] == want
     failing = every.withColumn("x", F.when(F.col("ord") > 3000, F.raise_error(F.lit("made"))).otherwise(F.col("ord")))
     assert [r["x"] for r in split.first_rows(failing, 20, among=every.select("ord")).collect()] == list(range(20))
+
+
+def test_positives_are_counted_without_being_made(spark):
+    rows = [(f"v{e}", f"{e}-{i}", i + 1, n) for e, n in enumerate([2, 3, 4, 5, 6, 30]) for i in range(n)]
+    members = spark.createDataFrame(rows, "vin string, id string, pos int, n long")
+    splits = spark.createDataFrame([(f"v{e}", "train" if e % 2 else "test") for e in range(6)], "vin string, split string")
+    made = split.positive_pairs(members).join(splits, "vin").groupBy("split").count().collect()
+    assert split.positive_counts(members, splits) == {r["split"]: r["count"] for r in made} == {"train": 23, "test": 17}
