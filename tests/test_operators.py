@@ -379,3 +379,16 @@ def test_positives_are_counted_without_being_made(spark):
     splits = spark.createDataFrame([(f"v{e}", "train" if e % 2 else "test") for e in range(6)], "vin string, split string")
     made = split.positive_pairs(members).join(splits, "vin").groupBy("split").count().collect()
     assert split.positive_counts(members, splits) == {r["split"]: r["count"] for r in made} == {"train": 23, "test": 17}
+
+
+def test_packed_records_give_the_same_lines(spark):
+    odd = ["a b", "", None, "\x1f", "\x1e", "\x1e1x\x1f0", "\x1e\x1f ", "Tab\tNew"]
+    rows = [(str(i % 6), i, x, y, float(i) / 3 if i % 4 else None) for i, (x, y) in enumerate((x, y) for x in odd for y in odd)]
+    records = spark.createDataFrame(rows, "id string, ord long, make string, model string, price double")
+    fields = ("make", "price", "model")
+    pairs = spark.createDataFrame([("0", "1", 1), ("2", "3", 0), ("4", "5", 1), ("5", "5", 0), ("1", "none", 1)], "id1 string, id2 string, label int")
+    want = serialize.pair_lines(pairs, serialize.serialized(records, fields)).collect()
+    got = serialize.pair_lines_of(pairs, records, fields).collect()
+    assert len(got) == 4 and sorted(got) == sorted(want)
+    every = records.select(serialize.record_text(records, fields).alias("a"), serialize.unpacked(serialize.packed(records, fields), fields).alias("b"))
+    assert every.where("a <> b OR a IS NULL OR b IS NULL").isEmpty()
