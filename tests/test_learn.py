@@ -167,3 +167,27 @@ def test_rows_are_drawn_without_their_records(spark, monkeypatch):
     assert pairs.where("label <> CAST(CAST(id1 AS INT) % 100 = CAST(id2 AS INT) % 100 AS INT)").count() == 0
     assert set(kept["owned"].columns) == {"id", "ord", "key", "k_make", "k_year", "_vin", "pos", "block_size"}
     assert kept["drawn"].count() <= 2 * learn.OVER * 1000 and kept["facts"].count() <= 600
+
+
+def test_pairs_counted_by_kinds_are_the_pairs_scored_one_by_one(spark):
+    """Ids with several rows, ids of several entities, entities that are there twice and missing values; most rows are like others."""
+    from kindred.operators import blocking
+
+    rng = random.Random(3)
+    ids = [f"{rng.randrange(70):03d}" for _ in range(120)]
+    facts = {i: (rng.choice(["honda", "hondaa"]), rng.choice(["civic", "accord", None]), rng.choice([2018.0, 2001.0, None]), rng.choice([None, 0.0, 1000.0, 1500.0]), rng.choice([5.0, None])) for i in set(ids)}
+    rows = [(i, *facts[i], "test", k, f"k{k}") for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "id string, make string, model string, year double, price double, mileage double, split string, ord long, row_key string")
+    owned = [(f"v{v}", i) for i in set(ids) for v in rng.sample(range(6), rng.choice([0, 1, 1, 2, 3])) for _ in range(rng.choice([1, 1, 2]))]
+    known = blocking.entities_of(spark.createDataFrame(owned, "vin string, id string"))
+    train = spark.createDataFrame([("a", "civic", 1), ("b", "accord", 0)] * 20, "x string, y string, label int")
+    sides = {f"d_{c}_{i}": F.lit(v) for i in (1, 2) for c, v in (("make", "honda"), ("year", 2018.0), ("price", 1000.0), ("mileage", 5.0))}
+    train = train.withColumns(sides).withColumns({"d_model_1": F.lit("civic"), "d_model_2": F.col("y"), "id1": F.monotonically_increasing_id().cast("string"), "id2": F.lit("0")})
+    keys = ("make",)
+    inside = learn.members(df, learn.records(df, order=learn.ORDER), known, keys, "test")
+    for name, model in (("P1_full", learn.fit(train, "P1_full", penalties=(0.01,))), ("P2_minimal", None)):
+        one, many = (f(model, inside, name, f"{name}_X", keys) for f in (learn.scores, learn.weighted_scores))
+        want, got = (sorted(map(tuple, learn.report(x).collect())) for x in (one, many))
+        assert got == want and len(got) == 3
+        assert one.agg(F.sum("truth")).first()[0] == many.where("truth = 1").agg(F.sum("weight")).first()[0] > 100
+        assert many.where("truth = 0 AND weight > 0").count() < one.count() / 2
