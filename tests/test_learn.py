@@ -191,3 +191,14 @@ def test_pairs_counted_by_kinds_are_the_pairs_scored_one_by_one(spark):
         assert got == want and len(got) == 3
         assert one.agg(F.sum("truth")).first()[0] == many.where("truth = 1").agg(F.sum("weight")).first()[0] > 100
         assert many.where("truth = 0 AND weight > 0").count() < one.count() / 2
+
+
+def test_numbers_of_texts_put_pairs_in_the_order_of_their_lines(spark):
+    for texts in (["a", "a b", "a\x01", "", "é", "a!", "b"], ["x", "x\ty", "x\t\x01", "w"]):
+        rows = spark.createDataFrame([(f"{i}", t) for i, t in enumerate(texts * 2)], "id string, text string")
+        numbered, order = serialize.with_text_numbers(rows)
+        side = lambda i: numbered.select(*(F.col(c).alias(f"{c}_{i}") for c in ("text", "text_no")))
+        pairs = side(1).crossJoin(side(2)).withColumn("label", F.explode(F.array(F.lit(1), F.lit(0)))).withColumn("value", serialize.line())
+        got = [r["value"] for r in pairs.orderBy(*order).collect()]
+        assert len(got) == 8 * len(texts) ** 2 and got == sorted(got, key=lambda x: x.encode())
+        assert (order == ["value"]) == any("\t" in t for t in texts)
