@@ -392,3 +392,51 @@ def test_packed_records_give_the_same_lines(spark):
     assert len(got) == 4 and sorted(got) == sorted(want)
     every = records.select(serialize.record_text(records, fields).alias("a"), serialize.unpacked(serialize.packed(records, fields), fields).alias("b"))
     assert every.where("a <> b OR a IS NULL OR b IS NULL").isEmpty()
+
+
+def test_levels_of_cells_are_those_of_the_pairs(spark, monkeypatch):
+    """Missing values, no numbers, infinities, near numbers and repeated ids; the kinds of a group are dealt out in several cells."""
+    import random
+
+    monkeypatch.setattr(blocking, "CELL", 7)
+    rnd = random.Random(9)
+    price = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 10.0, 10.05, 10.1, 10.11, 10.15, 10.2, 1e300]
+    kind = {f"i{i}": (rnd.choice(["honda", "hondas", "", None]), rnd.choice(["civic", "civics", "accord", ""]), rnd.choice(["2018", "2019"]), rnd.choice(price), rnd.choice([5.0, 5.1, 6.0, None])) for i in range(50)}
+    rows = [(rnd.choice("xy"), i, *kind[i]) for i in rnd.choices(sorted(kind), k=90)]
+    again = {i for i in kind if sum(r[1] == i for r in rows) > 1}
+    schema = "g string, id string, r_make string, r_model string, r_year string, r_price double, r_mileage double, again boolean"
+    df = spark.createDataFrame([(*r, r[1] in again) for r in rows] + [("x", None, *rows[0][2:], False), ("z", "j", *rows[0][2:], False)], schema)
+    levels = (0.35, 0.6, 0.85)
+    for itself in (False, True):
+        pairs = scoring.features(blocking.weighted_pairs(df, ["g"], scoring.COMPARED, itself)).withColumn("score", scoring.weighted())
+        highest = F.coalesce(*(F.when(F.col("score") >= t, t) for t in reversed(levels)), F.lit(0.0))
+        want = {(r["g"], r["level"]): r["w"] for r in pairs.groupBy("g", highest.alias("level")).agg(F.sum("weight").alias("w")).collect()}
+        got = blocking.weighted_levels(df, ["g"], scoring.COMPARED, scoring.cell_scores, levels, ("g",), itself)
+        assert {(r["g"], r["level"]): r["w"] for r in got.groupBy("g", "level").agg(F.sum("weight").alias("w")).collect()} == want
+        assert {t for _, t in want} == {0.0, *levels}
+
+
+def test_a_cell_is_scored_in_stretches(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(4)
+    value, w = rnd.integers(0, 40, 30).astype(float), rnd.integers(1, 5, 30)
+    table = lambda at: pa.table({"v": value[at], "_w": w[at], "_own": w[at] * (w[at] - 1) // 2})
+    scores = lambda a, b: lambda i, j: 1 - np.abs(np.subtract.outer(a["v"].to_numpy()[i], b["v"].to_numpy()[j])) / 40
+    few = slice(0, 12), slice(12, 30)
+    for together in (1, 100, 1 << 18):
+        monkeypatch.setattr(blocking, "TOGETHER", together)
+        whole = blocking.counted_pairs(table(slice(None)), table(slice(None)), True, scores, [0.5, 0.9])
+        parts = [blocking.counted_pairs(table(a), table(b), a is b, scores, [0.5, 0.9]) for a, b in ((few[0], few[0]), few, (few[1], few[1]))]
+        rows = np.repeat(value, w)
+        far = (1 - np.abs(np.subtract.outer(rows, rows)) / 40)[np.triu_indices(len(rows), 1)]
+        assert whole == [sum(x) for x in zip(*parts, strict=True)] == [int((far < 0.5).sum()), int(((far >= 0.5) & (far < 0.9)).sum()), int((far >= 0.9).sum())]
+
+
+def test_text_scores_in_tables():
+    from kindred.functions import similarity as S
+
+    assert S.levenshtein_all(["kitten", "", "a", ""], ["sitting", "ab", "a", ""]).tolist() == [1 - 3 / 7, 0.0, 1.0, 0.0]
+    got = S.in_table(["civic", None, ""], ["civic", "accord", "", None], S.affine_gap_all)
+    assert got[0, 0] == S.affine_gap("civic", "civic") and got[0, 1] == S.affine_gap("accord", "civic") and (got[1:] == 1).all() and (got[:, 2:] == 1).all()
