@@ -202,3 +202,26 @@ def test_numbers_of_texts_put_pairs_in_the_order_of_their_lines(spark):
         got = [r["value"] for r in pairs.orderBy(*order).collect()]
         assert len(got) == 8 * len(texts) ** 2 and got == sorted(got, key=lambda x: x.encode())
         assert (order == ["value"]) == any("\t" in t for t in texts)
+
+
+def test_cells_have_the_probabilities_of_the_pairs(spark, monkeypatch):
+    """Models with weights for all that may be missing; the kinds of a block are dealt out in several cells, and of all pairs only counts are rows."""
+    from kindred.operators import blocking
+
+    monkeypatch.setattr(blocking, "CELL", 16)
+    rng = random.Random(8)
+    kinds = [(rng.choice(["honda", "hondaa", None]), rng.choice(["civic", "accord", None]), rng.choice([2018.0, 0.0]), rng.choice([0.0, 1000.0, 1500.0, 90.5]), rng.choice([5.0, 50.0, 0.0])) for _ in range(80)]
+    inside = spark.createDataFrame([("x", f"{i:03d}", i + 1, 80, *k, ["v"] if i % 9 == 0 else None, False) for i, k in enumerate(kinds)], "k_make string, id string, pos int, block_size long, d_make string, d_model string, d_year double, d_price double, d_mileage double, vins array<string>, twice boolean")
+
+    class Last:
+        intercept = 1.25
+        coefficients = [-0.9, 0.4, -0.7, -0.3, -1.1, 0.2, -0.6, 0.5, -3.0, 0.1]
+
+    class Model:
+        stages = [Last]
+
+    one, many = (f(Model, inside, "P1_full", "P1_full_X", ("make",)) for f in (learn.scores, learn.weighted_scores))
+    want, got = (sorted(map(tuple, learn.report(x).collect())) for x in (one, many))
+    assert got == want and len({r[4] for r in got}) > 1
+    assert many.where("truth = 0 AND weight > 0").count() <= 4 * 15  # cells; as pairs of kinds, over a thousand
+    assert {r["p"] for r in many.where("truth = 0 AND weight > 0").select("p").distinct().collect()} == {0.0, *learn.THRESHOLDS}
